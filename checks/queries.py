@@ -8,7 +8,7 @@ dashboard would.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,17 +61,37 @@ class Inputs:
     def completed(self) -> DataFrame:
         return events.completed_core(self.normalized, self.cat)
 
+    @cached_property
+    def mart_path(self) -> str:
+        path = new_path(self.spark, "marts")
+        marts.write_marts(build.build_marts(self.tracking, self.names, self.cat, self.scorer), path)
+        return path
+
+    def mart(self, name: str) -> DataFrame:
+        return marts.read_mart(self.spark, self.mart_path, name)
+
+    @property
+    def user_clusters(self) -> DataFrame:
+        return self.mart("user_clusters")
+
+    @property
+    def activity(self) -> DataFrame:
+        return self.mart("user_activity")
+
     @property
     def affinity(self) -> DataFrame:
-        return affinity.affinity(self.completed)
+        return self.mart("user_service_stats")
 
     @property
     def active(self) -> DataFrame:
         return ranking.active_service(self.affinity, self.cat)
 
+    def scorer(self, users: DataFrame) -> DataFrame:
+        return fixture.fixed_scores(users, self.cat)
+
     @property
     def scores(self) -> DataFrame:
-        return fixture.fixed_scores(self.active, self.cat)
+        return self.scorer(self.user_clusters)
 
     @property
     def scored_gaps(self) -> DataFrame:
@@ -93,28 +113,6 @@ class Inputs:
             }
         )
 
-    @cached_property
-    def mart_path(self) -> str:
-        path = new_path(self.spark, "marts")
-        tables = build.build_marts(self.tracking, self.names, self.cat, scores=self.scores)
-        marts.write_marts(tables, path)
-        return path
-
-    def mart(self, name: str) -> DataFrame:
-        return marts.read_mart(self.spark, self.mart_path, name)
-
-    @property
-    def user_clusters(self) -> DataFrame:
-        return self.mart("user_clusters")
-
-    @property
-    def activity(self) -> DataFrame:
-        return self.mart("user_activity")
-
-    @property
-    def stats(self) -> DataFrame:
-        return self.mart("user_service_stats")
-
     @cached_property
     def user_index(self) -> DataFrame:
         return model.dense_index(self.affinity, "user_id", "user_idx")
@@ -177,7 +175,8 @@ def q_export_csv(i: Inputs) -> DataFrame:
     view = _explorer(i)
     marts.export_csv(view, path)
     reader = i.spark.read.schema(view.schema).option("header", True).option("escape", '"')
-    return reader.csv(path)
+    # CSV reads empty text back as missing; the view has no missing text.
+    return reader.csv(path).fillna("")
 
 
 def q_export_json(i: Inputs) -> DataFrame:
@@ -235,7 +234,7 @@ def q_profile_gaps(i: Inputs) -> DataFrame:
 
 def q_gap_status(i: Inputs) -> DataFrame:
     users = i.user_clusters
-    return profile.gap_status(gaps.profile_gaps(users, i.stats, i.cat), users)
+    return profile.gap_status(gaps.profile_gaps(users, i.affinity, i.cat), users)
 
 
 def q_user_profile(i: Inputs) -> DataFrame:
@@ -251,9 +250,14 @@ def q_decode_index(i: Inputs) -> DataFrame:
 
 
 def q_build_with_als(i: Inputs) -> DataFrame:
-    rollup = build.event_rollup(i.tracking, i.cat)
-    scores = build.als_scores(rollup, i.cat)
-    return build.assemble_user_clusters(rollup, i.names, i.cat, scores)
+    scorer = partial(build.als_scores, cat=i.cat)
+    return build.build_user_clusters(i.tracking, i.names, i.cat, scorer)
+
+
+def q_build_with_usage_factors(i: Inputs) -> DataFrame:
+    """The build as it runs beyond the users that the library ALS can take."""
+    scorer = partial(build.als_scores, cat=i.cat, max_block_users=0)
+    return build.build_user_clusters(i.tracking, i.names, i.cat, scorer)
 
 
 def _titles(i: Inputs, cleaned) -> DataFrame:
@@ -293,8 +297,8 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "explorer_filter": q_explorer_filter,
     "explorer_view": _explorer,
     # aggregations
-    "affinity": lambda i: i.affinity,
-    "user_service_stats": lambda i: affinity.user_service_stats(i.affinity),
+    "affinity": lambda i: affinity.affinity(i.completed),
+    "user_service_stats": lambda i: affinity.user_service_stats(affinity.affinity(i.completed)),
     "affinity_summary": lambda i: affinity.affinity_summary(i.affinity),
     "service_totals": lambda i: affinity.service_totals(i.affinity),
     "usage_matrix": lambda i: affinity.usage_matrix(i.affinity, i.cat),
@@ -316,8 +320,8 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "peer_rank": lambda i: ranking.peer_rank(i.affinity, i.active, i.cat),
     "topn_per_user": lambda i: ranking.topn_per_user(i.scored_gaps, i.cat),
     "spread_ranks": lambda i: i.model_slots,
-    "top_users": lambda i: insights.top_users(i.user_clusters, i.stats, i.cat),
-    "user_stats": lambda i: profile.user_stats(i.stats),
+    "top_users": lambda i: insights.top_users(i.user_clusters, i.affinity, i.cat),
+    "user_stats": lambda i: profile.user_stats(i.affinity),
     "recent_activity": lambda i: profile.recent_activity(i.activity),
     "users_by_cluster": lambda i: insights.users_by_cluster(i.user_clusters, BROWSED_CLUSTER),
     "lookup_user": lambda i: profile.lookup_user(i.user_clusters, LOOKUP_ID),
@@ -344,21 +348,22 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "fill_gaps": lambda i: fill.fill_gaps(i.model_slots, i.affinity, i.cat),
     "fill_gaps_no_model": lambda i: fill.fill_gaps(i.empty_slots, i.affinity, i.cat),
     "usage_growth": lambda i: fill.usage_growth(i.affinity, i.cat),
-    "enrich_recs": lambda i: fill.enrich_recs(i.user_clusters, i.stats, i.cat),
+    "enrich_recs": lambda i: fill.enrich_recs(i.user_clusters, i.affinity, i.cat),
     "enrich_recs_empty": lambda i: fill.enrich_recs(i.empty_slots, i.affinity, i.cat),
     "enrich_user_clusters": lambda i: enrich.enrich_user_clusters(
-        i.user_clusters, i.stats, i.tracking, i.names, i.cat
+        i.user_clusters, i.affinity, i.tracking, i.names, i.cat
     ),
     "serve_time_fill": lambda i: fill.serve_time_fill(i.empty_slots, i.affinity, i.cat),
     "build_user_clusters": lambda i: build.build_user_clusters(
-        i.tracking, i.names, i.cat, scores=i.scores
+        i.tracking, i.names, i.cat, i.scorer
     ),
     "build_user_clusters_no_model": lambda i: build.build_user_clusters(
         i.tracking, i.names, i.cat
     ),
     "build_user_clusters_als": q_build_with_als,
+    "build_user_clusters_usage_factors": q_build_with_usage_factors,
     # single users, for all of them
-    "user_summary": lambda i: profile.user_summary(i.stats, i.activity, i.cat),
+    "user_summary": lambda i: profile.user_summary(i.affinity, i.activity, i.cat),
     "service_share": lambda i: profile.service_share(i.affinity, i.cat),
     "gap_status": q_gap_status,
     "rec_cards": lambda i: profile.rec_cards(i.user_clusters, i.cat),

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapwise.catalog import Catalog
 from gapwise.functions.text import clean_title_short, display_name
-from gapwise.operators.affinity import gap_thresholds, profile_affinity, user_rollup
+from gapwise.operators.affinity import (
+    gap_thresholds,
+    profile_affinity,
+    usage_matrix,
+    user_rollup,
+)
 from gapwise.operators.events import completed_core, normalize_events, user_activity
 from gapwise.operators.fill import assign_segment, fill_profiles
 from gapwise.operators.model import (
@@ -20,9 +27,16 @@ from gapwise.operators.model import (
 )
 from gapwise.operators.naming import restore_names
 from gapwise.operators.ranking import rank_lists
+from gapwise.operators.usage_factors import fit_usage_factors, score_usage
 from gapwise.sources.marts import USER_CLUSTERS_SCHEMA
 from gapwise.storage import materialize
 
+# Given the stored rollup, scores per user and service.
+Scorer = Callable[[DataFrame], DataFrame]
+
+# Users up to which the library ALS is used; a service's block has at most as many ratings.
+MAX_BLOCK_USERS = 20_000_000
+
 
 def event_rollup(tracking: DataFrame, cat: Catalog) -> DataFrame:
     """The one pass over the raw log: a stored row per user."""
@@ -30,9 +44,22 @@ def event_rollup(tracking: DataFrame, cat: Catalog) -> DataFrame:
     return materialize(user_rollup(normalize_events(tracking), cat, columns), "user-rollup")
 
 
-def als_scores(rollup: DataFrame, cat: Catalog, params: AlsParams = AlsParams()) -> DataFrame:
-    """Model scores of every user for every service, from the stored rollup."""
+def als_scores(
+    rollup: DataFrame,
+    cat: Catalog,
+    params: AlsParams = AlsParams(),
+    max_block_users: int = MAX_BLOCK_USERS,
+) -> DataFrame:
+    """Model scores of every user for every service, from the stored rollup.
+
+    The library ALS holds all ratings of a service in one block, so it is used
+    up to ``max_block_users`` users (a count that the stored files answer from
+    their footers); beyond that the model is fitted without gathering users.
+    """
     pairs = profile_affinity(rollup)
+    if rollup.count() > max_block_users:
+        matrix = usage_matrix(pairs, cat)
+        return score_usage(matrix, fit_usage_factors(matrix, cat, params))
     users = dense_index(rollup, "user_id", "user_idx")
     items = dense_index(pairs, "process_type", "process_idx")
     model = fit_als(index_affinity(pairs, users, items), params)
@@ -140,27 +167,25 @@ def build_user_clusters(
     tracking: DataFrame,
     names: DataFrame | None,
     cat: Catalog,
-    scores: DataFrame | None = None,
+    scorer: Scorer | None = None,
 ) -> DataFrame:
-    """The recommendation table from the event log, with given scores or without a model."""
-    return assemble_user_clusters(event_rollup(tracking, cat), names, cat, scores)
+    """The recommendation table from the event log; without a scorer no model is involved."""
+    return build_marts(tracking, names, cat, scorer)["user_clusters"]
 
 
 def build_marts(
     tracking: DataFrame,
     names: DataFrame | None,
     cat: Catalog,
-    scores: DataFrame | None = None,
-    params: AlsParams | None = None,
+    scorer: Scorer | None = None,
 ) -> dict[str, DataFrame]:
     """All three tables.  The raw log is read once for the rollup and once for the activity.
 
-    ``scores`` are taken as given; otherwise ``params`` trains the model, and
-    with neither the slots are filled without one.
+    ``scorer`` makes the model scores from the stored rollup, for example
+    ``functools.partial(als_scores, cat=cat)``.
     """
     rollup = event_rollup(tracking, cat)
-    if scores is None and params is not None:
-        scores = als_scores(rollup, cat, params)
+    scores = scorer(rollup) if scorer is not None else None
     return {
         "user_clusters": assemble_user_clusters(rollup, names, cat, scores),
         "user_activity": user_activity(completed_core(normalize_events(tracking), cat)),

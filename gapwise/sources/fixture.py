@@ -22,8 +22,10 @@ SERVICE_OF_EVENT = {
 
 
 def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    k = F.get_json_object("props", "$.k").cast("int")
+    # The number gets a column of its own, so that the JSON is parsed once per row.
+    number = F.get_json_object("props", "$.k").cast("int")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", number)
+    k = F.col("k")
     kind = F.col("event_type")
     event_id = F.col("event_id").cast("string")
     service = F.when(k == 99, "legacy_export")

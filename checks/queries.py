@@ -1,8 +1,8 @@
 """One query per operator, over the generated tables.
 
-Operators of the event log read the log.  Operators of the stored tables read
-tables that the batch build wrote once per session and input folder, the way a
-dashboard would.
+What normalises or audits the log reads the generated tables; what takes
+normalised events reads the events as landed, once per session and input
+folder; what takes the stored tables reads what the batch build made of those.
 """
 
 from __future__ import annotations
@@ -53,18 +53,24 @@ class Inputs:
     def names(self) -> DataFrame:
         return fixture.names_ref(self.spark, self.sf_dir)
 
+    @cached_property
+    def events_path(self) -> str:
+        path = new_path(self.spark, "events")
+        tracking.land_events(events.normalize_events(self.tracking), path)
+        return path
+
     @property
-    def normalized(self) -> DataFrame:
-        return events.normalize_events(self.tracking)
+    def events(self) -> DataFrame:
+        return tracking.read_events(self.spark, self.events_path)
 
     @property
     def completed(self) -> DataFrame:
-        return events.completed_core(self.normalized, self.cat)
+        return events.completed_core(self.events, self.cat)
 
     @cached_property
     def mart_path(self) -> str:
         path = new_path(self.spark, "marts")
-        marts.write_marts(build.build_marts(self.tracking, self.names, self.cat, self.scorer), path)
+        marts.write_marts(build.build_marts(self.events, self.names, self.cat, self.scorer), path)
         return path
 
     def mart(self, name: str) -> DataFrame:
@@ -218,7 +224,7 @@ def q_missing_users(i: Inputs) -> DataFrame:
 
 
 def q_label_join(i: Inputs) -> DataFrame:
-    coded = i.normalized.select(
+    coded = i.events.select(
         "event_id", "process_type", i.cat.cluster_of(F.col("process_type")).alias("cluster_id")
     )
     return naming.label_join(coded, i.cat, "process_type", "cluster_id", "Unknown")
@@ -251,13 +257,13 @@ def q_decode_index(i: Inputs) -> DataFrame:
 
 def q_build_with_als(i: Inputs) -> DataFrame:
     scorer = partial(build.als_scores, cat=i.cat)
-    return build.build_user_clusters(i.tracking, i.names, i.cat, scorer)
+    return build.build_user_clusters(i.events, i.names, i.cat, scorer)
 
 
 def q_build_with_usage_factors(i: Inputs) -> DataFrame:
     """The build as it runs beyond the users that the library ALS can take."""
     scorer = partial(build.als_scores, cat=i.cat, max_block_users=0)
-    return build.build_user_clusters(i.tracking, i.names, i.cat, scorer)
+    return build.build_user_clusters(i.events, i.names, i.cat, scorer)
 
 
 def _titles(i: Inputs, cleaned) -> DataFrame:
@@ -289,7 +295,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "export_csv": q_export_csv,
     "export_json": q_export_json,
     # projection and predicates
-    "normalize_events": lambda i: i.normalized,
+    "normalize_events": lambda i: events.normalize_events(i.tracking),
     "completed_core": lambda i: i.completed,
     "normalization_audit": lambda i: events.normalization_audit(i.tracking, i.cat),
     "user_activity": lambda i: events.user_activity(i.completed),
@@ -304,8 +310,8 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "usage_matrix": lambda i: affinity.usage_matrix(i.affinity, i.cat),
     "gap_thresholds": q_gap_thresholds,
     "last_active": lambda i: events.last_active(i.completed),
-    "pass_through_first": lambda i: events.pass_through_first(i.tracking, "process_name"),
-    "latest_activity_hint": lambda i: events.latest_activity_hint(i.tracking),
+    "pass_through_first": lambda i: events.pass_through_first(i.events, "process_name"),
+    "latest_activity_hint": lambda i: events.latest_activity_hint(i.events),
     "used_services": lambda i: affinity.used_services(i.affinity),
     "cluster_dist": lambda i: insights.cluster_dist(i.user_clusters),
     "service_by_cluster": lambda i: insights.service_by_cluster(i.user_clusters),
@@ -332,7 +338,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "missing_users": q_missing_users,
     "profile_gaps": q_profile_gaps,
     "restore_names": q_restore_names,
-    "attach_activity_names": lambda i: naming.attach_activity_names(i.activity, i.tracking),
+    "attach_activity_names": lambda i: naming.attach_activity_names(i.activity, i.events),
     "label_join": q_label_join,
     "user_directory": lambda i: naming.user_directory(i.user_clusters),
     "segment_directory": lambda i: naming.segment_directory(i.user_clusters, i.cat),
@@ -351,14 +357,14 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "enrich_recs": lambda i: fill.enrich_recs(i.user_clusters, i.affinity, i.cat),
     "enrich_recs_empty": lambda i: fill.enrich_recs(i.empty_slots, i.affinity, i.cat),
     "enrich_user_clusters": lambda i: enrich.enrich_user_clusters(
-        i.user_clusters, i.affinity, i.tracking, i.names, i.cat
+        i.user_clusters, i.affinity, i.events, i.names, i.cat
     ),
     "serve_time_fill": lambda i: fill.serve_time_fill(i.empty_slots, i.affinity, i.cat),
     "build_user_clusters": lambda i: build.build_user_clusters(
-        i.tracking, i.names, i.cat, i.scorer
+        i.events, i.names, i.cat, i.scorer
     ),
     "build_user_clusters_no_model": lambda i: build.build_user_clusters(
-        i.tracking, i.names, i.cat
+        i.events, i.names, i.cat
     ),
     "build_user_clusters_als": q_build_with_als,
     "build_user_clusters_usage_factors": q_build_with_usage_factors,

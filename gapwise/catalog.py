@@ -8,9 +8,8 @@ literals evaluated inside whole-stage codegen instead of joins.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,13 +144,13 @@ class Catalog:
             )
             for code in codes
         ]
-        return spark.createDataFrame(
-            rows, "service string, label string, cluster_id int, priority int, is_core boolean"
+        return literal_table(
+            spark, rows, "service string, label string, cluster_id int, priority int, is_core boolean"
         )
 
     def dim_segment(self, spark: SparkSession) -> DataFrame:
         rows = [(s.cluster_id, s.label, s.description) for s in self.segments]
-        return spark.createDataFrame(rows, "cluster_id int, label string, description string")
+        return literal_table(spark, rows, "cluster_id int, label string, description string")
 
     # -- column expressions ------------------------------------------------
 
@@ -188,16 +187,32 @@ class Catalog:
         return string_array(self.core)
 
 
+def sql_literal(value) -> str:
+    """A configuration value as SQL text: one expression to parse instead of many calls."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value).lower() if isinstance(value, bool) else str(value)
+
+
+def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few rows of configuration as a table that needs no Python to scan."""
+    row_type = T.ArrayType(T.StructType.fromDDL(schema))
+    records = ", ".join(f"struct({', '.join(map(sql_literal, row))})" for row in rows)
+    return spark.range(1).select(F.inline(F.expr(f"array({records})").cast(row_type)))
+
+
 def lookup(table: Mapping, key: Column, value_type: str) -> Column:
     """``table[key]`` as a column, NULL when absent.  ``table`` is driver-side configuration."""
     if not table:
         return F.lit(None).cast(value_type)
-    entries = reduce(lambda acc, kv: acc + [F.lit(kv[0]), F.lit(kv[1])], table.items(), [])
-    return F.try_element_at(F.create_map(*entries), key).cast(value_type)
+    entries = ", ".join(f"{sql_literal(k)}, {sql_literal(v)}" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({entries})"), key).cast(value_type)
 
 
 def string_array(values) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast(T.ArrayType(T.StringType()))
+    return F.expr(f"array({', '.join(map(sql_literal, values))})").cast("array<string>")
 
 
 def source_wording(source: Column) -> Column:

@@ -53,11 +53,8 @@ def blank_to_null(col: Column) -> Column:
 
 def _without_prefix(title: Column, prefixes: tuple[str, ...]) -> Column:
     """``title`` without the first of ``prefixes`` that it starts with."""
-    branches = F
-    for prefix in prefixes:
-        rest = F.substr(title, F.lit(len(prefix) + 1))
-        branches = branches.when(title.startswith(prefix), rest)
-    return branches.otherwise(title)
+    quoted = "|".join(rf"\Q{prefix}\E" for prefix in prefixes)
+    return F.regexp_replace(title, f"^(?:{quoted})", "")
 
 
 def clean_title_short(col: Column) -> Column:

@@ -1,4 +1,8 @@
-"""Operators over the raw event log."""
+"""Operators over the event log.
+
+All but the first and the audit take normalised events, so that their filters
+are plain comparisons that reach the Parquet scan of landed events.
+"""
 
 from __future__ import annotations
 
@@ -64,19 +68,19 @@ def first_value(col: str) -> Column:
     return F.min_by(col, F.when(F.col(col).isNotNull(), event_order()))
 
 
-def pass_through_first(tracking: DataFrame, col: str) -> DataFrame:
+def pass_through_first(events: DataFrame, col: str) -> DataFrame:
     """Earliest non-NULL value of ``col`` per user, over events of any status."""
-    return tracking.groupBy("user_id").agg(first_value(col).alias(col))
+    return events.groupBy("user_id").agg(first_value(col).alias(col))
 
 
-def latest_activity_hint(tracking: DataFrame) -> DataFrame:
+def latest_activity_hint(events: DataFrame) -> DataFrame:
     """Cleaned title of each user's latest completed event, of whatever service.
 
     The latest event decides even if it has no title, and an event without a
     time counts as the latest; users without a usable title are left out.
     """
     latest = (
-        tracking.filter((F.upper("status") == COMPLETED) & F.col("user_id").isNotNull())
+        events.filter((F.col("status") == COMPLETED) & F.col("user_id").isNotNull())
         .groupBy("user_id")
         .agg(F.max_by("process_name", event_order()).alias("title"))
     )

@@ -33,16 +33,16 @@ def restore_names(user_clusters: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
-def attach_activity_names(activity: DataFrame, tracking: DataFrame) -> DataFrame:
-    """Activity rows with the title of the raw completed event of the same user, service and time.
+def attach_activity_names(activity: DataFrame, events: DataFrame) -> DataFrame:
+    """Activity rows with the title of the completed event of the same user, service and time.
 
     Missing titles are taken from the first such event (by event id); NULL keys
     match NULL keys.  Both sides are reduced before they meet, the events to one
     row per key and the activity to its distinct rows.
     """
     titles = (
-        tracking.filter(F.upper("status") == COMPLETED)
-        .groupBy("user_id", F.upper("process_type").alias("process_type"), "created_at")
+        events.filter(F.col("status") == COMPLETED)
+        .groupBy(*ACTIVITY_KEYS)
         .agg(F.min_by("process_name", "event_id").alias("raw_name"))
         .select(*[F.col(key).alias(f"raw_{key}") for key in ACTIVITY_KEYS], "raw_name")
     )

@@ -15,7 +15,7 @@ from gapwise.operators.affinity import (
     usage_matrix,
     user_rollup,
 )
-from gapwise.operators.events import completed_core, normalize_events, user_activity
+from gapwise.operators.events import completed_core, user_activity
 from gapwise.operators.fill import assign_segment, fill_profiles
 from gapwise.operators.model import (
     AlsParams,
@@ -38,10 +38,10 @@ Scorer = Callable[[DataFrame], DataFrame]
 MAX_BLOCK_USERS = 20_000_000
 
 
-def event_rollup(tracking: DataFrame, cat: Catalog) -> DataFrame:
-    """The one pass over the raw log: a stored row per user."""
-    columns = tuple(c for c in cat.settings.pass_through_columns if c in tracking.columns)
-    return materialize(user_rollup(normalize_events(tracking), cat, columns), "user-rollup")
+def event_rollup(events: DataFrame, cat: Catalog) -> DataFrame:
+    """The one pass over all events: a stored row per user."""
+    columns = tuple(c for c in cat.settings.pass_through_columns if c in events.columns)
+    return materialize(user_rollup(events, cat, columns), "user-rollup")
 
 
 def als_scores(
@@ -164,30 +164,33 @@ def assemble_user_clusters(
 
 
 def build_user_clusters(
-    tracking: DataFrame,
+    events: DataFrame,
     names: DataFrame | None,
     cat: Catalog,
     scorer: Scorer | None = None,
 ) -> DataFrame:
-    """The recommendation table from the event log; without a scorer no model is involved."""
-    return build_marts(tracking, names, cat, scorer)["user_clusters"]
+    """The recommendation table from normalised events; without a scorer no model is involved."""
+    return build_marts(events, names, cat, scorer)["user_clusters"]
 
 
 def build_marts(
-    tracking: DataFrame,
+    events: DataFrame,
     names: DataFrame | None,
     cat: Catalog,
     scorer: Scorer | None = None,
 ) -> dict[str, DataFrame]:
-    """All three tables.  The raw log is read once for the rollup and once for the activity.
+    """All three tables from normalised events, read once for users and once for the activity.
+
+    Landed events (:func:`gapwise.sources.tracking.land_events`) are the intended
+    input: the activity scan then skips everything that is not a completed use.
 
     ``scorer`` makes the model scores from the stored rollup, for example
     ``functools.partial(als_scores, cat=cat)``.
     """
-    rollup = event_rollup(tracking, cat)
+    rollup = event_rollup(events, cat)
     scores = scorer(rollup) if scorer is not None else None
     return {
         "user_clusters": assemble_user_clusters(rollup, names, cat, scores),
-        "user_activity": user_activity(completed_core(normalize_events(tracking), cat)),
+        "user_activity": user_activity(completed_core(events, cat)),
         "user_service_stats": profile_affinity(rollup),
     }

@@ -19,7 +19,7 @@ UNKNOWN_USER = "Unknown user"
 def enrich_user_clusters(
     user_clusters: DataFrame,
     stats: DataFrame,
-    tracking: DataFrame | None,
+    events: DataFrame | None,
     names: DataFrame | None,
     cat: Catalog,
 ) -> DataFrame:
@@ -27,8 +27,8 @@ def enrich_user_clusters(
     rows = enrich_recs(user_clusters, stats, cat)
     if names is not None:
         rows = restore_names(rows, names)
-    if tracking is not None:
-        rows = rows.join(latest_activity_hint(tracking), "user_id", "left")
+    if events is not None:
+        rows = rows.join(latest_activity_hint(events), "user_id", "left")
     else:
         rows = rows.withColumn("hint", F.lit(None).cast("string"))
     labels = {
@@ -43,14 +43,14 @@ def enrich_user_clusters(
 
 def enrich_marts(
     marts: dict[str, DataFrame],
-    tracking: DataFrame,
+    events: DataFrame,
     names: DataFrame | None,
     cat: Catalog,
 ) -> dict[str, DataFrame]:
     """The repaired tables; write them to a new folder, not over the ones being read."""
     stats = marts["user_service_stats"]
     return {
-        "user_clusters": enrich_user_clusters(marts["user_clusters"], stats, tracking, names, cat),
-        "user_activity": attach_activity_names(marts["user_activity"], tracking),
+        "user_clusters": enrich_user_clusters(marts["user_clusters"], stats, events, names, cat),
+        "user_activity": attach_activity_names(marts["user_activity"], events),
         "user_service_stats": stats,
     }

@@ -71,6 +71,11 @@ def conform_tracking(
     )
 
 
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """Landed events; the schema is known, so no file has to be opened to plan."""
+    return spark.read.schema(TRACKING_SCHEMA).parquet(path)
+
+
 def land_events(events: DataFrame, path: str) -> None:
     """Store normalised events as Parquet, sorted so that status and service filters skip data.
 

@@ -1,0 +1,184 @@
+"""Operators of the event log, and reading and writing."""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from gapwise.operators import affinity, events, gaps, insights, profile
+from gapwise.operators.affinity import profile_affinity, service_profiles, user_rollup
+from gapwise.sources import marts, tracking
+from gapwise.sources.tracking import TRACKING_SCHEMA
+from gapwise.storage import materialize, new_path, shared_dir
+
+T0 = dt.datetime(2024, 1, 1)
+
+
+def log(spark, *rows):
+    return spark.createDataFrame(rows, TRACKING_SCHEMA)
+
+
+def at(minutes):
+    return T0 + dt.timedelta(minutes=minutes)
+
+
+def test_null_status_is_not_completed(spark, cat):
+    raw = log(spark, (1, "u", "research", None, None, at(0)), (2, "u", "Research", "completed", None, at(0)),
+              (3, "u", "other", "COMPLETED", None, at(0)), (4, "u", None, "COMPLETED", None, at(0)))
+    done = events.completed_core(events.normalize_events(raw), cat).collect()
+    assert [(r["event_id"], r["process_type"], r["status"]) for r in done] == [
+        (2, "RESEARCH", "COMPLETED")
+    ]
+    assert tuple(events.normalization_audit(raw, cat).first()) == (4, 1, 2)
+
+
+def test_event_without_time_is_the_latest(spark):
+    done = log(spark, (1, "u", "A", "COMPLETED", "Async timeless", None),
+               (2, "u", "A", "COMPLETED", "newest", at(9)), (3, "v", "A", "COMPLETED", "old", at(1)),
+               (4, "v", "A", "COMPLETED", None, at(2)), (5, "w", "A", "FAILED", "failed", at(1)),
+               (6, None, "A", "COMPLETED", "nobody", at(1)))
+    hints = {r["user_id"]: r["hint"] for r in events.latest_activity_hint(done).collect()}
+    assert hints == {"u": "timeless"}
+
+
+def test_first_value_is_the_earliest(spark):
+    rows = log(spark, (3, "u", "A", "FAILED", "third", at(3)), (1, "u", "A", None, None, at(1)),
+               (2, "u", "A", "X", "second", at(2)), (9, "u", "A", "X", "also second", at(2)),
+               (4, "u", "A", "X", "timeless", None), (5, "v", "A", "X", None, at(1)))
+    first = {r["user_id"]: r["process_name"] for r in events.pass_through_first(rows, "process_name").collect()}
+    assert first == {"u": "second", "v": None}
+
+
+def test_rollup_equals_the_operators(inputs, cat):
+    """One pass over the log gives what the single operators give."""
+    rollup = user_rollup(inputs.events, cat, ("process_name",))
+    done = inputs.completed
+    uses = affinity.affinity(done)
+    joined = (
+        service_profiles(uses, cat)
+        .join(events.last_active(done), "user_id")
+        .join(events.pass_through_first(inputs.events, "process_name"), "user_id")
+    )
+    assert sorted(map(repr, rollup.collect())) == sorted(map(repr, joined.collect()))
+    back = profile_affinity(rollup).collect()
+    assert sorted(map(tuple, back)) == sorted(map(tuple, uses.collect()))
+
+
+def test_hot_user(spark, cat):
+    """A user with most of the rows: the rows leave each task combined or limited."""
+    rows = spark.range(30_000).select(
+        F.col("id").alias("event_id"),
+        F.when(F.col("id") % 3 != 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("user_id"),
+        F.lit("RESEARCH").alias("process_type"),
+        F.lit("COMPLETED").alias("status"),
+        F.col("id").cast("string").alias("process_name"),
+        F.lit(T0).cast("timestamp_ntz").alias("created_at"),
+    )
+    hot = user_rollup(rows, cat, ("process_name",)).filter("user_id = 'hot'").first()
+    assert (hot["total_actions"], hot["process_name"]) == (20_000, "1")
+    newest = profile.recent_activity(rows).filter("user_id = 'hot'").orderBy("position").collect()
+    assert [r["event_id"] for r in newest] == sorted(
+        (i for i in range(30_000) if i % 3), reverse=True
+    )[:20]
+
+
+def test_recent_activity_orders_missing_times_last(spark):
+    rows = log(spark, (1, "u", "A", "C", None, None), (2, "u", "A", "C", None, at(1)),
+               (3, "u", "A", "C", None, at(1)), (4, "u", "A", "C", None, at(0)))
+    newest = profile.recent_activity(rows, " u ", 3).orderBy("position").collect()
+    assert [r["event_id"] for r in newest] == [3, 2, 4]
+
+
+def test_gap_lists(spark, cat):
+    users = spark.createDataFrame([("u",), ("none",)], "user_id string")
+    uses = spark.createDataFrame([("u", "RESEARCH", 1), ("u", "ODD", 1)],
+                                 "user_id string, process_type string, interaction_count long")
+    rows = gaps.profile_gaps(users, uses, cat).orderBy("user_id", "position").collect()
+    assert [r["is_gap"] for r in rows] == [True] * 5 + [True, False, True, True, True]
+    assert [r["process_type"] for r in rows[:5]] == list(cat.core)
+
+
+def test_adoption_is_strictly_above_the_threshold(spark, cat):
+    uses = spark.createDataFrame([("u", "RESEARCH", 2), ("v", "RESEARCH", 3)],
+                                 "user_id string, process_type string, interaction_count long")
+    thresholds = spark.createDataFrame([("RESEARCH", 2)], "process_type string, gap_threshold long")
+    for given in (cat, None):
+        rows = gaps.adopted_services(uses, thresholds, given).collect()
+        assert [tuple(r) for r in rows] == [("v", "RESEARCH")]
+
+
+def test_sample_is_reproducible(spark):
+    users = spark.range(100).select(F.col("id").cast("string").alias("user_id"))
+    first = [r[0] for r in insights.sample_users(users, 7).collect()]
+    again = [r[0] for r in insights.sample_users(users.repartition(5), 7).collect()]
+    other = [r[0] for r in insights.sample_users(users, 7, seed=1).collect()]
+    assert first == again and len(set(first)) == 7 and first != other
+    assert insights.sample_users(users, 1000).count() == 100
+
+
+# -- reading and writing -------------------------------------------------------------
+
+
+def test_csv_with_line_breaks_and_quotes(spark, tmp_path):
+    (tmp_path / "log.csv").write_text(
+        "event_id,user_id,process_type,status,process_name,created_at\n"
+        '1,u,Research,completed,"two\nlines, and ""quotes""",2024-01-01T00:00:00.123456\n'
+        "2,,research,,,\n"
+    )
+    first, second = tracking.read_tracking(spark, str(tmp_path)).orderBy("event_id").collect()
+    assert first["process_name"] == 'two\nlines, and "quotes"'
+    assert first["created_at"] == dt.datetime(2024, 1, 1, 0, 0, 0, 123456)
+    assert tuple(second) == (2, None, "research", None, None, None)
+
+
+def test_pick_timestamp(spark):
+    df = spark.createDataFrame([(1, T0, at(5))], "x int, updated_at timestamp_ntz, event_time timestamp_ntz")
+    assert tracking.pick_timestamp(df).collect()[0].asDict() == {"x": 1, "created_at": at(5)}
+    assert tracking.pick_timestamp(df.select("x")).first()["created_at"] is None
+
+
+def test_conform_tracking(spark):
+    df = spark.createDataFrame([(7, "A", "done", "2024-01-01 00:00:00")],
+                               "user_id int, process_type string, status string, timestamp string")
+    conformed = tracking.conform_tracking(df)
+    assert conformed.schema == TRACKING_SCHEMA
+    assert tuple(conformed.first()) == (None, "7", "A", "done", None, T0)
+
+
+def test_landed_events_are_filtered_in_the_scan(inputs, spark, cat):
+    plan = inputs.completed._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(status,COMPLETED)" in plan and "In(process_type" in plan
+    assert inputs.events.count() == inputs.tracking.count()
+
+
+def test_marts_round_trip(spark, inputs):
+    path = new_path(spark, "test-marts")
+    before = marts.read_marts(spark, inputs.mart_path)
+    marts.write_marts(before, path)
+    after = marts.read_marts(spark, path)
+    for name, df in before.items():
+        assert after[name].schema == df.schema
+        assert sorted(map(repr, after[name].collect())) == sorted(map(repr, df.collect()))
+
+
+def test_browsing_a_cluster_reads_one_partition(inputs):
+    plan = insights.users_by_cluster(inputs.user_clusters, 1)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(cluster_id" in plan
+
+
+def test_exports_keep_text_and_times(spark):
+    df = spark.createDataFrame([(" a,\"b\" ", at(0) + dt.timedelta(microseconds=7)), (None, None)],
+                               "t string, at timestamp_ntz")
+    csv, json = new_path(spark, "csv"), new_path(spark, "json")
+    marts.export_csv(df, csv)
+    marts.export_json(df, json)
+    as_csv = spark.read.schema(df.schema).option("header", True).option("escape", '"').csv(csv)
+    as_json = spark.read.schema(df.schema).json(json)
+    assert sorted(map(repr, as_csv.collect())) == sorted(map(repr, df.collect()))
+    assert sorted(map(repr, as_json.collect())) == sorted(map(repr, df.collect()))
+
+
+def test_shared_folder_is_the_configured_one(spark):
+    configured = spark.conf.get("spark.checkpoint.dir")
+    assert configured in shared_dir(spark)
+    table = materialize(spark.range(3), "three")
+    assert all(configured in f for f in table.inputFiles()) and table.count() == 3

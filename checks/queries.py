@@ -130,7 +130,8 @@ class Inputs:
     @cached_property
     def als_model(self):
         indexed = model.index_affinity(self.affinity, self.user_index, self.item_index)
-        return model.fit_als(indexed)
+        params = model.AlsParams().for_users(self.user_index.count())
+        return model.fit_als(indexed, params)
 
 
 _INPUTS: dict[tuple[str, str], Inputs] = {}

@@ -57,8 +57,11 @@ def gap_thresholds(affinity_df: DataFrame, p: float) -> DataFrame:
 
 
 def used_services(affinity_df: DataFrame) -> DataFrame:
-    """Each user's services, kept relational for joins."""
-    return affinity_df.select("user_id", "process_type").distinct()
+    """Each user's services, kept relational for joins.
+
+    The affinity table has one row per pair, so there is nothing to make distinct.
+    """
+    return affinity_df.select("user_id", "process_type")
 
 
 # -- one row per user -------------------------------------------------------

@@ -27,7 +27,6 @@ def adopted_services(
         affinity_df.join(thresholds, "process_type")
         .filter(F.col("interaction_count") > F.col("gap_threshold"))
         .select("user_id", "process_type")
-        .distinct()
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -16,6 +16,9 @@ from gapwise.catalog import Catalog
 from gapwise.operators.insights import sample_users
 from gapwise.storage import materialize
 
+# Users that one block of the factorisation holds comfortably.
+USERS_PER_BLOCK = 200_000
+
 # Items up to this number are scored from literals inside the scan of the users.
 MAX_INLINE_ITEMS = 64
 
@@ -37,6 +40,10 @@ class AlsParams:
     user_blocks: int | None = None
     item_blocks: int = 1
 
+    def for_users(self, users: int) -> "AlsParams":
+        """The same model with a block per so many users, unless the blocks are set."""
+        return replace(self, user_blocks=self.user_blocks or users // USERS_PER_BLOCK + 1)
+
 
 def dense_index(df: DataFrame, col: str, index: str = "idx") -> DataFrame:
     """Mapping table from the distinct values of ``col`` to 0..n-1, in their order.

@@ -57,12 +57,13 @@ def als_scores(
     their footers); beyond that the model is fitted without gathering users.
     """
     pairs = profile_affinity(rollup)
-    if rollup.count() > max_block_users:
+    n_users = rollup.count()
+    if n_users > max_block_users:
         matrix = usage_matrix(pairs, cat)
         return score_usage(matrix, fit_usage_factors(matrix, cat, params))
     users = dense_index(rollup, "user_id", "user_idx")
     items = dense_index(pairs, "process_type", "process_idx")
-    model = fit_als(index_affinity(pairs, users, items), params)
+    model = fit_als(index_affinity(pairs, users, items), params.for_users(n_users))
     return decode_index(score_all(model, len(cat.core)), users, items)
 
 

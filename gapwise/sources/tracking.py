@@ -59,12 +59,12 @@ def pick_timestamp(
 def conform_tracking(
     df: DataFrame, candidates: Sequence[str] = TIMESTAMP_CANDIDATES
 ) -> DataFrame:
-    """Any event log in the fixed tracking schema; absent columns become NULL."""
+    """Any event log in the fixed tracking schema; absent columns and unreadable values become NULL."""
     timed = pick_timestamp(df, candidates)
     return timed.select(
         *[
             (F.col(f.name) if f.name in timed.columns else F.lit(None))
-            .cast(f.dataType)
+            .try_cast(f.dataType)
             .alias(f.name)
             for f in TRACKING_SCHEMA
         ]

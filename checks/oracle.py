@@ -578,13 +578,13 @@ COVERAGE = (
 
 OUTREACH_BODY = """
 'Dear ' || display_name || ',' || chr(10) || chr(10) ||
-'We noticed you''ve been actively using our ' || active_service_name || ' service on our platform. ' ||
+'We noticed you''ve been actively using our ' || active_service_name || ' service on Gapwise. ' ||
 'To streamline your workflow even further, we highly recommend trying out ' || rec1_name || '.' ||
 chr(10) || chr(10) ||
 'Based on your service usage profile, similar practitioners who use ' || active_service_name ||
 ' found ' || rec1_name || ' to be extremely valuable for their practice.' || chr(10) || chr(10) ||
 'Try ' || rec1_name || ' today: https://example.com/services/' || lower(cross_recommend_1) ||
-chr(10) || chr(10) || 'Best regards,' || chr(10) || 'The our platform Team'
+chr(10) || chr(10) || 'Best regards,' || chr(10) || 'The Gapwise Team'
 """
 
 FINAL: dict[str, str] = {
@@ -783,7 +783,7 @@ FROM cards k LEFT JOIN wordings w ON w.source = coalesce(nullif(k.source, ''), '
 SELECT user_id,
   CASE WHEN length(slug) < 3 OR slug = 'nan' THEN 'user_' || substr(user_id, 1, 8) ELSE slug END
     || '@example.com' AS recipient,
-  '⚡ Discover ' || rec1_name || ' on our platform' AS subject, {OUTREACH_BODY} AS body
+  '⚡ Discover ' || rec1_name || ' on Gapwise' AS subject, {OUTREACH_BODY} AS body
 FROM (SELECT *, lower(regexp_replace(display_name, '[^\p{{L}}\p{{N}}]', '', 'g')) AS slug FROM profiled)
 WHERE cross_recommend_1 IS NOT NULL""",
     "clean_title_short": f"SELECT event_id, {title_short('process_name')} AS title FROM track",

@@ -130,7 +130,7 @@ class Inputs:
     @cached_property
     def als_model(self):
         indexed = model.index_affinity(self.affinity, self.user_index, self.item_index)
-        params = model.AlsParams().for_users(self.user_index.count())
+        params = model.AlsParams().for_size(self.user_index.count(), len(self.cat.core))
         return model.fit_als(indexed, params)
 
 

@@ -131,11 +131,27 @@ def user_rollup(events: DataFrame, cat: Catalog, pass_through: tuple[str, ...] =
     )
 
 
+def profile_matrix(profiles: DataFrame, cat: Catalog) -> DataFrame:
+    """The usage matrix from per-user rows, without a shuffle."""
+
+    def count(code: str) -> Column:
+        entry = F.get(F.filter("usage", lambda u: u.getField("process_type") == code), 0)
+        return F.coalesce(entry.getField("interaction_count"), F.lit(0)).alias(code)
+
+    return profiles.select("user_id", *[count(code) for code in cat.core])
+
+
 def profile_affinity(profiles: DataFrame) -> DataFrame:
     """The affinity table back from per-user rows, without a shuffle."""
+    return profile_uses(profiles).select("user_id", "process_type", "interaction_count")
+
+
+def profile_uses(profiles: DataFrame) -> DataFrame:
+    """Like :func:`profile_affinity`, with each user's active service."""
     entry = F.col("entry")
-    return profiles.select("user_id", F.explode("usage").alias("entry")).select(
+    return profiles.select("user_id", "active_service", F.explode("usage").alias("entry")).select(
         "user_id",
+        "active_service",
         entry.getField("process_type").alias("process_type"),
         entry.getField("interaction_count").alias("interaction_count"),
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gapwise.catalog import Catalog
 from gapwise.functions.text import blank_to_null
-from gapwise.operators.affinity import service_profiles
+from gapwise.operators.affinity import profile_uses, service_profiles
 from gapwise.operators.ranking import attach_rank_lists, rank_lists
 
 # Score of each slot by source.
@@ -141,22 +141,18 @@ def fill_gaps(recs: DataFrame, affinity_df: DataFrame, cat: Catalog) -> DataFram
     profiles = service_profiles(affinity_df, cat)
     slots = recs.select("user_id", "cross_recommend_1", "cross_recommend_2")
     users = profiles.join(slots, "user_id", "left")
-    filled = fill_profiles(users, rank_lists(profiles, cat), cat)
+    filled = fill_profiles(users, rank_lists(profile_uses(profiles), cat), cat)
     return assign_segment(filled, cat).select(
         "user_id", "cluster_id", "active_service", *SLOT_COLUMNS
     )
 
 
-def _with_usage(user_clusters: DataFrame, profiles: DataFrame, cat: Catalog) -> DataFrame:
-    """Stored users with their usage and the rank lists; existing active services stay."""
-    users = user_clusters.join(profiles.select("user_id", "usage"), "user_id", "left")
-    return attach_rank_lists(users, rank_lists(_by_stored_active(user_clusters, profiles), cat), cat)
-
-
-def _by_stored_active(user_clusters: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Usage under the active service that is stored for the user."""
+def _with_usage(user_clusters: DataFrame, stats: DataFrame, cat: Catalog) -> DataFrame:
+    """Stored users with their usage and the rank lists, by the active service that is stored."""
+    usage = service_profiles(stats, cat).select("user_id", "usage")
     stored = user_clusters.select("user_id", "active_service")
-    return profiles.select("user_id", "usage").join(stored, "user_id", "left")
+    lists = rank_lists(stats.join(stored, "user_id", "left"), cat)
+    return attach_rank_lists(user_clusters.join(usage, "user_id", "left"), lists, cat)
 
 
 def enrich_recs(user_clusters: DataFrame, stats: DataFrame, cat: Catalog) -> DataFrame:
@@ -167,7 +163,7 @@ def enrich_recs(user_clusters: DataFrame, stats: DataFrame, cat: Catalog) -> Dat
     that is neither slot 1 nor the active one, used or not.  A service never
     fills both slots of a user.
     """
-    rows = _with_usage(user_clusters, service_profiles(stats, cat), cat)
+    rows = _with_usage(user_clusters, stats, cat)
     had1, had2 = F.col("had1"), F.col("had2")
     first_pick = F.get(_open(F.col("peers"), had2), 0)
     second_pick = F.get(_open(F.concat("peers", "globals"), F.col("cross_recommend_1")), 0)
@@ -212,7 +208,7 @@ def serve_time_fill(user_clusters: DataFrame, stats: DataFrame, cat: Catalog) ->
     The most used service overall that the user has not used, then the remaining
     gaps in catalogue order.  The stored name of the slot is cleared with it.
     """
-    rows = _with_usage(user_clusters, service_profiles(stats, cat), cat)
+    rows = _with_usage(user_clusters, stats, cat)
     missing = blank_to_null(F.col("cross_recommend_1")).isNull()
     pick = F.get(_open(F.concat("globals", cat.core_array())), 0)
     has_gap = F.size(F.array_except(cat.core_array(), _used())) > 0

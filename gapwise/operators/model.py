@@ -36,13 +36,17 @@ class AlsParams:
     reg_param: float = 0.1
     alpha: float = 40.0
     seed: int = SEED
-    # Layout: blocks of users, by default as many as shuffle partitions; blocks of items.
+    # Layout: blocks of users, by default as many as shuffle partitions; blocks of services.
     user_blocks: int | None = None
-    item_blocks: int = 1
+    item_blocks: int = 5
 
-    def for_users(self, users: int) -> "AlsParams":
-        """The same model with a block per so many users, unless the blocks are set."""
-        return replace(self, user_blocks=self.user_blocks or users // USERS_PER_BLOCK + 1)
+    def for_size(self, users: int, services: int) -> "AlsParams":
+        """The same model laid out for a table: a block per so many users, and per service.
+
+        What fits one block of users is too small to be worth splitting by service.
+        """
+        blocks = self.user_blocks or users // USERS_PER_BLOCK + 1
+        return replace(self, user_blocks=blocks, item_blocks=services if blocks > 1 else 1)
 
 
 def dense_index(df: DataFrame, col: str, index: str = "idx") -> DataFrame:

@@ -191,7 +191,7 @@ def fill_template(template: str, **values: Column) -> Column:
 
 
 def outreach_audience(
-    profiles: DataFrame, product: str = "our platform", site: str = "https://example.com"
+    profiles: DataFrame, product: str = "Gapwise", site: str = "https://example.com"
 ) -> DataFrame:
     """Recipient, subject and body for every user with a first recommendation.  Nothing is sent."""
     name = F.col("display_name")

@@ -41,20 +41,20 @@ def peer_rank(affinity_df: DataFrame, active: DataFrame, cat: Catalog) -> DataFr
     return totals.withColumn("peer_rank", F.row_number().over(order))
 
 
-def rank_lists(profiles: DataFrame, cat: Catalog) -> DataFrame:
+def rank_lists(uses: DataFrame, cat: Catalog) -> DataFrame:
     """The peer and global rankings as arrays, ready to be attached to users.
 
+    ``uses`` is the affinity table with each user's active service.
+
     One row per core service (its peers' ranking) plus one, with key ``''``, for
     users whose active service is not in the catalogue.  Rows and array entries
     are limited to core services, so the table has at most ``n + 1`` rows of at
     most ``2 n`` codes for a catalogue of ``n`` core services, whatever the data.
     """
-    entry = F.col("entry")
     totals = (
-        profiles.select("active_service", F.explode("usage").alias("entry"))
-        .filter(cat.is_core(entry.getField("process_type")))
-        .groupBy("active_service", entry.getField("process_type").alias("process_type"))
-        .agg(F.sum(entry.getField("interaction_count")).alias("peer_total"))
+        uses.filter(cat.is_core(F.col("process_type")))
+        .groupBy("active_service", "process_type")
+        .agg(F.sum("interaction_count").alias("peer_total"))
     )
     by_peers = F.when(
         cat.is_core(F.col("active_service")), F.struct("active_service", "peer_total")

@@ -12,7 +12,8 @@ from gapwise.functions.text import clean_title_short, display_name
 from gapwise.operators.affinity import (
     gap_thresholds,
     profile_affinity,
-    usage_matrix,
+    profile_matrix,
+    profile_uses,
     user_rollup,
 )
 from gapwise.operators.events import completed_core, user_activity
@@ -35,7 +36,7 @@ from gapwise.storage import materialize
 Scorer = Callable[[DataFrame], DataFrame]
 
 # Users up to which the library ALS is used; a service's block has at most as many ratings.
-MAX_BLOCK_USERS = 20_000_000
+MAX_BLOCK_USERS = 10_000_000
 
 
 def event_rollup(events: DataFrame, cat: Catalog) -> DataFrame:
@@ -56,14 +57,14 @@ def als_scores(
     up to ``max_block_users`` users (a count that the stored files answer from
     their footers); beyond that the model is fitted without gathering users.
     """
-    pairs = profile_affinity(rollup)
     n_users = rollup.count()
     if n_users > max_block_users:
-        matrix = usage_matrix(pairs, cat)
+        matrix = profile_matrix(rollup, cat)
         return score_usage(matrix, fit_usage_factors(matrix, cat, params))
+    pairs = profile_affinity(rollup)
     users = dense_index(rollup, "user_id", "user_idx")
     items = dense_index(pairs, "process_type", "process_idx")
-    model = fit_als(index_affinity(pairs, users, items), params.for_users(n_users))
+    model = fit_als(index_affinity(pairs, users, items), params.for_size(n_users, len(cat.core)))
     return decode_index(score_all(model, len(cat.core)), users, items)
 
 
@@ -133,7 +134,7 @@ def assemble_user_clusters(
 ) -> DataFrame:
     """The recommendation table from the stored rollup: slots, segment, names and labels."""
     slots = model_slots(rollup, scores, cat)
-    filled = assign_segment(fill_profiles(slots, rank_lists(rollup, cat), cat), cat)
+    filled = assign_segment(fill_profiles(slots, rank_lists(profile_uses(rollup), cat), cat), cat)
     if names is None:
         named = filled.withColumn("Name", F.lit(None).cast("string"))
     else:

@@ -15,14 +15,15 @@ def shared_dir(spark: SparkSession) -> str:
     (tests, a laptop) gets a temporary folder; a cluster session must name one.
     """
     context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            configured = tempfile.mkdtemp(prefix="gapwise-")
-        context.setCheckpointDir(configured)
-    return context.getCheckpointDir()
+        if configured is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        # Model training checkpoints there as well.
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="gapwise-"))
+    if configured is None:
+        return context.getCheckpointDir()
+    return f"{configured.rstrip('/')}/{context.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -5,7 +5,12 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from gapwise.operators import affinity, events, gaps, insights, profile
-from gapwise.operators.affinity import profile_affinity, service_profiles, user_rollup
+from gapwise.operators.affinity import (
+    profile_affinity,
+    profile_matrix,
+    service_profiles,
+    user_rollup,
+)
 from gapwise.sources import marts, tracking
 from gapwise.sources.tracking import TRACKING_SCHEMA
 from gapwise.storage import materialize, new_path, shared_dir
@@ -61,6 +66,8 @@ def test_rollup_equals_the_operators(inputs, cat):
     assert sorted(map(repr, rollup.collect())) == sorted(map(repr, joined.collect()))
     back = profile_affinity(rollup).collect()
     assert sorted(map(tuple, back)) == sorted(map(tuple, uses.collect()))
+    matrix = profile_matrix(rollup, cat).collect()
+    assert sorted(matrix) == sorted(affinity.usage_matrix(uses, cat).collect())
 
 
 def test_hot_user(spark, cat):

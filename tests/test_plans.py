@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.queries import QUERIES
+from gapwise.operators.affinity import profile_uses
 from gapwise.operators.ranking import rank_lists
 from gapwise.plans import build
 from tests.compare import differences, duck
@@ -87,7 +88,7 @@ def test_build_shuffles_users_once_per_user_table(spark, inputs, cat, no_broadca
 
 def test_rank_lists_are_bounded_by_the_catalogue(inputs, cat):
     rollup = build.event_rollup(inputs.events, cat)
-    rows = rank_lists(rollup, cat).collect()
+    rows = rank_lists(profile_uses(rollup), cat).collect()
     assert len(rows) == len(cat.core) + 1
     assert all(len(r["peers"]) <= len(cat.core) for r in rows)
 

@@ -72,8 +72,9 @@ def diagnose(spark: SparkSession, cat: Catalog, args: argparse.Namespace) -> Non
 def export(spark: SparkSession, cat: Catalog, args: argparse.Namespace) -> None:
     """The explorer's filtered view as CSV or JSON Lines."""
     users = read_mart(spark, args.marts, "user_clusters")
-    clusters = args.cluster or [segment.cluster_id for segment in cat.segments]
-    found = insights.explorer_filter(users, clusters, args.service or (), args.search, args.regex)
+    found = insights.explorer_filter(
+        users, args.cluster, args.service or (), args.search, args.regex
+    )
     view = insights.explorer_view(found, cat, args.raw)
     (export_csv if args.format == "csv" else export_json)(view, args.out)
 
@@ -91,7 +92,7 @@ def parser() -> argparse.ArgumentParser:
 
     needed, flag = {"required": True}, {"action": "store_true"}
     out, marts, events = ("--out", needed), ("--marts", needed), ("--events", needed)
-    names = ("--names", {"help": "Parquet table of user_id and Name"})
+    names = ("--names", {"help": "Parquet table with user_id and Name, such as stored users"})
     text_format = ("--format", {"choices": ("csv", "json"), "default": "csv"})
     log_format = ("--format", {"choices": ("csv", "parquet"), "default": "csv"})
 

@@ -149,17 +149,20 @@ def sample_users(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 def explorer_filter(
     user_clusters: DataFrame,
-    clusters: Sequence[int],
+    clusters: Sequence[int] | None = None,
     services: Sequence[str] = (),
     search: str = "",
     regex: bool = False,
 ) -> DataFrame:
     """Users in the clusters and services, with the text in their id or name.
 
-    No services means no service filter; users without a service always pass it.
+    Clusters default to all; no services means no service filter, and users
+    without a service always pass it.
     The text matches literally and in any case, or as a pattern with ``regex``.
     """
-    rows = user_clusters.filter(F.col("cluster_id").isin(list(clusters)))
+    rows = user_clusters
+    if clusters is not None:
+        rows = rows.filter(F.col("cluster_id").isin(list(clusters)))
     if services:
         service = F.col("active_service")
         rows = rows.filter(service.isin(list(services)) | service.isNull())

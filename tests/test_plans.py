@@ -34,25 +34,15 @@ def plan_of(df):
 
 
 @pytest.mark.parametrize("name", RELATIONAL)
-def test_no_python_and_no_cross_join(spark, sf_dir, name, no_broadcast):
+def test_plan(spark, sf_dir, name, no_broadcast):
     plan = plan_of(entry.queries()[name](spark, sf_dir))
     assert [node for node in FORBIDDEN if node in plan] == []
 
+    # With automatic broadcasts off, what is left are the hints: rank lists and thresholds.
+    keys = set(re.findall(r"BroadcastHashJoin \[(\w+)#", plan))
+    assert keys <= ({"list_key", "process_type"} if name == "adopted_services" else {"list_key"})
 
-@pytest.mark.parametrize("name", RELATIONAL)
-def test_only_bounded_tables_are_broadcast(spark, sf_dir, name, no_broadcast):
-    """With automatic broadcasts off, what is left are the hints: the rank lists and the thresholds."""
-    plan = plan_of(entry.queries()[name](spark, sf_dir))
-    keys = re.findall(r"BroadcastHashJoin \[(\w+)#", plan)
-    assert set(keys) <= {"list_key", "process_type"}
-    if "process_type" in keys:
-        assert name == "adopted_services"
-
-
-# Windows without keys order one row per service.
-@pytest.mark.parametrize("name", RELATIONAL)
-def test_windows_have_keys(spark, sf_dir, name, no_broadcast):
-    plan = plan_of(entry.queries()[name](spark, sf_dir))
+    # The only window without keys orders one row per service.
     unkeyed = re.search(r"windowspecdefinition\([^,]*(DESC|ASC)", plan)
     assert unkeyed is None or name == "global_rank"
 

@@ -164,6 +164,7 @@ def test_explorer_filter(spark):
         return sorted(r["user_id"] for r in rows)
 
     assert found([0, 1]) == ["u(1", "u2", "x3"]
+    assert found() == ["u(1", "u2", "x3"] and found([]) == []
     assert found([1], ["A"]) == ["u2"]
     assert found([0, 1], search="(") == ["u(1"]
     assert found([0, 1], search=" U2 ") == ["u2", "x3"]

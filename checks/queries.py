@@ -123,13 +123,9 @@ class Inputs:
     def user_index(self) -> DataFrame:
         return model.dense_index(self.affinity, "user_id", "user_idx")
 
-    @cached_property
-    def item_index(self) -> DataFrame:
-        return model.dense_index(self.affinity, "process_type", "process_idx")
-
     @cached_property
     def als_model(self):
-        indexed = model.index_affinity(self.affinity, self.user_index, self.item_index)
+        indexed = model.index_affinity(self.affinity, self.user_index, self.cat)
         params = model.AlsParams().for_size(self.user_index.count(), len(self.cat.core))
         return model.fit_als(indexed, params)
 
@@ -253,7 +249,7 @@ def q_score_all(i: Inputs) -> DataFrame:
 
 
 def q_decode_index(i: Inputs) -> DataFrame:
-    return model.decode_index(q_score_all(i), i.user_index, i.item_index)
+    return model.decode_index(q_score_all(i), i.user_index, i.cat)
 
 
 def q_build_with_als(i: Inputs) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapwise.catalog import Catalog
+from gapwise.catalog import Catalog, lookup
 from gapwise.operators.insights import sample_users
 from gapwise.storage import materialize
 
@@ -82,13 +82,16 @@ def dense_index(df: DataFrame, col: str, index: str = "idx") -> DataFrame:
     return placed.join(F.broadcast(offsets), "part").select(col, number.alias(index))
 
 
-def index_affinity(affinity_df: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
-    """The affinity table with numbered users and services.
+def index_affinity(affinity_df: DataFrame, users: DataFrame, cat: Catalog) -> DataFrame:
+    """The affinity table with numbered users and core services.
 
-    ``items`` numbers core services only, which bounds it by the catalogue.
+    Users take their numbers from the mapping table; a service's number is its
+    place in the catalogue, which needs no table.
     """
+    place = lookup({code: i for i, code in enumerate(cat.core)}, F.col("process_type"), "int")
     return (
-        affinity_df.join(F.broadcast(items), "process_type")
+        affinity_df.withColumn("process_idx", place)
+        .filter(F.col("process_idx").isNotNull())
         .join(users, "user_id")
         .select("user_idx", "process_idx", "interaction_count", "user_id", "process_type")
     )
@@ -149,19 +152,13 @@ def score_all(model: ALSModel, n_items: int) -> DataFrame:
     )
 
 
-def decode_index(scored: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
-    """Numbers back to ids; a number outside the mapping decodes to the unknown id.
-
-    ``items`` is bounded by the catalogue (see :func:`index_affinity`).
-    """
-    return (
-        scored.join(F.broadcast(items), "process_idx", "left")
-        .join(users, "user_idx", "left")
-        .select(
-            F.coalesce("user_id", F.lit(UNKNOWN_ID)).alias("user_id"),
-            F.coalesce("process_type", F.lit(UNKNOWN_ID)).alias("process_type"),
-            F.col("score").cast("double").alias("score"),
-        )
+def decode_index(scored: DataFrame, users: DataFrame, cat: Catalog) -> DataFrame:
+    """Numbers back to ids; a number outside the numbering decodes to the unknown id."""
+    service = lookup(dict(enumerate(cat.core)), F.col("process_idx"), "string")
+    return scored.join(users, "user_idx", "left").select(
+        F.coalesce("user_id", F.lit(UNKNOWN_ID)).alias("user_id"),
+        F.coalesce(service, F.lit(UNKNOWN_ID)).alias("process_type"),
+        F.col("score").cast("double").alias("score"),
     )
 
 

@@ -61,11 +61,10 @@ def als_scores(
     if n_users > max_block_users:
         matrix = profile_matrix(rollup, cat)
         return score_usage(matrix, fit_usage_factors(matrix, cat, params))
-    pairs = profile_affinity(rollup)
     users = dense_index(rollup, "user_id", "user_idx")
-    items = dense_index(pairs, "process_type", "process_idx")
-    model = fit_als(index_affinity(pairs, users, items), params.for_size(n_users, len(cat.core)))
-    return decode_index(score_all(model, len(cat.core)), users, items)
+    indexed = index_affinity(profile_affinity(rollup), users, cat)
+    model = fit_als(indexed, params.for_size(n_users, len(cat.core)))
+    return decode_index(score_all(model, len(cat.core)), users, cat)
 
 
 def model_slots(users: DataFrame, scores: DataFrame | None, cat: Catalog) -> DataFrame:

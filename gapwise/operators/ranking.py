@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapwise.catalog import Catalog
+from gapwise.catalog import Catalog, string_array
 from gapwise.operators.affinity import service_profiles
 
 MODEL_SLOTS = 2
@@ -53,50 +53,42 @@ def rank_lists(uses: DataFrame, cat: Catalog) -> DataFrame:
     """
     totals = (
         uses.filter(cat.is_core(F.col("process_type")))
-        .groupBy("active_service", "process_type")
-        .agg(F.sum("interaction_count").alias("peer_total"))
-    )
-    by_peers = F.when(
-        cat.is_core(F.col("active_service")), F.struct("active_service", "peer_total")
+        .groupBy(_list_key(cat).alias("list_key"), "process_type")
+        .agg(F.sum("interaction_count").alias("total"))
+        # At most n * (n + 1) rows, gathered so that the steps below move nothing.
+        .repartition(1)
     )
     services = totals.groupBy("process_type").agg(
-        F.sum("peer_total").alias("total"),
-        F.map_from_entries(F.collect_list(by_peers)).alias("by_peers"),
+        F.sum("total").alias("total"),
+        F.expr("map_from_entries(collect_list(struct(list_key, total)))").alias("by_key"),
     )
-    listed = services.agg(
-        F.collect_list(
-            F.struct(
-                "total",
-                cat.priority_of(F.col("process_type")).alias("priority"),
-                "process_type",
-                "by_peers",
-            )
-        ).alias("services")
+    order = cat.priority_of(F.col("process_type")).alias("priority")
+    listed = (
+        services.select("process_type", "total", "by_key", order)
+        .agg(F.expr("collect_list(struct(total, priority, process_type, by_key))").alias("services"))
+        .select("services", F.explode(string_array((*cat.core, ""))).alias("list_key"))
     )
 
-    def ranked(total) -> Column:
-        keyed = F.transform(
-            "services",
-            lambda s: F.struct(
-                (-total(s)).alias("negated"),
-                s.getField("priority").alias("priority"),
-                s.getField("process_type").alias("process_type"),
-            ),
-        )
-        present = F.filter(keyed, lambda s: s.getField("negated").isNotNull())
-        return F.sort_array(present).getField("process_type")
-
-    keys = F.array(*[F.lit(code) for code in (*cat.core, "")])
-    rows = listed.select(F.explode(keys).alias("list_key"), "services").select(
+    def ranked(total: str, condition: str) -> Column:
+        present = f"filter(services, s -> {condition})"
+        keyed = f"transform({present}, s -> struct(-{total}, s.priority, s.process_type))"
+        return F.expr(f"sort_array({keyed}).process_type")
+
+    by_everyone = ranked("s.total", "true")
+    by_peers = ranked("s.by_key[list_key]", "list_key <> '' AND map_contains_key(s.by_key, list_key)")
+    return listed.select(
         "list_key",
-        ranked(lambda s: F.try_element_at(s.getField("by_peers"), F.col("list_key"))).alias("peers"),
-        ranked(lambda s: s.getField("total")).alias("globals"),
-    )
-    return rows.withColumn(
-        "peers", F.when(F.size("peers") > 0, F.col("peers")).otherwise(F.col("globals"))
+        F.when(F.size(by_peers) > 0, by_peers).otherwise(by_everyone).alias("peers"),
+        by_everyone.alias("globals"),
     )
 
 
+def _list_key(cat: Catalog) -> Column:
+    """Whose peer list a user takes: the active service's, or the one with an empty key."""
+    active = F.col("active_service")
+    return F.when(cat.is_core(active), active).otherwise(F.lit(""))
+
+
 def attach_rank_lists(users: DataFrame, lists: DataFrame, cat: Catalog) -> DataFrame:
     """``peers`` and ``globals`` for every user, by active service.
 
@@ -104,10 +96,8 @@ def attach_rank_lists(users: DataFrame, lists: DataFrame, cat: Catalog) -> DataF
     is what makes the broadcast safe, and it keeps the few distinct join keys
     from concentrating all users in as many tasks.
     """
-    active = F.col("active_service")
-    key = F.when(cat.is_core(active), active).otherwise(F.lit(""))
     return (
-        users.withColumn("list_key", key)
+        users.withColumn("list_key", _list_key(cat))
         .join(F.broadcast(lists), "list_key", "left")
         .drop("list_key")
     )

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from gapwise.operators import affinity, events, gaps, insights, profile
@@ -189,3 +190,31 @@ def test_shared_folder_is_the_configured_one(spark):
     assert configured in shared_dir(spark)
     table = materialize(spark.range(3), "three")
     assert all(configured in f for f in table.inputFiles()) and table.count() == 3
+
+
+class Session:
+    """Just what the choice of the shared folder looks at."""
+
+    def __init__(self, master, configured=None):
+        self.sparkContext, self.conf = self, self
+        self.master, self.configured, self.chosen = master, configured, None
+        self.applicationId = "app-1"
+
+    def get(self, key, default):
+        return self.configured or default
+
+    def getCheckpointDir(self):
+        return self.chosen
+
+    def setCheckpointDir(self, path):
+        self.chosen = path
+
+
+def test_only_a_local_session_may_use_a_temporary_folder():
+    with pytest.raises(ValueError):
+        shared_dir(Session("yarn"))
+    configured = Session("yarn", "hdfs:///shared/")
+    assert shared_dir(configured) == "hdfs:///shared/app-1"
+    assert configured.chosen == "hdfs:///shared/"
+    local = Session("local[2]")
+    assert shared_dir(local) == local.chosen

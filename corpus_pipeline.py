@@ -11,7 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapwise.llm import op10_language
+from gapwise.llm import (
+    op4_order_minhash,
+    op5_quality,
+    op7_packing,
+    op8_decontaminate,
+    op10_language,
+)
 from gapwise.llm.common import keep_table, remainder, table
 from gapwise.llm.queries import LANGUAGE_FOLDS, LANGUAGE_HELD_OUT
 
@@ -22,8 +28,32 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return op10_language.keep_identified(docs, train)
 
 
+def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that fail the base rules or a rule learned from the labels of those still there."""
+    return op5_quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each group of near copies."""
+    return op4_order_minhash.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that overlap a benchmark item."""
+    return op8_decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences, with their ids."""
+    return op7_packing.pack_documents(docs).withColumn("ids_crc32", F.crc32("ids"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", identify_language),
+    ("quality_rules", judge_quality),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("packing", pack),
 ]
 
 #: Trained models and tokenizers are beyond SQL; tests compare the stages with brute force.

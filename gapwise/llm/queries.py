@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapwise.llm import op10_language
+from gapwise.llm import (
+    op1_sharding,
+    op2_warc,
+    op4_order_minhash,
+    op5_quality,
+    op6_repair,
+    op7_packing,
+    op8_decontaminate,
+    op9_html,
+    op10_language,
+)
 from gapwise.llm.common import remainder, table
+from gapwise.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,7 +33,56 @@ def q_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", fold == LANGUAGE_HELD_OUT)
 
 
+def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def q_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return op1_sharding.assign_shards(docs, ["doc_id"])
+
+
+def q_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    op2_warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return op2_warc.read_archives(spark, folder)
+
+
+def q_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "token-shards")
+    op6_repair.write_shards(table(spark, sf_dir, "documents"), folder)
+    read = op6_repair.read_shards(spark, folder)
+    return read.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def q_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_html.extract(table(spark, sf_dir, "pages"))
+
+
+def q_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def q_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = op7_packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def q_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_decontaminate.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 QUERIES: dict[str, Query] = {
+    "op1_sharding": q_sharding,
+    "op2_warc": q_warc,
+    "op4_near_duplicates": q_near_duplicates,
+    "op5_quality_rules": q_quality,
+    "op6_token_shards": q_token_shards,
+    "op7_packing": q_packing,
+    "op8_decontamination": q_decontamination,
+    "op9_html_text": q_html,
     "op10_language_id": q_language,
 }
 
@@ -32,4 +92,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_sharding": op1_sharding.oracle(), "op8_decontamination": op8_decontaminate.oracle()}

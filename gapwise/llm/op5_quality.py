@@ -24,7 +24,7 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 @dataclass(frozen=True)
 class RuleParams:
-    """quantiles: thresholds tried per feature.  max_rules, max_conditions: size of the list.
+    """quantiles: of each feature; thresholds are the middles between those that differ.  max_rules, max_conditions: size of the list.
     min_precision: least share of low-quality texts among those a rule covers, on the rows kept for pruning.
     min_support: low-quality rows a rule must cover there.
     """
@@ -32,8 +32,8 @@ class RuleParams:
     quantiles: int = 40
     max_rules: int = 8
     max_conditions: int = 4
-    min_precision: float = 0.95
-    min_support: int = 3
+    min_precision: float = 0.98
+    min_support: int = 8
 
 
 @dataclass(frozen=True)
@@ -94,6 +94,8 @@ def measure(docs: DataFrame, text: str = "text", into: str = "__m") -> DataFrame
     """``docs`` with a struct ``into`` of the measures and features of each whole text.
 
     A null text has no words.  Windows are compared by 64-bit hashes within a text.  Other columns are kept.
+    Store the result before filtering it: a filter would move below the lists of words and windows, which are looked
+    into element by element, and build them again for each element.
     """
     own = [F.col(f"`{c}`") for c in docs.columns]
     split = docs.select(
@@ -256,8 +258,11 @@ def learn_rules(measured: DataFrame, labels: DataFrame, params: RuleParams = Rul
     found = labelled.agg(
         *[F.percentile_approx(F.col(f).cast("double"), sorted(steps + tails), 2000).alias(f) for f in FEATURES]
     ).first()
-    thresholds = {f: sorted(set(found[f] or [])) for f in FEATURES}
-    thresholds = {f: values for f, values in thresholds.items() if values}
+    thresholds = {}
+    for f in FEATURES:
+        values = sorted(set(found[f] or []))
+        if len(values) > 1:
+            thresholds[f] = [(a + b) / 2 for a, b in zip(values, values[1:])]
     if not thresholds:
         discard(spark, [path])
         return []
@@ -293,9 +298,8 @@ def judge(docs: DataFrame, labels: DataFrame, params: RuleParams = RuleParams())
 
 def keep_good(docs: DataFrame, labels: DataFrame, params: RuleParams = RuleParams()) -> DataFrame:
     """The rows of ``docs`` that the base rules and the learned rules keep, with the columns they came with."""
-    features, path = keep_table(measure(docs.select("doc_id", "text")).select("doc_id", "__m.*"), "measured")
-    rules = learn_rules(features, labels, params)
-    discard(docs.sparkSession, [path])
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")  # names may clash
-    judged = measure(docs).select(row, "__m.*")
-    return judged.where(~base_failed() & verdict(rules).isNull()).select("__row.*")
+    measured, _ = keep_table(measure(docs).select(row, "__m.*"), "measured")
+    features = measured.select(F.col("__row.doc_id").alias("doc_id"), *MEASURES, *FEATURES[1:])
+    rules = learn_rules(features, labels, params)
+    return measured.where(~base_failed() & verdict(rules).isNull()).select("__row.*")

@@ -127,9 +127,10 @@ def overlapping_texts(docs: DataFrame, benchmark: DataFrame, params: SeedParams
     enough = F.exists(
         F.sequence("low", "high"), lambda s: total(F.slice("equal", s + 1, F.col("wide"))) >= F.col("least")
     )
-    verified = flags.where((F.col("low") <= F.col("high")) & F.when(F.col("low") <= F.col("high"), enough))
-    best = verified.groupBy("digest", "item_id").agg(F.max(total(F.col("equal"))).cast("long").alias("matched_words"))
-    kept, _ = keep_table(best, "seed-overlaps")
+    # A filter here would move below ``equal`` and compute it again for every window; an aggregate stays above.
+    matched = F.when(F.col("low") <= F.col("high"), F.when(enough, total(F.col("equal"))))
+    best = flags.groupBy("digest", "item_id").agg(F.max(matched).cast("long").alias("matched_words"))
+    kept, _ = keep_table(best.where("matched_words is not null"), "seed-overlaps")
     discard(spark, [item_path, seed_path, hit_path])
     return kept
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gapwise.llm import (
     op1_sharding,
     op2_warc,
+    op3_lm,
     op4_order_minhash,
     op5_quality,
     op6_repair,
@@ -24,6 +25,7 @@ from gapwise.storage import new_path
 Query = Callable[[SparkSession, str], DataFrame]
 
 LANGUAGE_FOLDS, LANGUAGE_HELD_OUT = 4, 2
+LM_FOLDS, LM_HELD_OUT = 5, 1
 
 
 def q_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +61,11 @@ def q_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_html.extract(table(spark, sf_dir, "pages"))
 
 
+def q_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return op3_lm.score_documents(docs, remainder(F.col("doc_id"), LM_FOLDS) == LM_HELD_OUT)
+
+
 def q_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -77,6 +84,7 @@ def q_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_sharding": q_sharding,
     "op2_warc": q_warc,
+    "op3_lm_scores": q_language_model,
     "op4_near_duplicates": q_near_duplicates,
     "op5_quality_rules": q_quality,
     "op6_token_shards": q_token_shards,

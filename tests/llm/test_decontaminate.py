@@ -1,0 +1,85 @@
+import random
+
+from gapwise.llm import op8_decontaminate as decontaminate
+
+RNG = random.Random(5)
+
+
+def phrase(n):
+    return [f"v{RNG.randrange(10**6)}" for _ in range(n)]
+
+
+ITEM, SHORT = phrase(30), phrase(7)
+
+
+def frame(spark, rows, name):
+    return spark.createDataFrame([(*r, "clash", 1) for r in rows], f"{name} bigint, text string, w string, shift int")
+
+
+def with_item(words, before=20, after=20):
+    return " ".join(phrase(before) + words + phrase(after))
+
+
+def test_verbatim_substituted_and_partial_passages(spark):
+    one, two = list(ITEM), list(ITEM)
+    one[4], one[11], one[19], one[27] = phrase(4)
+    for at in range(0, 30, 2):
+        two[at] = phrase(1)[0]
+    docs = [
+        (1, with_item(ITEM)), (2, with_item(one)), (3, with_item(two)), (4, with_item(ITEM[8:22])), (5, with_item(ITEM[:9])),
+        (6, with_item([w.upper() + "," for w in ITEM])), (7, with_item(SHORT)), (8, with_item(SHORT[:6])), (9, with_item([])),
+        (10, " ".join(ITEM)), (11, with_item(ITEM) + " " + with_item(SHORT)), (12, "\n".join(ITEM[-13:])),
+    ]
+    items = [(100, " ".join(ITEM)), (101, " ".join(SHORT)), (102, "of the and"), (103, None), (104, "")]
+    found = decontaminate.contaminated(frame(spark, docs, "doc_id"), frame(spark, items, "item_id")).collect()
+    pairs = {(r["doc_id"], r["item_id"]): r["matched_words"] for r in found}
+    assert pairs == {
+        (1, 100): 30, (2, 100): 26, (4, 100): 14, (6, 100): 30, (7, 101): 7, (10, 100): 30, (11, 100): 30, (11, 101): 7, (12, 100): 13,
+    }
+    kept = decontaminate.keep_clean(frame(spark, docs, "doc_id"), frame(spark, items, "item_id"))
+    assert {r["doc_id"] for r in kept.collect()} == {3, 5, 8, 9} and kept.columns == ["doc_id", "text", "w", "shift"]
+
+
+def test_recall_of_random_substitutions(spark):
+    """Two of thirty words replaced, anywhere: always found."""
+    docs = []
+    for i in range(60):
+        words = list(ITEM)
+        for at in RNG.sample(range(30), 2):
+            words[at] = phrase(1)[0]
+        docs.append((i, with_item(words)))
+    found = decontaminate.contaminated(frame(spark, docs, "doc_id"), frame(spark, [(1, " ".join(ITEM))], "item_id"))
+    assert found.count() == 60
+
+
+def test_a_passage_in_many_documents(spark):
+    docs = [(i, with_item(ITEM) if i % 2 else with_item(ITEM[:5])) for i in range(300)]
+    docs += [(1000 + i, docs[1][1]) for i in range(200)]
+    found = decontaminate.contaminated(frame(spark, docs, "doc_id"), frame(spark, [(1, " ".join(ITEM))], "item_id"))
+    assert found.count() == 350
+
+
+def test_seeds_beyond_the_broadcast_are_joined(spark, tiny_docs, tiny_dir):
+    benchmark = spark.read.parquet(f"{tiny_dir}/benchmark.parquet")
+    small = decontaminate.SeedParams(broadcast_rows=0)
+    one = decontaminate.contaminated(tiny_docs, benchmark).collect()
+    two = decontaminate.contaminated(tiny_docs, benchmark, small).collect()
+    assert sorted(one) == sorted(two) and one
+
+
+def test_odd_rows(spark, odd_docs, no_docs):
+    words = " ".join("a plain text of some words that nobody else has written down yet".split())
+    benchmark = frame(spark, [(1, words), (1, words), (None, words), (2, None)], "item_id")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(odd_docs, benchmark).collect()}
+    assert found == {(1, 1), (1, None)}
+    kept = decontaminate.keep_clean(odd_docs, benchmark)
+    assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count() - 2
+    assert decontaminate.contaminated(no_docs, benchmark).count() == 0
+    assert decontaminate.contaminated(odd_docs, benchmark.limit(0)).count() == 0
+    assert decontaminate.keep_clean(no_docs, benchmark.limit(0)).count() == 0
+
+
+def test_plan_is_native(tiny_docs, spark, tiny_dir):
+    found = decontaminate.contaminated(tiny_docs, spark.read.parquet(f"{tiny_dir}/benchmark.parquet"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan

@@ -67,23 +67,22 @@ def _seeds(words: str, masks: list[tuple[int, ...]]) -> Column:
 def overlapping_texts(docs: DataFrame, benchmark: DataFrame, params: SeedParams = SeedParams()) -> DataFrame:
     """``digest`` (of the text), ``item_id`` and ``matched_words`` of all verified overlaps, as a stored table."""
     spark = docs.sparkSession
+    wanted = benchmark.select("item_id", plain_words(F.col("text")).alias("iw")).distinct()
     items, item_path = keep_table(
-        benchmark.select("item_id", plain_words(F.col("text")).alias("iw"))
-        .where(F.size("iw") >= params.min_words)
-        .distinct(),
+        wanted.where(F.size("iw") >= params.min_words).withColumn("item", F.monotonically_increasing_id()),
         "seed-items",
     )
     # Items shorter than a mask are found by all their words; there are few such lengths.
     lengths = [r["n"] for r in items.where(F.size("iw") < params.span).select(F.size("iw").alias("n")).distinct().collect()]
     masks = [*params.masks, *(tuple(range(n)) for n in sorted(lengths))]
     spans = F.array(*[F.lit(1 + max(mask)) for mask in masks])
-    own = items.select("item_id", F.size("iw").alias("n"), F.posexplode_outer(_seeds("iw", masks)).alias("at", "h"))
+    own = items.select("item", F.size("iw").alias("n"), F.posexplode_outer(_seeds("iw", masks)).alias("at", "h"))
     mask = F.get(spans, F.pmod("at", F.lit(len(masks))))
     q = F.floor(F.col("at") / len(masks)).cast("int")
     inside = (mask + q <= F.col("n")) & (
         F.when(F.col("n") < params.span, mask == F.col("n")).otherwise(mask == params.span)
     )
-    seeds, seed_path = keep_table(own.where(inside).select("h", "item_id", q.alias("q"), mask.alias("span")), "seeds")
+    seeds, seed_path = keep_table(own.where(inside).select("h", "item", q.alias("q"), mask.alias("span")), "seeds")
     side = F.broadcast(seeds) if seeds.count() <= params.broadcast_rows else seeds
 
     split = docs.select(_digest(F.col("text")).alias("digest"), plain_words(F.col("text")).alias("w"))
@@ -91,21 +90,21 @@ def overlapping_texts(docs: DataFrame, benchmark: DataFrame, params: SeedParams
     hashed = split.select("digest", _seeds("w", masks).alias("s"))
     places = hashed.select("digest", F.posexplode_outer("s").alias("at", "h"))
     hits = places.join(side, "h").select(
-        "digest", "item_id", (F.floor(F.col("at") / len(masks)).cast("int") - F.col("q")).alias("shift"), "q", "span"
+        "digest", "item", (F.floor(F.col("at") / len(masks)).cast("int") - F.col("q")).alias("shift"), "q", "span"
     )
     diagonals, hit_path = keep_table(
-        hits.groupBy("digest", "item_id", "shift").agg(
+        hits.groupBy("digest", "item", "shift").agg(
             F.min(F.col("q") + F.col("span")).alias("first_end"), F.max("q").alias("last_start")
         ),
         "seed-hits",
     )
 
-    wanted = diagonals.select("digest").distinct()
+    suspects = diagonals.select("digest").distinct()
     texts = docs.select(_digest(F.col("text")).alias("digest"), "text").groupBy("digest").agg(
         F.any_value("text").alias("text")
     )
-    found = texts.join(wanted, "digest").select("digest", plain_words(F.col("text")).alias("w"))
-    aligned = diagonals.join(found, "digest").join(items, "item_id")
+    found = texts.join(suspects, "digest").select("digest", plain_words(F.col("text")).alias("w"))
+    aligned = diagonals.join(found, "digest").join(items, "item")
     length = F.size("iw")
     wide = F.least(F.lit(params.window), length)
     least = F.ceil(wide * params.similarity - 1e-9)

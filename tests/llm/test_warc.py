@@ -55,7 +55,7 @@ def test_copies_ties_and_odd_rows(spark, tmp_path):
 
 def test_files_roll_are_sorted_and_the_same_again(spark, tmp_path, tiny_dir):
     pages = spark.read.parquet(f"{tiny_dir}/pages.parquet")
-    params = warc.WarcParams(roll_bytes=20_000)
+    params = warc.WarcParams(roll_bytes=2_000)
     one = warc.write_archives(pages, str(tmp_path / "one"), params).orderBy("name").collect()
     two = warc.write_archives(pages, str(tmp_path / "two"), params).orderBy("name").collect()
     assert [(r["name"], r["file_digest"]) for r in one] == [(r["name"], r["file_digest"]) for r in two]

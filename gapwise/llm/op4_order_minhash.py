@@ -110,6 +110,77 @@ def sketch(words: np.ndarray, params: OrderMinHashParams) -> list[int]:
 # -- alignment ------------------------------------------------------------------------------
 
 
+#: Cells of the table of next differences, about 64 MB; wider bands are aligned row by row.
+_CELLS = 16_000_000
+
+
+def _runs(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """For each i the first place from i on where a[i] and b[i + k] differ, or the end of the diagonal."""
+    found = np.arange(len(a) + 1, dtype=np.int32)
+    low, high = max(0, -k), min(len(a), len(b) - k)
+    if high > low:
+        own = found[low:high]
+        next_one = np.where(a[low:high] != b[low + k : high + k], own, high)
+        found[low:high] = np.minimum.accumulate(next_one[::-1])[::-1]
+    return found
+
+
+def _edits(a: np.ndarray, b: np.ndarray, limit: int) -> int:
+    """Edit distance of a and b if it is at most ``limit``, else some number above it.
+
+    Diagonal k is j = i + k.  With each further edit the diagonals of the band reach on: by a replaced, a
+    deleted or an inserted word, and then as far as both texts agree.  Only diagonals from which the end is
+    still near enough count, so near copies cost a few steps over a few diagonals.
+    """
+    n, m = len(a), len(b)
+    end = m - n
+    if abs(end) > limit:
+        return limit + 1
+    most = (limit + abs(end)) // 2 + 1
+    below, above = min(most, n), min(most, m)
+    room = min(max(8, abs(end)), max(below, above))
+    table = np.empty((2 * room + 1, n + 1), np.int32)
+    table[room] = _runs(a, b, 0)
+    reach = np.full(2 * max(below, above) + 5, -(1 << 30), np.int64)
+    middle = max(below, above) + 2
+    reach[middle] = table[room][0]
+    built = 0
+    for edits in range(limit + 1):
+        if reach[middle + end] >= n:
+            return edits
+        wide = edits + 1
+        low, high = max(-wide, -below, end - (limit - wide)), min(wide, above, end + (limit - wide))
+        if low > high:
+            return limit + 1
+        while built < max(-low, high):
+            built += 1
+            if built > room:
+                if (4 * room + 1) * (n + 1) > _CELLS:
+                    return _by_rows(a, b, limit, 2 * built)
+                grown = np.empty((4 * room + 1, n + 1), np.int32)
+                grown[room : 3 * room + 1] = table
+                table, room = grown, 2 * room
+            table[room + built], table[room - built] = _runs(a, b, built), _runs(a, b, -built)
+        at = np.arange(low, high + 1)
+        own = middle + at
+        new = np.maximum(np.maximum(reach[own], reach[own + 1]) + 1, reach[own - 1])
+        new = np.minimum(new, np.minimum(n, m - at))
+        fit = new >= np.maximum(0, -at)
+        new[fit] = table[room + at[fit], new[fit]]
+        reach[own] = new
+    return limit + 1
+
+
+def _by_rows(a: np.ndarray, b: np.ndarray, limit: int, band: int) -> int:
+    """The same, in bands that widen until the distance lies within."""
+    while True:
+        band = min(band, limit)
+        found = _banded(a, b, band)
+        if found <= band or band == limit:
+            return found
+        band *= 3
+
+
 def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """Edit distance of a and b if it is at most ``band``, else some number above it.
 
@@ -166,14 +237,7 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     )
     if max(counts[counts > 0].sum(), -counts[counts < 0].sum()) > limit:
         return False
-    band = 32
-    while True:
-        band = min(band, limit)
-        if _banded(a, b, band) <= band:
-            return True
-        if band == limit:
-            return False
-        band *= 4
+    return _edits(a, b, limit) <= limit
 
 
 # -- the job ----------------------------------------------------------------------------------

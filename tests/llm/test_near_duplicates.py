@@ -37,6 +37,22 @@ def test_similar_on_long_texts():
     assert not omh.similar(a, np.sort(a), 0.8)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=30), st.lists(st.integers(0, 3), max_size=30), st.integers(0, 30))
+def test_both_alignments_are_exact(a, b, limit):
+    x, y, want = np.array(a, np.uint64), np.array(b, np.uint64), edits(a, b)
+    for found in (omh._edits(x, y, limit), omh._by_rows(x, y, limit, 1)):
+        assert found == want if want <= limit else found > limit
+
+
+def test_wide_bands_go_by_rows(monkeypatch):
+    monkeypatch.setattr(omh, "_CELLS", 5000)
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 50, 300).astype(np.uint64)
+    b = np.delete(a, rng.integers(0, 300, 50))
+    assert omh._edits(a, b, 60) == 300 - len(b) == edits(a.tolist(), b.tolist())
+
+
 def test_sketches_keep_the_order():
     rng = random.Random(2)
     words = [f"w{i}" for i in range(400)]

@@ -19,7 +19,13 @@ from gapwise.operators.model import k_sweep
 from gapwise.plans.build import als_scores, build_marts
 from gapwise.plans.enrich import enrich_marts
 from gapwise.sources.marts import export_csv, export_json, read_mart, read_marts, write_marts
-from gapwise.sources.tracking import conform_tracking, land_events, read_events
+from gapwise.sources.tracking import conform_tracking, land_events, read_events, read_tracking
+from gapwise.storage import work_folder
+
+
+def show_all(report: DataFrame) -> None:
+    """Print every row of a report; its rows are bounded by catalogue, clusters or sources."""
+    report.show(max(1, report.count()), truncate=False)
 
 
 def _names(spark: SparkSession, path: str | None) -> DataFrame | None:
@@ -28,13 +34,14 @@ def _names(spark: SparkSession, path: str | None) -> DataFrame | None:
 
 def land(spark: SparkSession, cat: Catalog, args: argparse.Namespace) -> None:
     """CSV or Parquet log of any supported shape to normalised, landed events."""
-    if args.format == "csv":
-        reader = spark.read.option("header", True).option("multiLine", not args.single_line)
-        log = reader.option("escape", '"').csv(args.log)
+    times = cat.settings.timestamp_columns
+    if args.format == "parquet":
+        log = conform_tracking(spark.read.parquet(args.log), times)
+    elif args.single_line == args.multi_line:
+        raise SystemExit("for a CSV log give --single-line, or --multi-line (a file is then one task)")
     else:
-        log = spark.read.parquet(args.log)
-    conformed = conform_tracking(log, cat.settings.timestamp_columns)
-    land_events(normalize_events(conformed), args.out)
+        log = read_tracking(spark, args.log, times, multi_line=args.multi_line)
+    land_events(normalize_events(log), args.out)
 
 
 def build(spark: SparkSession, cat: Catalog, args: argparse.Namespace) -> None:
@@ -54,19 +61,18 @@ def verify(spark: SparkSession, cat: Catalog, args: argparse.Namespace) -> None:
     """Row counts, NULLs, clusters, sources and first rows of the stored tables."""
     tables = read_marts(spark, args.marts)
     users = tables["user_clusters"]
-    quality.table_profile(tables).show(100, truncate=False)
-    quality.null_audit(users).show()
-    insights.cluster_dist(users).show()
-    insights.rec_sources(users).show()
-    insights.platform_kpis(users, tables["user_activity"]).show()
-    quality.preview(users, ["user_id"]).show(truncate=False)
+    show_all(quality.table_profile(tables))
+    show_all(quality.null_audit(users))
+    show_all(insights.cluster_dist(users))
+    show_all(insights.rec_sources(users))
+    show_all(insights.platform_kpis(users, tables["user_activity"]))
+    show_all(quality.preview(users, ["user_id"]))
 
 
 def diagnose(spark: SparkSession, cat: Catalog, args: argparse.Namespace) -> None:
     """Inertia and silhouette of the usage vectors for a range of K."""
     stats = read_mart(spark, args.marts, "user_service_stats")
-    sample = None if args.all_users else cat.settings.sample_users
-    k_sweep(usage_matrix(stats, cat), cat, sample=sample).show()
+    show_all(k_sweep(usage_matrix(stats, cat), cat, sample=args.sample))
 
 
 def export(spark: SparkSession, cat: Catalog, args: argparse.Namespace) -> None:
@@ -82,6 +88,7 @@ def export(spark: SparkSession, cat: Catalog, args: argparse.Namespace) -> None:
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(description=__doc__)
     top.add_argument("--catalog", help="JSON catalogue; the built-in one without it")
+    top.add_argument("--work", help="shared folder for intermediate tables, else spark.checkpoint.dir")
     commands = top.add_subparsers(dest="command", required=True)
 
     def command(run, *options: tuple[str, dict]) -> None:
@@ -96,11 +103,15 @@ def parser() -> argparse.ArgumentParser:
     text_format = ("--format", {"choices": ("csv", "json"), "default": "csv"})
     log_format = ("--format", {"choices": ("csv", "parquet"), "default": "csv"})
 
-    command(land, ("--log", needed), out, log_format, ("--single-line", flag))
+    command(
+        land, ("--log", needed), out, log_format,
+        ("--single-line", {**flag, "help": "no field of the CSV log has a line break: files are split over tasks"}),
+        ("--multi-line", {**flag, "help": "fields may have line breaks: each file is read by one task"}),
+    )
     command(build, events, out, names, ("--no-model", flag))
     command(enrich, marts, events, out, names)
     command(verify, marts)
-    command(diagnose, marts, ("--all-users", flag))
+    command(diagnose, marts, ("--sample", {"type": int, "help": "so many users, by a seed; all without it"}))
     command(
         export, marts, out, text_format,
         ("--cluster", {"type": int, "action": "append"}), ("--service", {"action": "append"}),
@@ -112,7 +123,9 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     cat = Catalog.from_json(args.catalog) if args.catalog else Catalog()
-    args.run(SparkSession.builder.appName(f"gapwise-{args.command}").getOrCreate(), cat, args)
+    spark = SparkSession.builder.appName(f"gapwise-{args.command}").getOrCreate()
+    with work_folder(spark, args.work):
+        args.run(spark, cat, args)
 
 
 if __name__ == "__main__":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +23,15 @@ def user_service_stats(affinity_df: DataFrame) -> DataFrame:
 
 
 def affinity_summary(affinity_df: DataFrame) -> DataFrame:
-    """Distinct users and distinct services."""
-    return affinity_df.agg(
-        F.count_distinct("user_id").alias("users"),
-        F.count_distinct("process_type").alias("services"),
+    """Distinct users and distinct services.
+
+    Users are counted from one row per user, services from one row per service; counting both
+    in one aggregate would double every row first.
+    """
+    users = affinity_df.select("user_id").distinct().agg(F.count("user_id").alias("users"))
+    services = affinity_df.groupBy("process_type").agg(F.count("*").alias("uses"))
+    return users.select(
+        "users", services.agg(F.count("process_type")).scalar().alias("services")
     )
 
 
@@ -98,30 +105,39 @@ def service_profiles(affinity_df: DataFrame, cat: Catalog) -> DataFrame:
 
 
 def user_rollup(events: DataFrame, cat: Catalog, pass_through: tuple[str, ...] = ()) -> DataFrame:
-    """Everything the event log says about a user, in one scan and one shuffle.
+    """Everything the event log says about a user: one row each.
 
     Like :func:`service_profiles`, plus the time of the last completed use and
-    the pass-through columns.  The counts of the core services are fixed-width
-    aggregates combined before the shuffle, so what moves is one row per user
-    and task however many events a user has.  Takes normalised events; users
-    without a completed use of a core service are left out.
+    the pass-through columns.  Takes normalised events; users without a
+    completed use of a core service are left out.
+
+    Counts and last use come from the completed uses alone, a filter that reaches the scan of landed
+    events; they are fixed-width, so a hash aggregate combines them before the
+    shuffle and a user leaves each task as one row.  The first values are text, which only a
+    sorting aggregate can hold, so they are taken apart, from rows that have one.
+    Both are shuffled by user and joined in place.  Events without a user are one user, without first
+    values.
     """
-    done = is_completed_core(cat)
-    counts = [
-        F.count_if(done & (F.col("process_type") == code)).alias(code) for code in cat.core
-    ]
-    rows = events.groupBy("user_id").agg(
-        *counts,
-        F.max(F.when(done, F.col("created_at"))).alias("last_active_at"),
-        *[first_value(col).alias(f"first_{col}") for col in pass_through],
+    counts = [F.count_if(F.col("process_type") == code).alias(code) for code in cat.core]
+    rows = (
+        events.filter(is_completed_core(cat))
+        .groupBy("user_id")
+        .agg(*counts, F.max("created_at").alias("last_active_at"))
     )
+    for col in pass_through:
+        first = (
+            events.filter(F.col(col).isNotNull())
+            .groupBy("user_id")
+            .agg(first_value(col).alias(f"first_{col}"))
+        )
+        rows = rows.join(first, "user_id", "left")
 
     def used(entry) -> Column:
         cells = [F.when(F.col(c) > 0, entry(F.col(c), F.lit(c), cat)) for c in cat.core]
         return F.array_compact(F.array(*cells))
 
     total = sum((F.col(c) for c in cat.core[1:]), F.col(cat.core[0]))
-    return rows.filter(total > 0).select(
+    return rows.select(
         "user_id",
         F.array_min(used(_descending)).getField("process_type").alias("active_service"),
         F.sort_array(used(_ascending)).alias("usage"),
@@ -131,14 +147,20 @@ def user_rollup(events: DataFrame, cat: Catalog, pass_through: tuple[str, ...] =
     )
 
 
-def profile_matrix(profiles: DataFrame, cat: Catalog) -> DataFrame:
-    """The usage matrix from per-user rows, without a shuffle."""
+def usage_counts(services: Sequence[str]) -> list[Column]:
+    """For per-user rows with ``usage``: the count of each service, zero where it is not used."""
 
     def count(code: str) -> Column:
         entry = F.get(F.filter("usage", lambda u: u.getField("process_type") == code), 0)
-        return F.coalesce(entry.getField("interaction_count"), F.lit(0)).alias(code)
+        return F.coalesce(entry.getField("interaction_count"), F.lit(0))
+
+    return [count(code) for code in services]
+
 
-    return profiles.select("user_id", *[count(code) for code in cat.core])
+def profile_matrix(profiles: DataFrame, cat: Catalog) -> DataFrame:
+    """The usage matrix from per-user rows, without a shuffle."""
+    counts = zip(usage_counts(cat.core), cat.core)
+    return profiles.select("user_id", *[count.alias(code) for count, code in counts])
 
 
 def profile_affinity(profiles: DataFrame) -> DataFrame:

@@ -10,20 +10,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapwise.catalog import Catalog
-from gapwise.functions.text import UUID_PATTERN, clean_title
+from gapwise.functions.text import UUID_PATTERN, clean_title, strip
 
 COMPLETED = "COMPLETED"
 
 
 def event_order() -> Column:
-    """Time order of events: missing times last, ties by event id."""
-    return F.struct(F.col("created_at").isNull(), F.col("created_at"), F.col("event_id"))
+    """Time order of events: missing times last, ties by event id, then by content.
+
+    A log without event ids is thereby ordered too: events that still tie are equal in all
+    that any operator takes from them.
+    """
+    return F.struct(
+        F.col("created_at").isNull(),
+        F.col("created_at"),
+        F.col("event_id"),
+        F.col("process_type"),
+        F.col("process_name"),
+    )
 
 
 def normalize_events(tracking: DataFrame) -> DataFrame:
-    """Status and service code in upper case."""
+    """Status and service code in upper case, ids without outer space."""
     return tracking.withColumns(
-        {"status": F.upper("status"), "process_type": F.upper("process_type")}
+        {
+            "user_id": strip(F.col("user_id")),
+            "status": F.upper("status"),
+            "process_type": F.upper("process_type"),
+        }
     )
 
 

@@ -144,7 +144,8 @@ def users_by_cluster(user_clusters: DataFrame, cluster_id: int) -> DataFrame:
 
 def sample_users(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``n`` users in a seeded pseudo-random order: a reproducible top-k, without a global sort."""
-    return df.orderBy(F.xxhash64("user_id", F.lit(seed)), "user_id").limit(n)
+    place = F.md5(F.concat_ws(":", "user_id", F.lit(str(seed))).cast("binary"))
+    return df.orderBy(place, "user_id").limit(n)
 
 
 def explorer_filter(

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -16,11 +15,8 @@ from gapwise.catalog import Catalog, lookup
 from gapwise.operators.insights import sample_users
 from gapwise.storage import materialize
 
-# Users that one block of the factorisation holds comfortably.
-USERS_PER_BLOCK = 200_000
-
-# Items up to this number are scored from literals inside the scan of the users.
-MAX_INLINE_ITEMS = 64
+# Numbers that the library's factorisation can take.
+MAX_LIBRARY_ID = (1 << 31) - 1
 
 # Id of users or services outside the numbering, model seed, number of segments.
 UNKNOWN_ID = "UNKNOWN"
@@ -36,18 +32,11 @@ class AlsParams:
     reg_param: float = 0.1
     alpha: float = 40.0
     seed: int = SEED
-    # Layout: blocks of users, by default as many as shuffle partitions; blocks of services.
-    user_blocks: int | None = None
+    # Layout of the library's fit: blocks of users and of services, whatever the size.  A block of
+    # services gets all ratings of its services, so very many users are for ``usage_factors``.
+    user_blocks: int = 10
     item_blocks: int = 5
 
-    def for_size(self, users: int, services: int) -> "AlsParams":
-        """The same model laid out for a table: a block per so many users, and per service.
-
-        What fits one block of users is too small to be worth splitting by service.
-        """
-        blocks = self.user_blocks or users // USERS_PER_BLOCK + 1
-        return replace(self, user_blocks=blocks, item_blocks=services if blocks > 1 else 1)
-
 
 def dense_index(df: DataFrame, col: str, index: str = "idx") -> DataFrame:
     """Mapping table from the distinct values of ``col`` to 0..n-1, in their order.
@@ -78,7 +67,7 @@ def dense_index(df: DataFrame, col: str, index: str = "idx") -> DataFrame:
         "coalesce(sum(rows) OVER "
         "(ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS offset",
     )
-    number = (F.col("offset") + F.col("local")).cast("int")
+    number = F.col("offset") + F.col("local")
     return placed.join(F.broadcast(offsets), "part").select(col, number.alias(index))
 
 
@@ -98,11 +87,15 @@ def index_affinity(affinity_df: DataFrame, users: DataFrame, cat: Catalog) -> Da
 
 
 def fit_als(indexed: DataFrame, params: AlsParams = AlsParams()) -> ALSModel:
-    """Implicit-feedback ALS.  The fixed layout of the input makes repeated fits equal."""
-    blocks = params.user_blocks or int(indexed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Implicit-feedback ALS.  The fixed layout of the input makes repeated fits equal.
+
+    The library numbers users with 32 bits; a greater number is an error.
+    """
+    too_large = F.raise_error(F.lit("the library ALS takes user numbers up to 2147483647"))
+    number = F.when(F.col("user_idx") <= MAX_LIBRARY_ID, F.col("user_idx")).otherwise(too_large)
     ratings = (
-        indexed.select("user_idx", "process_idx", "interaction_count")
-        .repartition(blocks, "user_idx")
+        indexed.select(number.cast("int").alias("user_idx"), "process_idx", "interaction_count")
+        .repartition(params.user_blocks, "user_idx")
         .sortWithinPartitions("user_idx", "process_idx")
     )
     als = ALS(
@@ -117,37 +110,45 @@ def fit_als(indexed: DataFrame, params: AlsParams = AlsParams()) -> ALSModel:
         coldStartStrategy="drop",
         seed=params.seed,
         nonnegative=True,
-        numUserBlocks=blocks,
+        numUserBlocks=params.user_blocks,
         numItemBlocks=params.item_blocks,
     )
     return als.fit(ratings)
 
 
 def score_all(model: ALSModel, n_items: int) -> DataFrame:
-    """The ``n_items`` best scored services of every user, as rows.
+    """The ``n_items`` best scored services of every user, as rows."""
+    return score_factors(model.userFactors, model.itemFactors, n_items)
 
-    There are as many item factors as services.  Few of them (checked) become
-    literals and each user is scored in place, without a shuffle; beyond that
-    the model's own blocked scoring does it.
-    """
-    items = model.itemFactors.limit(MAX_INLINE_ITEMS + 1).collect()
-    if len(items) > MAX_INLINE_ITEMS:
-        recs = model.recommendForAllUsers(n_items)
-        rows = recs.select("user_idx", F.inline("recommendations"))
-        return rows.withColumnRenamed("rating", "score")
 
-    def dot(vector: Sequence[float]) -> Column:
-        terms = [F.get("features", j) * F.lit(float(v)) for j, v in enumerate(vector)]
-        return sum(terms[1:], terms[0]).cast("float")
+def score_factors(users: DataFrame, items: DataFrame, n_items: int) -> DataFrame:
+    """Scores of ``users`` for ``items``, both with ``id`` and ``features``: the best ``n_items`` each.
 
-    scored = F.array(
+    There are as many items as services, whatever the data; they become one array and each user
+    is scored in place, without a shuffle.  Equal scores go to the greater number.
+    """
+    rows = sorted(items.collect(), key=lambda row: row.id)
+    if not rows:
+        return users.select(
+            F.col("id").alias("user_idx"), F.lit(None).cast("int").alias("process_idx"),
+            F.lit(None).cast("float").alias("score"),
+        ).limit(0)
+    vectors = F.array(
         *[
-            F.struct(dot(row.features).alias("score"), F.lit(row.id).alias("process_idx"))
-            for row in sorted(items, key=lambda row: row.id)
+            F.struct(F.lit(row.id).alias("id"), F.array(*[F.lit(float(v)) for v in row.features]).alias("v"))
+            for row in rows
         ]
     )
+
+    def dot(item: Column) -> Column:
+        products = F.zip_with("features", item["v"], lambda x, y: x.cast("double") * y)
+        return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+
+    scored = F.transform(
+        vectors, lambda item: F.struct(dot(item).cast("float").alias("score"), item["id"].alias("process_idx"))
+    )
     best = F.slice(F.sort_array(scored, asc=False), 1, n_items)
-    return model.userFactors.select(F.col("id").alias("user_idx"), F.inline(best)).select(
+    return users.select(F.col("id").alias("user_idx"), F.inline(best)).select(
         "user_idx", "process_idx", "score"
     )
 

@@ -13,58 +13,61 @@ ACTIVITY_KEYS = ("user_id", "process_type", "created_at")
 
 
 def restore_names(user_clusters: DataFrame, names: DataFrame) -> DataFrame:
-    """Users' own valid names, else the reference name for the same trimmed id.
+    """Users' own valid names, else the reference name for the same id.
 
-    Both tables grow with the users, so this is a shuffle join; the reference is
+    Ids of users are trimmed when events are normalised, so only those of the
+    reference are trimmed here, and users keep their place by id.  Both
+    tables grow with the users, so this is a shuffle join; the reference is
     first reduced to one row per id (the greatest name).
     """
     reference = (
-        names.select(strip(F.col("user_id")).alias("name_key"), valid_name(F.col("Name")).alias("n"))
+        names.select(strip(F.col("user_id")).alias("user_id"), valid_name(F.col("Name")).alias("n"))
         .filter(F.col("n").isNotNull())
-        .groupBy("name_key")
+        .groupBy("user_id")
         .agg(F.max("n").alias("reference_name"))
     )
     own = F.col("Name") if "Name" in user_clusters.columns else F.lit(None).cast("string")
     return (
         user_clusters.withColumn("Name", own)
-        .join(reference, strip(F.col("user_id")) == F.col("name_key"), "left")
+        .join(reference, "user_id", "left")
         .withColumn("Name", F.coalesce(valid_name(F.col("Name")), "reference_name"))
-        .drop("name_key", "reference_name")
+        .drop("reference_name")
     )
 
 
 def attach_activity_names(activity: DataFrame, events: DataFrame) -> DataFrame:
     """Activity rows with the title of the completed event of the same user, service and time.
 
-    Missing titles are taken from the first such event (by event id); NULL keys
-    match NULL keys.  Both sides are reduced before they meet, the events to one
-    row per key and the activity to its distinct rows.
+    Missing titles are taken from the first such event: by event id, those without
+    one last and by title; NULL keys match NULL keys.  Equal rows become one
+    and keep their least event id.
+
+    Only rows without a title look one up.  They are one per key by then, as are the events,
+    so a user whose events have no time meets its titles in as many rows as it has
+    services.
     """
+    rows = _merged(activity.withColumn("process_type", F.upper("process_type")))
+    first = F.struct(F.col("event_id").isNull(), F.col("event_id"), F.col("process_name").isNull(), F.col("process_name"))
     titles = (
         events.filter(F.col("status") == COMPLETED)
         .groupBy(*ACTIVITY_KEYS)
-        .agg(F.min_by("process_name", "event_id").alias("raw_name"))
+        .agg(F.min(first).getField("process_name").alias("raw_name"))
+        .filter(F.col("raw_name").isNotNull())
         .select(*[F.col(key).alias(f"raw_{key}") for key in ACTIVITY_KEYS], "raw_name")
     )
-    rows = activity.select(
-        "user_id",
-        F.upper("process_type").alias("process_type"),
-        "status",
-        "created_at",
-        "process_name",
-    ).distinct()
     same = [F.col(key).eqNullSafe(F.col(f"raw_{key}")) for key in ACTIVITY_KEYS]
-    return (
-        rows.join(titles, same, "left")
-        .select(
-            "user_id",
-            "process_type",
-            "status",
-            "created_at",
-            F.coalesce("process_name", "raw_name").alias("process_name"),
-        )
-        .distinct()
+    found = (
+        rows.filter(F.col("process_name").isNull())
+        .join(titles, same, "left")
+        .withColumn("process_name", F.col("raw_name"))
+        .select(*rows.columns)
     )
+    return _merged(rows.filter(F.col("process_name").isNotNull()).unionByName(found))
+
+
+def _merged(activity: DataFrame) -> DataFrame:
+    columns = ("user_id", "process_type", "status", "created_at", "process_name")
+    return activity.groupBy(*columns).agg(F.min("event_id").alias("event_id"))
 
 
 def label_join(

@@ -43,9 +43,18 @@ def lookup_user(user_clusters: DataFrame, user_id: str) -> DataFrame:
 
 
 def user_stats(stats: DataFrame, user_id: str | None = None) -> DataFrame:
-    """Use counts per service, most used first; for one user or for every user."""
+    """Use counts per service, most used first; for one user or for every user.
+
+    Every user's rows are together and in order; users themselves are in no order, which would be
+    a sort of the whole table.
+    """
     rows = only_user(stats, user_id).select("user_id", "process_type", "interaction_count")
-    return rows.orderBy("user_id", F.col("interaction_count").desc(), "process_type")
+    if user_id is None:
+        rows = rows.repartition("user_id")
+        return rows.sortWithinPartitions(
+            "user_id", F.col("interaction_count").desc(), "process_type"
+        )
+    return rows.orderBy(F.col("interaction_count").desc(), "process_type")
 
 
 def recent_activity(
@@ -58,7 +67,10 @@ def recent_activity(
     many that user has.
     """
     newest = Window.partitionBy("user_id").orderBy(
-        F.col("created_at").desc_nulls_last(), F.col("event_id").desc_nulls_last()
+        F.col("created_at").desc_nulls_last(),
+        F.col("event_id").desc_nulls_last(),
+        F.col("process_type").desc_nulls_last(),
+        F.col("process_name").desc_nulls_last(),
     )
     ranked = only_user(activity, user_id).withColumn("position", F.row_number().over(newest))
     return ranked.filter(F.col("position") <= n)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapwise.catalog import Catalog
@@ -18,92 +18,61 @@ from gapwise.operators.affinity import (
 )
 from gapwise.operators.events import completed_core, user_activity
 from gapwise.operators.fill import assign_segment, fill_profiles
-from gapwise.operators.model import (
-    AlsParams,
-    decode_index,
-    dense_index,
-    fit_als,
-    index_affinity,
-    score_all,
-)
+from gapwise.operators.model import AlsParams
 from gapwise.operators.naming import restore_names
 from gapwise.operators.ranking import rank_lists
-from gapwise.operators.usage_factors import fit_usage_factors, score_usage
+from gapwise.operators.usage_factors import fit_usage_factors, usage_scores
 from gapwise.sources.marts import USER_CLUSTERS_SCHEMA
 from gapwise.storage import materialize
 
-# Given the stored rollup, scores per user and service.
-Scorer = Callable[[DataFrame], DataFrame]
-
-# Users up to which the library ALS is used; a service's block has at most as many ratings.
-MAX_BLOCK_USERS = 10_000_000
+# Given the stored rollup, a column over its rows: an array of scores that follows the core services, NULL
+# where there is none.
+Scorer = Callable[[DataFrame], Column]
 
 
 def event_rollup(events: DataFrame, cat: Catalog) -> DataFrame:
-    """The one pass over all events: a stored row per user."""
+    """All events as a stored row per user; runs the job that stores it."""
     columns = tuple(c for c in cat.settings.pass_through_columns if c in events.columns)
     return materialize(user_rollup(events, cat, columns), "user-rollup")
 
 
-def als_scores(
-    rollup: DataFrame,
-    cat: Catalog,
-    params: AlsParams = AlsParams(),
-    max_block_users: int = MAX_BLOCK_USERS,
-) -> DataFrame:
-    """Model scores of every user for every service, from the stored rollup.
+def als_scores(rollup: DataFrame, cat: Catalog, params: AlsParams = AlsParams()) -> Column:
+    """Model scores of every user for every service, in the user's row; fits the model when called.
 
-    The library ALS holds all ratings of a service in one block, so it is used
-    up to ``max_block_users`` users (a count that the stored files answer from
-    their footers); beyond that the model is fitted without gathering users.
+    The fit never gathers the users of a service and is the same for any number of them.
     """
-    n_users = rollup.count()
-    if n_users > max_block_users:
-        matrix = profile_matrix(rollup, cat)
-        return score_usage(matrix, fit_usage_factors(matrix, cat, params))
-    users = dense_index(rollup, "user_id", "user_idx")
-    indexed = index_affinity(profile_affinity(rollup), users, cat)
-    model = fit_als(indexed, params.for_size(n_users, len(cat.core)))
-    return decode_index(score_all(model, len(cat.core)), users, cat)
-
-
-def model_slots(users: DataFrame, scores: DataFrame | None, cat: Catalog) -> DataFrame:
-    """The two best scored services that each user has not adopted.
-
-    ``scores`` has a row per user and core service.  They are gathered into the
-    user's row (never more than there are core services), where the adopted ones
-    are dropped; the join is the only shuffle.
+    return usage_scores(fit_usage_factors(profile_matrix(rollup, cat), cat, params))
+
+
+def model_slots(users: DataFrame, scores: Column | None, cat: Catalog) -> DataFrame:
+    """The two best scored services that each user has not adopted, all within the user's row.
+
+    ``scores`` follows the core services; ties go to priority, then code.
     """
     if scores is None:
         empty = F.lit(None).cast("string")
         return users.withColumns({"cross_recommend_1": empty, "cross_recommend_2": empty})
-    ranked = (
-        scores.filter(cat.is_core(F.col("process_type")))
-        .groupBy("user_id")
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct(
-                        (-F.col("score")).alias("negated"),
-                        cat.priority_of(F.col("process_type")).alias("priority"),
-                        "process_type",
-                    )
-                )
-            ).alias("scored")
+    entries = [
+        F.when(
+            F.get("scores", i).isNotNull(),
+            F.struct(
+                (-F.get("scores", i)).alias("negated"),
+                cat.priority_of(F.lit(code)).alias("priority"),
+                F.lit(code).alias("process_type"),
+            ),
         )
-    )
+        for i, code in enumerate(cat.core)
+    ]
+    scored = users.withColumn("scores", scores)
+    ranked = F.sort_array(F.array_compact(F.array(*entries))).getField("process_type")
     adopted = F.col("usage.process_type")
     if cat.settings.use_percentile_gaps:
-        users = _with_adopted(users, cat)
+        scored = _with_adopted(scored, cat)
         adopted = F.col("adopted")
-    gaps = F.array_except(
-        F.coalesce(F.col("scored.process_type"), F.array().cast("array<string>")), adopted
-    )
-    return (
-        users.join(ranked, "user_id", "left")
-        .withColumns({"cross_recommend_1": F.get(gaps, 0), "cross_recommend_2": F.get(gaps, 1)})
-        .drop("scored", "adopted")
-    )
+    gaps = F.array_except(ranked, adopted)
+    return scored.withColumns(
+        {"cross_recommend_1": F.get(gaps, 0), "cross_recommend_2": F.get(gaps, 1)}
+    ).drop("scores", "adopted")
 
 
 def _with_adopted(users: DataFrame, cat: Catalog) -> DataFrame:
@@ -129,7 +98,7 @@ def assemble_user_clusters(
     rollup: DataFrame,
     names: DataFrame | None,
     cat: Catalog,
-    scores: DataFrame | None = None,
+    scores: Column | None = None,
 ) -> DataFrame:
     """The recommendation table from the stored rollup: slots, segment, names and labels."""
     slots = model_slots(rollup, scores, cat)
@@ -180,13 +149,14 @@ def build_marts(
     cat: Catalog,
     scorer: Scorer | None = None,
 ) -> dict[str, DataFrame]:
-    """All three tables from normalised events, read once for users and once for the activity.
+    """All three tables from normalised events.
 
-    Landed events (:func:`gapwise.sources.tracking.land_events`) are the intended
-    input: the activity scan then skips everything that is not a completed use.
+    Events are read for the users' counts, for their first titles and for the activity.  Landed events (:func:`gapwise.sources.tracking.land_events`) are the intended
+    input: all but the titles' scan then skip everything that is not a completed use.
 
     ``scorer`` makes the model scores from the stored rollup, for example
-    ``functools.partial(als_scores, cat=cat)``.
+    ``functools.partial(als_scores, cat=cat)``.  Calling this runs the jobs that store the rollup and fit
+    the model; the tables themselves are computed when they are used.
     """
     rollup = event_rollup(events, cat)
     scores = scorer(rollup) if scorer is not None else None

@@ -6,7 +6,7 @@ number in ``props``; that leaves each user with one to five services.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapwise.catalog import Catalog
@@ -74,6 +74,45 @@ def fixed_scores(users: DataFrame, cat: Catalog) -> DataFrame:
     return pairs.withColumn("score", score.cast("double"))
 
 
+def fixed_score_array(cat: Catalog) -> Column:
+    """The scores of :func:`fixed_scores` as an array in the user's row."""
+    ranks = [cat.priority_of(F.lit(code)) for code in cat.core]
+    scores = [((F.col("user_id").cast("long") * 31 + r * r * 17) % 5) / 5.0 for r in ranks]
+    return F.array(*[s.cast("double") for s in scores])
+
+
+def fixed_factors(index: DataFrame, services: int) -> tuple[DataFrame, DataFrame]:
+    """Stand-ins for a model's factors: of the numbered users, and of the services."""
+    number = F.col("user_idx")
+    users = index.select(
+        number.alias("id"),
+        F.array((number * 7 % 11) / 8.0, (number * 3 % 5) / 4.0).cast("array<float>").alias("features"),
+    )
+    number = F.col("id")
+    items = index.sparkSession.range(services).select(
+        number.cast("int").alias("id"),
+        F.array((number + 1) / 2.0, (number * number % 3) / 4.0).cast("array<float>").alias("features"),
+    )
+    return users, items
+
+
+def reordered_log(tracking_df: DataFrame) -> DataFrame:
+    """The log as other systems write it: no event id, columns in another order, times as text with an offset.
+
+    Odd events tell the time of a zone five and a half hours ahead.
+    """
+    odd = F.col("event_id") % 2 == 1
+    ahead = F.col("created_at") + F.expr("INTERVAL '5:30' HOUR TO MINUTE")
+    text = F.date_format(F.when(odd, ahead).otherwise(F.col("created_at")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return tracking_df.select(
+        "status",
+        "process_name",
+        F.concat(text, F.when(odd, "+05:30").otherwise("Z")).alias("event_time"),
+        F.concat(F.lit(" "), "user_id").alias("user_id"),
+        "process_type",
+    )
+
+
 def uuid_like_ids(tracking_df: DataFrame) -> DataFrame:
     """Each user's id as a UUID-like text; every third one is cut short."""
     digest = F.md5(F.col("user_id").cast("binary"))

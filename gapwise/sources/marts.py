@@ -54,10 +54,15 @@ MART_SCHEMAS = {
     "user_service_stats": USER_SERVICE_STATS_SCHEMA,
 }
 
-# Layout of each table.  The range keys end in columns that are nearly unique, so
-# a user, or a cluster, that holds a large share of the rows is split over many
-# tasks and files.
-_RANGE_KEYS = {
+# Layout of each table: rows are dealt by a hash of the first, and sorted by the second.  The hashed
+# keys are nearly unique, so a user, or a cluster, that holds a large share of the rows
+# is split over many tasks and files.
+_DEAL_KEYS = {
+    "user_clusters": ("user_id",),
+    "user_activity": ("user_id", "created_at", "event_id", "process_name"),
+    "user_service_stats": ("user_id",),
+}
+_SORT_KEYS = {
     "user_clusters": ("cluster_id", "user_id"),
     "user_activity": ("user_id", "created_at", "event_id"),
     "user_service_stats": ("user_id", "process_type"),
@@ -70,13 +75,14 @@ def write_marts(marts: Mapping[str, DataFrame], path: str) -> None:
 
     Files are sorted by user, so a lookup by user id skips row groups, and
     ``user_clusters`` is partitioned by cluster, so browsing a cluster reads
-    nothing else.
+    nothing else.  Every table is computed once: dealing by hash needs no sample of it.
     """
     for name, df in marts.items():
-        keys = [key for key in _RANGE_KEYS[name] if key in df.columns]
+        dealt = [key for key in _DEAL_KEYS[name] if key in df.columns]
+        ordered = [key for key in _SORT_KEYS[name] if key in df.columns]
         (
-            df.repartitionByRange(*keys)
-            .sortWithinPartitions(*keys)
+            df.repartition(*dealt)
+            .sortWithinPartitions(*ordered)
             .write.mode("overwrite")
             .partitionBy(*_PARTITION_BY.get(name, ()))
             .parquet(f"{path}/{name}")

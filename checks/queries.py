@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property, partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapwise.catalog import Catalog
@@ -92,12 +93,12 @@ class Inputs:
     def active(self) -> DataFrame:
         return ranking.active_service(self.affinity, self.cat)
 
-    def scorer(self, users: DataFrame) -> DataFrame:
-        return fixture.fixed_scores(users, self.cat)
+    def scorer(self, users: DataFrame) -> Column:
+        return fixture.fixed_score_array(self.cat)
 
     @property
     def scores(self) -> DataFrame:
-        return self.scorer(self.user_clusters)
+        return fixture.fixed_scores(self.user_clusters, self.cat)
 
     @property
     def scored_gaps(self) -> DataFrame:
@@ -125,9 +126,7 @@ class Inputs:
 
     @cached_property
     def als_model(self):
-        indexed = model.index_affinity(self.affinity, self.user_index, self.cat)
-        params = model.AlsParams().for_size(self.user_index.count(), len(self.cat.core))
-        return model.fit_als(indexed, params)
+        return model.fit_als(model.index_affinity(self.affinity, self.user_index, self.cat))
 
 
 _INPUTS: dict[tuple[str, str], Inputs] = {}
@@ -149,6 +148,19 @@ def q_read_tracking(i: Inputs) -> DataFrame:
     return tracking.read_tracking(i.spark, path)
 
 
+def q_reordered_log(i: Inputs) -> DataFrame:
+    """What is read from a log without event ids, whose columns and times are written another way."""
+    path = new_path(i.spark, "reordered-csv")
+    marts.export_csv(fixture.reordered_log(i.tracking), path)
+    log = events.normalize_events(tracking.read_tracking(i.spark, path, multi_line=False))
+    path = new_path(i.spark, "reordered-events")
+    tracking.land_events(log, path)
+    landed = tracking.read_events(i.spark, path)
+    counts = landed.groupBy("user_id").agg(F.count("*").alias("events"), F.max("created_at").alias("newest"))
+    firsts = events.pass_through_first(landed, "process_name")
+    return counts.join(firsts, "user_id").join(events.latest_activity_hint(landed), "user_id", "left")
+
+
 def q_pick_timestamp(i: Inputs) -> DataFrame:
     other = i.tracking.withColumnRenamed("created_at", "event_time").withColumn(
         "updated_at", F.lit(None).cast("timestamp_ntz")
@@ -244,23 +256,95 @@ def q_user_profile(i: Inputs) -> DataFrame:
     return profile.user_profile(i.user_clusters, i.cat)
 
 
+def _fixed_scores(i: Inputs, services: int, n: int) -> DataFrame:
+    return model.score_factors(*fixture.fixed_factors(i.user_index, services), n)
+
+
 def q_score_all(i: Inputs) -> DataFrame:
-    return model.score_all(i.als_model, len(i.cat.core))
+    return _fixed_scores(i, len(i.cat.core), 3)
 
 
 def q_decode_index(i: Inputs) -> DataFrame:
-    return model.decode_index(q_score_all(i), i.user_index, i.cat)
+    """Every number is moved by one, so the last user and a sixth service are unknown."""
+    scored = _fixed_scores(i, len(i.cat.core) + 1, len(i.cat.core) + 1)
+    moved = scored.withColumn("user_idx", F.col("user_idx") + 1)
+    return model.decode_index(moved, i.user_index, i.cat)
+
+
+def q_fit_als(i: Inputs) -> DataFrame:
+    """What must hold for any fitted model: as many factors as users and services, all of them
+    numbers that are not negative, and a loss below that of knowing nothing."""
+    als, params, n = i.als_model, model.AlsParams(), len(i.cat.core)
+    features = als.userFactors.union(als.itemFactors).select(F.explode("features").alias("v"))
+    bad = features.agg(F.count_if(F.col("v").isNull() | F.isnan("v") | (F.col("v") < 0)).alias("bad_values"))
+    indexed = model.index_affinity(i.affinity, i.user_index, i.cat)
+    pairs = model.score_all(als, n).join(indexed, ["user_idx", "process_idx"], "left")
+    used = F.col("interaction_count").isNotNull()
+    weight = 1 + params.alpha * F.coalesce("interaction_count", F.lit(0))
+    loss = pairs.agg(
+        F.count("*").alias("pairs"),
+        F.sum(weight * F.pow(used.cast("double") - F.col("score"), 2)).alias("loss"),
+        F.sum(F.when(used, weight)).alias("without"),
+    )
+    return (
+        als.userFactors.agg(F.count_distinct("id").alias("users"), F.min(F.size("features")).alias("rank"))
+        .join(als.itemFactors.agg(F.count_distinct("id").alias("services")))
+        .join(bad)
+        .join(loss)
+        .select(
+            "users", "services", "rank", "bad_values", "pairs",
+            (F.col("loss") < 0.5 * F.col("without")).alias("lowers_loss"),
+        )
+    )
 
 
-def q_build_with_als(i: Inputs) -> DataFrame:
-    scorer = partial(build.als_scores, cat=i.cat)
-    return build.build_user_clusters(i.events, i.names, i.cat, scorer)
+def q_k_sweep(i: Inputs) -> DataFrame:
+    """Which K were tried, and how many of them have measures that are possible."""
+    vectors = model.usage_vectors(affinity.usage_matrix(i.affinity, i.cat), i.cat)
+    parts = vectors.select(F.posexplode(vector_to_array("features")).alias("at", "v"))
+    spread = parts.groupBy("at").agg(F.var_pop("v") * F.count("*")).toDF("at", "s").agg(F.sum("s").alias("most"))
+    swept = model.k_sweep(affinity.usage_matrix(i.affinity, i.cat), i.cat)
+    possible = F.col("silhouette").between(-1, 1) & F.col("inertia").between(0, F.col("most"))
+    return swept.join(spread).agg(
+        F.min("k").alias("k_min"), F.max("k").alias("k_max"), F.count("*").alias("tried"),
+        F.count_if(possible).alias("possible"), F.count_if("is_best").alias("best"),
+    )
+
 
+def q_kmeans_segments(i: Inputs) -> DataFrame:
+    found = model.kmeans_segments(affinity.usage_matrix(i.affinity, i.cat), i.cat)
+    return found.agg(
+        F.count("*").alias("rows"), F.count_distinct("user_id").alias("users"),
+        F.count_distinct("kmeans_cluster").alias("segments"), F.count_if(F.col("kmeans_cluster").isNull()).alias("without"),
+    )
 
-def q_build_with_usage_factors(i: Inputs) -> DataFrame:
-    """The build as it runs beyond the users that the library ALS can take."""
-    scorer = partial(build.als_scores, cat=i.cat, max_block_users=0)
-    return build.build_user_clusters(i.events, i.names, i.cat, scorer)
+
+def build_with_als(i: Inputs) -> DataFrame:
+    return build.build_user_clusters(i.events, i.names, i.cat, partial(build.als_scores, cat=i.cat))
+
+
+def q_build_with_als(i: Inputs) -> DataFrame:
+    """What must hold for a build with any trained model, over all users: where their first recommendation
+    comes from, and how many rows break a rule."""
+    used = i.affinity.groupBy("user_id").agg(F.collect_set("process_type").alias("used"))
+    rows = build_with_als(i).join(used, "user_id", "full")
+    one, two = F.col("cross_recommend_1"), F.col("cross_recommend_2")
+    first, second = F.col("rec1_source"), F.col("rec2_source")
+    new = ~F.array_contains("used", one) & F.coalesce(~F.array_contains("used", two), F.lit(True))
+    rules = (
+        F.col("user_id").isNotNull() & one.isNotNull() & F.coalesce(one != two, F.lit(True))
+        & (two.isNull() == second.isNull()) & (second.isNull() == F.col("rec2_score").isNull())
+        & F.when(first == "als", new & (F.col("rec1_score") == 88) & F.coalesce(F.col("rec2_score") == 58, F.lit(True)))
+        .when(first == "usage", (F.col("rec1_score") == 65) & (F.col("rec2_score") == 52))
+        .otherwise(False)
+    )
+    return rows.agg(
+        F.count("*").alias("users"),
+        F.count_if(first == "als").alias("from_model"),
+        F.count_if(first == "usage").alias("full_profiles"),
+        F.count_if(two.isNull()).alias("one_gap"),
+        F.count_if(~F.coalesce(rules, F.lit(False))).alias("broken"),
+    )
 
 
 def _titles(i: Inputs, cleaned) -> DataFrame:
@@ -275,10 +359,6 @@ def q_display_name(i: Inputs) -> DataFrame:
     )
 
 
-def q_segment_alternative(i: Inputs) -> DataFrame:
-    return model.kmeans_segments(affinity.usage_matrix(i.affinity, i.cat), i.cat)
-
-
 def _preview(i: Inputs) -> DataFrame:
     return quality.preview(i.user_clusters, ["user_id"])
 
@@ -286,6 +366,7 @@ def _preview(i: Inputs) -> DataFrame:
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     # sources and sinks
     "read_tracking": q_read_tracking,
+    "reordered_log": q_reordered_log,
     "pick_timestamp": q_pick_timestamp,
     "read_marts": q_read_marts,
     "write_marts": q_write_marts,
@@ -341,11 +422,11 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "segment_directory": lambda i: naming.segment_directory(i.user_clusters, i.cat),
     # model
     "dense_index": lambda i: i.user_index,
-    "fit_als": lambda i: i.als_model.userFactors,
+    "fit_als": q_fit_als,
     "score_all": q_score_all,
     "decode_index": q_decode_index,
-    "k_sweep": lambda i: model.k_sweep(affinity.usage_matrix(i.affinity, i.cat), i.cat),
-    "kmeans_segments": q_segment_alternative,
+    "k_sweep": q_k_sweep,
+    "kmeans_segments": q_kmeans_segments,
     # recommendation assembly
     "assign_segment": lambda i: fill.assign_segment(i.active, i.cat),
     "fill_gaps": lambda i: fill.fill_gaps(i.model_slots, i.affinity, i.cat),
@@ -364,7 +445,6 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
         i.events, i.names, i.cat
     ),
     "build_user_clusters_als": q_build_with_als,
-    "build_user_clusters_usage_factors": q_build_with_usage_factors,
     # single users, for all of them
     "user_summary": lambda i: profile.user_summary(i.affinity, i.activity, i.cat),
     "service_share": lambda i: profile.service_share(i.affinity, i.cat),

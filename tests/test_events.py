@@ -152,6 +152,44 @@ def test_conform_tracking(spark):
     assert tuple(conformed.first()) == (None, "7", "A", "done", None, T0)
 
 
+def test_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "log.csv").write_text("status,more,completed_at,user_id\nDONE,x,2024-01-01T00:00:00,u\n")
+    row = tracking.read_tracking(spark, str(tmp_path)).first()
+    assert tuple(row) == (None, "u", None, "DONE", None, T0)
+
+
+@pytest.mark.parametrize("text,hour,minute", [
+    ("2024-01-01T10:00:00+05:30", 4, 30), ("2024-01-01T09:00:00Z", 9, 0), ("2024-01-01 09:00:00", 9, 0),
+])
+def test_zone_offsets_are_kept(spark, text, hour, minute):
+    log = spark.createDataFrame([("u", text)], "user_id string, created_at string")
+    assert tracking.conform_tracking(log).first()["created_at"] == dt.datetime(2024, 1, 1, hour, minute)
+
+
+def test_the_latest_event_across_zones(spark):
+    log = spark.createDataFrame(
+        [("u", "COMPLETED", "early", "2024-01-01T10:00:00+05:30"), ("u", "COMPLETED", "late", "2024-01-01T09:00:00Z")],
+        "user_id string, status string, process_name string, created_at string",
+    )
+    hint = events.latest_activity_hint(events.normalize_events(tracking.conform_tracking(log))).first()
+    assert hint["hint"] == "late"
+
+
+def test_events_without_ids_are_ordered_by_content(spark):
+    rows = [("u", kind, "COMPLETED", name, None, None) for kind, name in (("B", "x"), ("A", "z"), ("A", "y"), ("B", None))]
+    schema = "user_id string, process_type string, status string, process_name string, created_at timestamp_ntz, event_id long"
+    for n in (1, 3):
+        log = spark.createDataFrame(rows, schema).repartition(n)
+        assert events.pass_through_first(log, "process_name").first()["process_name"] == "y"
+        assert events.latest_activity_hint(log).first()["hint"] == "x"
+
+
+def test_ids_are_trimmed_when_normalised(spark):
+    log = spark.createDataFrame([(" a ",), ("b",), (None,)], "user_id string")
+    conformed = events.normalize_events(tracking.conform_tracking(log))
+    assert sorted(r["user_id"] or "" for r in conformed.collect()) == ["", "a", "b"]
+
+
 def test_landed_events_are_filtered_in_the_scan(inputs, spark, cat):
     plan = inputs.completed._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(status,COMPLETED)" in plan and "In(process_type" in plan

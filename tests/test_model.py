@@ -2,6 +2,7 @@
 
 import itertools
 import math
+from fractions import Fraction
 from functools import partial
 
 import numpy as np
@@ -27,10 +28,9 @@ def matrix(inputs, cat):
     return usage_matrix(inputs.affinity, cat)
 
 
-@pytest.fixture(scope="module", params=["library", "usage factors"])
-def built(request, inputs, cat):
-    users = build.MAX_BLOCK_USERS if request.param == "library" else 0
-    scorer = partial(build.als_scores, cat=cat, max_block_users=users)
+@pytest.fixture(scope="module")
+def built(inputs, cat):
+    scorer = partial(build.als_scores, cat=cat)
     table = build.build_user_clusters(inputs.events, inputs.names, cat, scorer)
     return [row.asDict() for row in table.collect()]
 
@@ -101,7 +101,7 @@ def test_decoding_inverts_numbering(inputs, cat):
 
 
 def test_numbers_outside_the_mapping_are_unknown(spark, inputs, cat):
-    scored = spark.createDataFrame([(10**6, 0, 1.0), (0, 99, 1.0)], "user_idx int, process_idx int, score double")
+    scored = spark.createDataFrame([(10**12, 0, 1.0), (0, 99, 1.0)], "user_idx long, process_idx int, score double")
     rows = model.decode_index(scored, inputs.user_index, cat).collect()
     assert {(r["user_id"] == "UNKNOWN", r["process_type"] == "UNKNOWN") for r in rows} == {
         (True, False), (False, True),
@@ -111,16 +111,29 @@ def test_numbers_outside_the_mapping_are_unknown(spark, inputs, cat):
 # -- library model -------------------------------------------------------------------
 
 
-def test_inline_scoring_equals_the_library(inputs, cat, monkeypatch):
+def test_scoring_equals_the_library(inputs, cat):
     n = 3
-    inline = model.score_all(inputs.als_model, n).collect()
-    monkeypatch.setattr(model, "MAX_INLINE_ITEMS", 1)
-    library = model.score_all(inputs.als_model, n).collect()
-    ours = {(r["user_idx"], r["process_idx"]): r["score"] for r in inline}
-    theirs = {(r["user_idx"], r["process_idx"]): r["score"] for r in library}
-    assert len(inline) == len(library) == n * inputs.user_index.count()
-    close = [ours[k] == pytest.approx(theirs[k], abs=1e-5) for k in ours if k in theirs]
-    assert all(close) and len(close) > 0.99 * len(ours)
+    ours = {(r["user_idx"], r["process_idx"]): r["score"] for r in model.score_all(inputs.als_model, n).collect()}
+    rows = inputs.als_model.recommendForAllUsers(n).collect()
+    theirs = {(r["user_idx"], x["process_idx"]): x["rating"] for r in rows for x in r["recommendations"]}
+    assert len(ours) == len(theirs) == n * inputs.user_index.count()
+    for user in {u for u, _ in ours}:
+        one, two = (sorted(v for (u, _), v in found.items() if u == user) for found in (ours, theirs))
+        assert one == pytest.approx(two, abs=1e-5)
+
+
+def test_many_items_are_scored_the_same_way(spark):
+    users = spark.createDataFrame([(1, [1.0, 2.0])], "id int, features array<float>")
+    items = spark.createDataFrame([(i, [float(i), 0.5]) for i in range(200)], "id int, features array<float>")
+    rows = model.score_factors(users, items, 200).collect()
+    assert {r["process_idx"]: r["score"] for r in rows} == {i: i + 1.0 for i in range(200)}
+    assert model.score_factors(users, items.limit(0), 5).count() == 0
+
+
+def test_numbers_that_the_library_cannot_take_are_an_error(spark):
+    rows = spark.createDataFrame([(1 << 31, 0, 3)], "user_idx long, process_idx int, interaction_count long")
+    with pytest.raises(Exception, match="2147483647"):
+        model.fit_als(rows)
 
 
 def test_scores_are_finite(inputs, cat):
@@ -131,7 +144,7 @@ def test_scores_are_finite(inputs, cat):
 
 def test_fits_repeat(inputs, cat):
     indexed = model.index_affinity(inputs.affinity, inputs.user_index, cat)
-    short = AlsParams(max_iter=2, user_blocks=4)
+    short = AlsParams(max_iter=2)
     once, again = (
         sorted((r["id"], tuple(r["features"])) for r in model.fit_als(indexed, short).userFactors.collect())
         for _ in range(2)
@@ -158,11 +171,64 @@ def brute_force(a, b):
 
 def test_nonnegative_solver():
     rng = np.random.default_rng(5)
-    roots = rng.normal(size=(20, 4, 4))
-    a = roots @ roots.transpose(0, 2, 1) + 0.5 * np.eye(4)
-    b = rng.normal(size=(20, 4))
-    expected = [brute_force(a[i], b[i]) for i in range(20)]
-    assert np.allclose(usage_factors.solve_nonnegative(a, b), expected, atol=1e-4)
+    m, y = rng.normal(size=(40, 9, 5)), rng.normal(size=(40, 9))
+    expected = [brute_force(m[i].T @ m[i], m[i].T @ y[i]) for i in range(40)]
+    assert np.allclose(usage_factors.solve_nonnegative(m, y), expected, atol=1e-10)
+
+
+def exact_scores(counts, vectors, params):
+    """Scores of one user: an active-set solution in rational numbers, by trying sets of positive factors."""
+    k = vectors.shape[1]
+    exact = [[Fraction(float(v)) for v in row] for row in vectors]
+    used = [c > 0 for c in counts]
+    weight = [1 + Fraction(params.alpha) * int(c) for c in counts]
+    ridge = Fraction(params.reg_param) * sum(used)
+    a = [[sum(w * v[p] * v[q] for w, v in zip(weight, exact)) + (ridge if p == q else 0) for q in range(k)] for p in range(k)]
+    b = [sum(w * v[p] for w, v, u in zip(weight, exact, used) if u) for p in range(k)]
+    for size in range(k + 1):
+        for chosen in itertools.combinations(range(k), size):
+            x = [Fraction(0)] * k
+            if chosen:
+                for p, value in zip(chosen, _solve([[a[p][q] for q in chosen] for p in chosen], [b[p] for p in chosen])):
+                    x[p] = value
+            if min(x) < 0 or any(x[p] == 0 for p in chosen):
+                continue
+            slope = [b[p] - sum(a[p][q] * x[q] for q in range(k)) for p in range(k)]
+            if all(slope[p] <= 0 for p in range(k) if p not in chosen):
+                return [float(sum(x[p] * v[p] for p in range(k))) for v in exact]
+    raise AssertionError("no solution")
+
+
+def _solve(a, b):
+    rows = [[*row, value] for row, value in zip(a, b)]
+    for i in range(len(rows)):
+        top = next(r for r in range(i, len(rows)) if rows[r][i] != 0)
+        rows[i], rows[top] = rows[top], rows[i]
+        rows[i] = [v / rows[i][i] for v in rows[i]]
+        for r in range(len(rows)):
+            if r != i:
+                rows[r] = [v - rows[r][i] * w for v, w in zip(rows[r], rows[i])]
+    return [row[-1] for row in rows]
+
+
+@pytest.mark.parametrize("scale", [1, 10, 1000, 1_000_000])
+def test_scores_are_exact_for_counts_of_any_size(scale):
+    rng = np.random.default_rng(scale)
+    params = AlsParams(rank=6)
+    vectors = np.abs(rng.normal(size=(5, 6))) * (rng.random((5, 6)) < 0.8)
+    counts = rng.integers(0, 5, size=(12, 5)) * scale
+    found = usage_factors.user_factors(counts.astype(float), vectors, params) @ vectors.T
+    expected = np.array([exact_scores(row, vectors, params) for row in counts])
+    assert np.abs(found - expected).max() < 1e-6
+
+
+def test_a_row_does_not_depend_on_its_batch():
+    rng = np.random.default_rng(8)
+    vectors = np.abs(rng.normal(size=(5, 10)))
+    counts = rng.integers(0, 4, size=(50, 5)).astype(float) * 10.0 ** rng.integers(0, 6, size=(50, 1))
+    together = usage_factors.user_factors(counts, vectors, AlsParams())
+    alone = np.concatenate([usage_factors.user_factors(row[None], vectors, AlsParams()) for row in counts])
+    assert (together == alone).all()
 
 
 def loss(counts, factors, vectors, params):
@@ -195,24 +261,42 @@ def test_fit_lowers_the_loss_to_the_library_level(inputs, matrix, cat):
     assert losses[1] < 1.15 * library
 
 
-def test_fit_does_not_depend_on_partitions(matrix, cat):
-    params = AlsParams(max_iter=3)
-    one, many = (
-        usage_factors.fit_usage_factors(matrix.repartition(n), cat, params).vectors for n in (1, 7)
+@pytest.fixture(scope="module")
+def busy(spark, inputs, cat):
+    """The rollup with counts from a few to a million."""
+    rollup = build.event_rollup(inputs.events, cat)
+    factor = F.pow(F.lit(10), F.pmod(F.xxhash64("user_id"), F.lit(7))).cast("long")
+    more = F.transform(
+        "usage", lambda u: u.withField("interaction_count", u["interaction_count"] * factor)
     )
-    assert np.allclose(one, many, atol=1e-6)
+    return rollup.withColumn("usage", F.array_sort(more))
+
+
+def test_picks_do_not_depend_on_partitions(busy, cat):
+    picks = []
+    for n in (1, 4, 8):
+        rollup = busy.repartition(n)
+        slots = build.model_slots(rollup, build.als_scores(rollup, cat), cat)
+        picks.append(sorted(map(tuple, slots.select("user_id", "cross_recommend_1", "cross_recommend_2").collect())))
+    assert picks[0] == picks[1] == picks[2]
 
 
 def test_service_without_users_is_not_scored(spark, cat):
-    uses = spark.createDataFrame(
-        [("u", "RESEARCH", 3), ("v", "QUERY_ANSWER", 1)],
-        "user_id string, process_type string, interaction_count long",
+    rows = [("u", [(3, 1, "RESEARCH")]), ("v", [(1, 2, "QUERY_ANSWER")])]
+    users = spark.createDataFrame(
+        rows, "user_id string, usage array<struct<interaction_count: long, priority: int, process_type: string>>"
     )
-    small = usage_matrix(uses, cat)
-    fitted = usage_factors.fit_usage_factors(small, cat, AlsParams(max_iter=2))
-    scored = usage_factors.score_usage(small, fitted).collect()
-    assert {r["process_type"] for r in scored} == {"RESEARCH", "QUERY_ANSWER"}
-    assert all(math.isfinite(r["score"]) and r["score"] >= 0 for r in scored)
+    fitted = usage_factors.fit_usage_factors(affinity.profile_matrix(users, cat), cat, AlsParams(max_iter=2))
+    scored = users.select(usage_factors.usage_scores(fitted).alias("s")).collect()
+    for r in scored:
+        known = [code for code, value in zip(cat.core, r["s"]) if value is not None]
+        assert set(known) == {"RESEARCH", "QUERY_ANSWER"}
+        assert all(value is None or (math.isfinite(value) and value >= 0) for value in r["s"])
+
+
+def test_empty_tables_have_a_model(spark, inputs, cat):
+    none = build.event_rollup(inputs.events.limit(0), cat)
+    assert build.model_slots(none, build.als_scores(none, cat), cat).count() == 0
 
 
 # -- clusters -----------------------------------------------------------------------------

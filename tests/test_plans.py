@@ -6,20 +6,18 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.queries import QUERIES
-from gapwise.operators.affinity import profile_uses
+from gapwise.operators.affinity import profile_uses, user_rollup
 from gapwise.operators.ranking import rank_lists
 from gapwise.plans import build
 from tests.compare import differences, duck
 
-MODEL = {"fit_als", "score_all", "decode_index", "k_sweep", "kmeans_segments", "dense_index"}
-RELATIONAL = sorted(
-    name for name in QUERIES
-    if name not in MODEL and not name.endswith(("_als", "_usage_factors"))
-)
-FORBIDDEN = (
-    "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroups",
-    "CartesianProduct", "BroadcastNestedLoopJoin", "Scan ExistingRDD",
-)
+# What trains with the library or joins one-row results of its checks.
+TRAINED = {"fit_als", "k_sweep", "kmeans_segments"}
+# Broadcast by a hint: offsets, one per partition, of the numbering.
+NUMBERED = {"dense_index", "score_all", "decode_index"}
+RELATIONAL = sorted(name for name in QUERIES if name not in TRAINED and name != "build_user_clusters_als")
+PYTHON = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroups")
+FORBIDDEN = (*PYTHON, "CartesianProduct", "BroadcastNestedLoopJoin", "Scan ExistingRDD")
 
 
 @pytest.fixture()
@@ -36,15 +34,17 @@ def plan_of(df):
 @pytest.mark.parametrize("name", RELATIONAL)
 def test_plan(spark, sf_dir, name, no_broadcast):
     plan = plan_of(entry.queries()[name](spark, sf_dir))
-    assert [node for node in FORBIDDEN if node in plan] == []
+    items = ("Scan ExistingRDD",) if name in NUMBERED else ()
+    assert [node for node in FORBIDDEN if node in plan and node not in items] == []
 
     # With automatic broadcasts off, what is left are the hints: rank lists and thresholds.
     keys = set(re.findall(r"BroadcastHashJoin \[(\w+)#", plan))
-    assert keys <= ({"list_key", "process_type"} if name == "adopted_services" else {"list_key"})
+    hinted = {"adopted_services": {"process_type"}} | dict.fromkeys(NUMBERED, {"part"})
+    assert keys <= {"list_key"} | hinted.get(name, set())
 
     # The only window without keys orders one row per service.
     unkeyed = re.search(r"windowspecdefinition\([^,]*(DESC|ASC)", plan)
-    assert unkeyed is None or name == "global_rank"
+    assert unkeyed is None or name == "global_rank" or name in NUMBERED
 
 
 @pytest.mark.parametrize(
@@ -76,6 +76,38 @@ def test_build_shuffles_users_once_per_user_table(spark, inputs, cat, no_broadca
     assert "Exchange" not in main
 
 
+def test_scores_stay_in_the_users_row(inputs, cat, no_broadcast):
+    """Between the stored rollup and the slots: one scan, one vectorised step, nothing that moves or joins."""
+    rollup = build.event_rollup(inputs.events, cat)
+    plan = plan_of(build.model_slots(rollup, build.als_scores(rollup, cat), cat))
+    assert "Exchange" not in plan and "Join" not in plan
+    # The plan is printed once before and, by adaptive execution, once more at most.
+    assert plan.count("FileScan parquet") == plan.count("ArrowEvalPython") == 1
+
+
+def test_counts_of_the_rollup_are_hashed(inputs, cat, no_broadcast):
+    plan = plan_of(user_rollup(inputs.events, cat, ("process_name",)))
+    counts = [line for line in plan.splitlines() if "count_if" in line or "max(created_at" in line]
+    assert counts and all("HashAggregate" in line for line in counts)
+    assert "EqualTo(status,COMPLETED)" in plan and "IsNotNull(process_name)" in plan
+    assert plan.count("Exchange ") == 2
+
+
+def test_titles_and_names_are_joined_where_users_are(spark, inputs, no_broadcast):
+    plan = plan_of(entry.queries()["restore_names"](spark, inputs.sf_dir))
+    assert len(re.findall(r"SortMergeJoin \[user_id#", plan)) == 1
+    plan = plan_of(entry.queries()["attach_activity_names"](spark, inputs.sf_dir))
+    assert plan.count("SortMergeJoin") == 1
+
+
+def test_summary_does_not_double_the_rows(spark, sf_dir):
+    assert "Expand" not in plan_of(entry.queries()["affinity_summary"](spark, sf_dir))
+
+
+def test_all_users_are_not_sorted(spark, sf_dir):
+    assert "rangepartitioning" not in plan_of(entry.queries()["user_stats"](spark, sf_dir))
+
+
 def test_rank_lists_are_bounded_by_the_catalogue(inputs, cat):
     rollup = build.event_rollup(inputs.events, cat)
     rows = rank_lists(profile_uses(rollup), cat).collect()

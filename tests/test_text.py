@@ -122,14 +122,14 @@ def test_percent_rounds_half_to_even(spark):
 
 
 def test_restore_names(spark):
-    stored = users(spark, {"user_id": " a ", "Name": "nan"}, {"user_id": "b", "Name": " Own "},
+    stored = users(spark, {"user_id": "a", "Name": "nan"}, {"user_id": "b", "Name": " Own "},
                    {"user_id": "c"}, {"user_id": "d"})
     names = spark.createDataFrame(
-        [("a", "Ann"), ("b", "Bob"), (" c", "C1"), ("c", "C2"), ("d", "None"), (None, "X")],
+        [(" a ", "Ann"), ("b", "Bob"), (" c", "C1"), ("c", "C2"), ("d", "None"), (None, "X")],
         "user_id string, Name string",
     )
     rows = {r["user_id"]: r["Name"] for r in naming.restore_names(stored, names).collect()}
-    assert rows == {" a ": "Ann", "b": "Own", "c": "C2", "d": None}
+    assert rows == {"a": "Ann", "b": "Own", "c": "C2", "d": None}
 
 
 def test_attach_activity_names(spark):
@@ -149,6 +149,16 @@ def test_attach_activity_names(spark):
     assert sorted((r["user_id"], r["process_type"] or "", r["process_name"]) for r in rows) == [
         ("u", "", "null keys"), ("u", "A", "first"), ("v", "A", "own"),
     ]
+    assert sorted(r["event_id"] for r in rows) == [1, 2, 3]
+
+
+def test_activity_titles_without_event_ids(spark):
+    """The first title in order of text; a user without times meets its titles in one row per service."""
+    schema = "event_id long, user_id string, process_type string, status string, process_name string, created_at timestamp_ntz"
+    hot = [(None, "u", "A", "COMPLETED", None, None)] * 500 + [(None, "u", "A", "COMPLETED", "own", None)] * 500
+    events = [(None, "u", "A", "COMPLETED", title, None) for title in (None, "b", "a", "c")] * 100
+    rows = naming.attach_activity_names(spark.createDataFrame(hot, schema), spark.createDataFrame(events, schema))
+    assert sorted(r["process_name"] for r in rows.collect()) == ["a", "own"]
 
 
 def test_explorer_filter(spark):

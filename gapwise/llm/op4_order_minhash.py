@@ -83,7 +83,8 @@ def labelled_kmers(words: np.ndarray, k: int) -> np.ndarray:
     if same.any():
         place = np.arange(len(found), dtype=np.uint64)
         starts = np.maximum.accumulate(np.where(same, np.uint64(0), place))
-        found[order] = _mix(ordered + (place - starts) * np.uint64(0xD6E8FEB86659FD93))
+        again = _mix(ordered + (place - starts) * np.uint64(0xD6E8FEB86659FD93))
+        found[order] = np.where(same, again, ordered)  # first occurrences are the same in any text
     return found
 
 

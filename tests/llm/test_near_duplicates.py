@@ -68,6 +68,9 @@ def test_sketches_keep_the_order():
 def test_repeated_kmers_are_told_apart():
     kmers = omh.labelled_kmers(omh.word_hashes("x " * 50), 5)
     assert len(kmers) == 46 == len(set(kmers.tolist()))
+    one = omh.labelled_kmers(omh.word_hashes("a b c d e f g"), 5)
+    two = omh.labelled_kmers(omh.word_hashes("a b c d e f g a b c d e f g"), 5)
+    assert set(one.tolist()) <= set(two.tolist()) and len(set(two.tolist())) == 10
 
 
 def union_find(nodes, edges):

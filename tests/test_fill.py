@@ -241,7 +241,8 @@ def test_slots_in_a_row_equal_slots_by_joins(spark, inputs, cat, percentile_gaps
 
     settings = replace(cat.settings, use_percentile_gaps=percentile_gaps)
     chosen = replace(cat, settings=settings)
-    in_row = model_slots(service_profiles(inputs.affinity, chosen), inputs.scores, chosen).select(
+    users = service_profiles(inputs.affinity, chosen)
+    in_row = model_slots(users, inputs.scorer(users), chosen).select(
         "user_id", "cross_recommend_1", "cross_recommend_2"
     )
     thresholds = None

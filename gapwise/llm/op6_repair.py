@@ -54,26 +54,32 @@ class RePairParams:
 # -- the grammar -----------------------------------------------------------------------------
 
 _SLOTS = 20  # bits of the table in which pairs are counted
+_NONE = 1 << _SLOTS  # slot of places without a pair of their own
 
 
-def _frequent_pairs(left: np.ndarray, right: np.ndarray, inside: np.ndarray, turn: int, params: RePairParams):
-    """Slot of each place, and for each slot the number of its pair among the chosen, or -1.
+def _frequent_pairs(symbols: np.ndarray, ends: np.ndarray, turn: int, params: RePairParams):
+    """For each place the number of its pair among the chosen, or -1; and the chosen pairs.
 
     Pairs are counted in a hash table in which the last pair of a slot represents it, and are counted exactly.
     A pair that loses its slot this time has another slot next time.
     """
-    pair = left.astype(np.uint64) << np.uint64(32) | right
-    odd = np.uint64(0x9E3779B97F4A7C15 + 2 * turn * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF)
-    slot = (pair * odd >> np.uint64(64 - _SLOTS)).astype(np.int64)
-    holder = np.zeros(1 << _SLOTS, np.uint64)
-    holder[slot[inside]] = pair[inside]
-    own = inside & (holder[slot] == pair)
-    counts = np.bincount(slot[own], minlength=1 << _SLOTS)
+    half = 16 if int(symbols.max()) < 1 << 16 else 32
+    wide = np.uint32 if half == 16 else np.uint64
+    odd = wide((0x9E3779B97F4A7C15 + 2 * turn * 0x2545F4914F6CDD1D) % (1 << 2 * half) | 1)
+    pair = symbols[:-1].astype(wide) << wide(half) | symbols[1:].astype(wide)
+    slot = (pair * odd >> wide(2 * half - _SLOTS)).astype(np.int32)
+    slot[ends[:-1]] = _NONE
+    holder = np.zeros(_NONE + 1, wide)
+    holder[slot] = pair
+    slot[holder[slot] != pair] = _NONE
+    counts = np.bincount(slot, minlength=_NONE + 1)
+    counts[_NONE] = 0
     frequent = np.flatnonzero(counts >= params.least)
     frequent = frequent[np.argsort(-counts[frequent], kind="stable")][: params.pairs]
-    number = np.full(1 << _SLOTS, -1, np.int64)
+    number = np.full(_NONE + 1, -1, np.int32)
     number[frequent] = np.arange(len(frequent))
-    return np.where(own, number[slot], -1), holder[frequent]
+    chosen = holder[frequent]
+    return number[slot], np.stack([chosen >> wide(half), chosen & wide((1 << half) - 1)], 1).astype(np.uint32)
 
 
 def compress(symbols: np.ndarray, ends: np.ndarray, first_rule: int, params: RePairParams):
@@ -83,7 +89,7 @@ def compress(symbols: np.ndarray, ends: np.ndarray, first_rule: int, params: ReP
     for turn in range(params.rounds):
         if len(symbols) < 2:
             break
-        chosen, pairs = _frequent_pairs(symbols[:-1], symbols[1:], ~ends[:-1], turn, params)
+        chosen, pairs = _frequent_pairs(symbols, ends, turn, params)
         places = np.flatnonzero(chosen >= 0)
         if len(places) == 0:
             break
@@ -96,7 +102,7 @@ def compress(symbols: np.ndarray, ends: np.ndarray, first_rule: int, params: ReP
         gone = np.ones(len(symbols), bool)
         gone[places + 1] = False
         symbols, ends = symbols[gone], ends[gone]
-        rules = np.concatenate([rules, np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)])
+        rules = np.concatenate([rules, pairs])
     return symbols, ends, rules
 
 
@@ -238,8 +244,8 @@ def write_shards(docs: DataFrame, folder: str, params: RePairParams = RePairPara
 
         for batch in batches:
             writer = writer or files.FileWriter(folder, ".ids")
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = coder.ids(text.as_py(), params.end_id)
+            texts = coder.ids_many(batch.column("text").to_pylist(), params.end_id)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), texts):
                 if documents and total + len(ids) > params.shard_ids:
                     close()
                     total = 0

@@ -186,8 +186,9 @@ def pack_documents(docs: DataFrame, params: PackingParams = PackingParams()) ->
         coder = encoder(params.tokenizer)
         packer = _Packer(TaskContext.get().partitionId(), params)
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                packer.add(doc_id, coder.ids(text.as_py(), params.end_id))
+            texts = coder.ids_many(batch.column("text").to_pylist(), params.end_id)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), texts):
+                packer.add(doc_id, ids)
                 if packer.tokens >= params.chunk_tokens:
                     yield packer.flush(False)
         yield packer.flush(True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -23,17 +24,30 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Pieces(dict):
-    """Ids, as bytes, of the text between two spaces; a memo of bounded size."""
+class _Known(dict):
+    """Ids, as bytes, of pieces that follow a space.
 
-    def __init__(self, owner: TokenEncoder, prefix: str):
-        super().__init__()
-        self.owner, self.prefix = owner, prefix
+    A piece that is not remembered is made from its stem and a mark at its end, which are independent, or comes from
+    the pieces just learned, or is noted as unknown.
+    """
 
-    def __missing__(self, piece: str) -> bytes:
-        found = self.owner.piece(self, piece)
-        if len(self) < self.owner.memo and len(piece) <= 64:
-            self[piece] = found
+    def __init__(self) -> None:
+        super().__init__()
+        self.marks: dict[str, bytes] = {}
+        self.learned: dict[str, bytes] = {}
+        self.unknown: set[str] = set()
+        self.misses = 0
+
+    def __missing__(self, piece: str) -> bytes | None:
+        mark = self.marks.get(piece[-1:])
+        if mark is not None and piece[-2:-1].isalpha():
+            stem = self.get(piece[:-1])
+            if stem is not None:
+                return stem + mark
+        found = self.learned.get(piece)
+        if found is None:
+            self.unknown.add(piece)
+            self.misses += 1
         return found
 
 
@@ -41,55 +55,94 @@ class TokenEncoder:
     """Ids of texts, equal to the tokenizer's own for the whole text.
 
     A byte-level tokenizer of this kind splits a text before every space that follows a letter, digit or
-    mark, and encodes the parts independently.  So the parts between single spaces can be remembered.
-    Texts with longer runs of white space, and other kinds of tokenizer, are encoded in one go.
+    mark, and encodes the parts independently.  So the parts between single spaces can be remembered, and
+    those of many texts that are not known yet are encoded together.  Texts with longer runs of white space, and
+    other kinds of tokenizer, are encoded in one go.  The memo is bounded and changes no result.
     """
 
-    def __init__(self, name: str = TOKENIZER, memo: int = 400_000):
+    def __init__(self, name: str = TOKENIZER, memo: int = 1_200_000):
         from tokenizers import Tokenizer
 
         path = tokenizer_path(name)
         self.tokenizer, self.memo = Tokenizer.from_file(path), memo
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as file:
             kind = json.load(file)
         split = kind.get("pre_tokenizer") or {}
         plain = not any(
-            t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in kind["added_tokens"]
+            t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] or not t["content"].isascii()
+            for t in kind["added_tokens"]
         )
         self.by_piece = (
             plain
             and kind.get("normalizer") is None
             and (split.get("type"), split.get("add_prefix_space"), split.get("use_regex")) == ("ByteLevel", False, True)
         )
-        self.first, self.later = _Pieces(self, ""), _Pieces(self, " ")
+        self.known = _Known()
+        if self.by_piece:
+            # A character of a byte-level token stands for one byte.
+            self.bytes_of = np.zeros(size, np.int64)
+            for token, number in self.tokenizer.get_vocab().items():
+                self.bytes_of[number] = len(token)
+            self.known.marks = {mark: self.whole(mark) for mark in ".,;:!?"}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def piece(self, kind: _Pieces, piece: str) -> bytes:
-        if "\n" in piece:
-            head, *rest = piece.split("\n")
-            if head and all(part and not part[0].isspace() for part in rest):
-                line = self.first.get("\n") or self.whole("\n")
-                return kind[head] + b"".join(line + self.first[part] for part in rest)
-        elif len(piece) > 1 and piece[-1] in ".,;:!?" and piece[-2].isalpha():
-            return kind[piece[:-1]] + self.first[piece[-1]]
-        return self.whole(kind.prefix + piece)
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian bytes of ``dtype``; none for a missing or empty text."""
-        if not text:
-            return b""
-        if not self.by_piece or _RUN.search(text):
-            return self.whole(text)
-        head, *rest = text.split(" ")
-        return self.first[head] + b"".join(map(self.later.__getitem__, rest))
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that follow a space, encoded together, and remembered while there is room."""
+        ids = np.array(self.tokenizer.encode(" " + " ".join(pieces), add_special_tokens=False).ids, self.dtype)
+        reached = np.cumsum(self.bytes_of[ids])
+        ends = np.cumsum([len(p) + 1 if p.isascii() else len(p.encode()) + 1 for p in pieces])
+        stops = np.searchsorted(reached, ends, "left") + 1
+        if (reached[stops - 1] == ends).all():
+            data, width = ids.tobytes(), self.dtype.itemsize
+            cuts = [0, *(stops * width).tolist()]
+            found = {piece: data[a:b] for piece, a, b in zip(pieces, cuts, cuts[1:])}
+        else:  # never so for this kind of tokenizer; then no piece can be told apart
+            found = {piece: self.whole(" " + piece) for piece in pieces}
+        if len(self.known) + len(found) <= self.memo:
+            self.known.update((piece, ids) for piece, ids in found.items() if len(piece) <= 64)
+        return found
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian bytes of ``dtype``; none for a missing or empty one."""
+        found: list[bytes] = [b""] * len(texts)
+        known, waiting = self.known, []
+        for at, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.by_piece or _RUN.search(text):
+                found[at] = self.whole(text)
+                continue
+            head, *rest = text.split(" ")
+            found[at] = self.whole(head) if head else b""
+            before = known.misses
+            ids = list(map(known.__getitem__, rest))
+            if known.misses > before:
+                waiting.append((at, rest))
+            else:
+                found[at] += b"".join(ids)
+        if waiting:
+            known.learned = self._learn(list(known.unknown))
+            known.unknown = set()
+            for at, rest in waiting:
+                found[at] += b"".join(map(known.__getitem__, rest))
+            known.learned = {}
+        return found
+
+    def ids_many(self, texts: list[str | None], end: int, block: int = 256) -> Iterator[np.ndarray]:
+        """The ids of each text with ``end`` after them, as unsigned 32-bit integers."""
+        for at in range(0, len(texts), block):
+            for data in self.encode_many(texts[at : at + block]):
+                ids = np.empty(len(data) // self.dtype.itemsize + 1, "<u4")
+                ids[:-1] = np.frombuffer(data, self.dtype)
+                ids[-1] = end
+                yield ids
 
     def ids(self, text: str | None, end: int) -> np.ndarray:
-        """The ids with ``end`` after them, as unsigned 32-bit integers."""
-        found = np.frombuffer(self.encode(text), self.dtype)
-        return np.append(found, self.dtype.type(end)).astype("<u4")
+        return next(self.ids_many([text], end))
 
 
 _ENCODERS: dict[str, TokenEncoder] = {}

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from gapwise.llm import op6_repair as repair
 from gapwise.llm.queries import queries
-from gapwise.llm.tokens import TOKENIZER, encoder, tokenizer_path
+from gapwise.llm.tokens import TOKENIZER, TokenEncoder, encoder, tokenizer_path
 
 PARAMS = repair.RePairParams(least=2)
 
@@ -22,6 +22,9 @@ def whole():
 PARTS = [" ", "  ", "\n", "\t", "\r\n", " ", "a", "Word", "word.", "it's", "'s", "12", "é", "###", "|", "<|endoftext|>", " ", "中文", ",", "don't,", "\x00", "🙂"]
 
 
+TOGETHER = TokenEncoder(memo=30)
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.sampled_from(PARTS), max_size=14))
 def test_ids_are_the_tokenizers_own(parts):
@@ -32,8 +35,18 @@ def test_ids_are_the_tokenizers_own(parts):
 
 
 def test_ids_of_the_documents(texts, whole):
-    coder = encoder()
-    assert all(coder.ids(t, 1).tolist() == [*whole(t), 1] for t in texts.values())
+    want = [[*whole(t), 1] for t in texts.values()]
+    for memo in (0, 500, 400_000):
+        found = TokenEncoder(memo=memo).ids_many([*texts.values()], 1, block=50)
+        assert [ids.tolist() for ids in found] == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=8), max_size=6))
+def test_ids_of_texts_encoded_together(several):
+    texts = ["".join(parts) for parts in several] + [None]
+    found = [ids.tolist() for ids in TOGETHER.ids_many(texts, 7)]
+    assert found == [[*TOGETHER.tokenizer.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json"])

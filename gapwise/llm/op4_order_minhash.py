@@ -4,7 +4,8 @@ A text is a sequence of words; its k-mers are labelled with their occurrence num
 functions picks the ``picked`` smallest k-mers and keeps them in text order, so texts meet in a bucket
 only if they share k-mers in the same order: a signal for a small edit distance, not only for shared words.
 Members of a bucket are linked to leaders, a link counts if the aligned texts are similar enough,
-and linked texts form classes.
+and linked texts form classes.  Members whom the leaders left in different classes are then compared with
+each other, so every two similar texts of a bucket end in one class.
 """
 
 from __future__ import annotations
@@ -108,6 +109,16 @@ def sketch(words: np.ndarray, params: OrderMinHashParams) -> list[int]:
     return key.view(np.int64).tolist()
 
 
+#: Bins of a text's word counts; most members of a bucket that one task compares with as many others.
+_BINS, _BLOCK = 128, 2048
+
+
+def word_counts(words: np.ndarray) -> bytes:
+    """How many words fall in each bin, at most 255."""
+    found = np.bincount((words % np.uint64(_BINS)).astype(np.int64), minlength=_BINS)
+    return np.minimum(found, 255).astype(np.uint8).tobytes()
+
+
 # -- alignment ------------------------------------------------------------------------------
 
 
@@ -251,12 +262,18 @@ def _digest(text: Column) -> Column:
 def _sketches(rows: DataFrame, params: OrderMinHashParams) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch(word_hashes(t.as_py()), params) for t in batch.column("text")]
+            texts = [word_hashes(t.as_py()) for t in batch.column("text")]
             yield pa.record_batch(
-                [batch.column("digest"), pa.array(found, pa.list_(pa.int64()))], names=["digest", "sketch"]
+                [
+                    batch.column("digest"),
+                    pa.array([sketch(t, params) for t in texts], pa.list_(pa.int64())),
+                    pa.array([len(t) for t in texts], pa.int64()),
+                    pa.array([word_counts(t) for t in texts], pa.binary()),
+                ],
+                names=["digest", "sketch", "words", "counts"],
             )
 
-    return rows.mapInArrow(run, "digest binary, sketch array<bigint>")
+    return rows.mapInArrow(run, "digest binary, sketch array<bigint>, words bigint, counts binary")
 
 
 def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -271,11 +288,12 @@ def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.mapInArrow(run, "a binary, b binary")
 
 
-def candidate_links(sketched: DataFrame) -> tuple[DataFrame, list[str]]:
+def candidate_links(sketched: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     """Distinct (a, b) to verify, from ``digest`` and ``sketch``: as many per bucket as it has members.
 
     Members are dealt to salts by their digest.  Within a salt each goes to the salt's leader, the least
     digest; leaders go to the least digest of the bucket.  Nothing grows with a bucket but the number of its links.
+    Also the members of shared buckets, for ``unsettled``, and the paths of both.
     """
     slots = sketched.select("digest", F.explode("sketch").alias("bucket"))
     shared = slots.groupBy("bucket").agg(F.min("digest").alias("top"), F.max("digest").alias("end"))
@@ -287,8 +305,81 @@ def candidate_links(sketched: DataFrame) -> tuple[DataFrame, list[str]]:
     within = members.drop("top").join(leads, ["bucket", "salt"]).select(F.col("digest").alias("a"), F.col("lead").alias("b"))
     across = leads.select(F.col("lead").alias("a"), F.col("top").alias("b"))
     links, p4 = keep_table(within.union(across).where("a != b").distinct(), "omh-links")
-    discard(sketched.sparkSession, [p1, p2, p3])
-    return links, [p4]
+    discard(sketched.sparkSession, [p1, p3])
+    return links, members.select("bucket", "digest"), [p2, p4]
+
+
+def unsettled(members: DataFrame, label: DataFrame, sketched: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Blocks of members of buckets that have members of several classes: ``i``, ``j`` and the ``members``.
+
+    A bucket is cut into blocks of about ``_BLOCK``, and each two blocks (also i = j) are one row.  Buckets of two
+    are left out: their members were compared.
+    """
+    of = label.select(F.col("node").alias("digest"), "label")
+    own, p1 = keep_table(
+        members.join(of, "digest", "left").select("bucket", "digest", F.coalesce("label", "digest").alias("label")),
+        "omh-own",
+    )
+    sizes = own.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y"))
+    mixed, p2 = keep_table(
+        sizes.where("size > 2 and x < y").select("bucket", F.ceil(F.col("size") / _BLOCK).cast("int").alias("blocks")),
+        "omh-mixed",
+    )
+    left, p3 = keep_table(attach(own, mixed, "bucket", F.col("digest")).where("blocks is not null"), "omh-left")
+    full = left.join(sketched.select("digest", "words", "counts"), "digest")
+    block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
+    dealt = full.withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    member = F.struct("block", "digest", "label", "words", "counts")
+    by = ["bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
+    return dealt.groupBy(*by).agg(F.collect_list(member).alias("members")), [p1, p2, p3]
+
+
+def _near(members: pa.StructArray, across: bool, similarity: float, most: int) -> tuple[list[tuple[bytes, bytes]], bool]:
+    """Pairs of different classes that may be similar, and whether a member has more than ``most`` of them.
+
+    Of so many each member takes those that come first in an order that changes with ``most``, so large groups
+    meet at a few members.  Texts are left out only if the words that one has more often than the other exceed
+    the edits allowed, which bins and full bins can only understate.
+    """
+    digests, codes = members.field("digest").to_pylist(), {}
+    lead = np.frombuffer(b"".join(d[:8] for d in digests), np.uint64)
+    order = np.argsort(_mix(lead ^ np.uint64(most)), kind="stable")
+    label = np.array([codes.setdefault(x, len(codes)) for x in members.field("label").to_pylist()])[order]
+    block = members.field("block").to_numpy()[order]
+    words = members.field("words").to_numpy()[order]
+    counts = np.frombuffer(b"".join(members.field("counts").to_pylist()), np.uint8).reshape(-1, _BINS)[order]
+    total = counts.sum(axis=1, dtype=np.int64)
+    found, cut = [], False
+    for x in range(1, len(order)):
+        fit = label[:x] != label[x]
+        if across:
+            fit &= block[:x] != block[x]
+        at = np.flatnonzero(fit)
+        limit = (np.maximum(words[at], words[x]) * (1 - similarity) + 1e-9).astype(np.int64)
+        close = np.abs(words[at] - words[x]) <= limit
+        at, limit = at[close], limit[close]
+        either = np.maximum(counts[at], counts[x]).sum(axis=1, dtype=np.int64)
+        at = at[either - np.minimum(total[at], total[x]) <= limit]
+        cut |= len(at) > most
+        for y in at[:most]:
+            a, b = digests[order[x]], digests[order[y]]
+            found.append((max(a, b), min(a, b)))
+    return found, cut
+
+
+def pairs_apart(blocks: DataFrame, similarity: float, most: int) -> DataFrame:
+    """(a, b) to verify from ``unsettled``, b the lesser; a null pair for each block that has more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, members in zip(*(batch.column(c) for c in ("i", "j", "members"))):
+                found, cut = _near(members.values, i.as_py() != j.as_py(), similarity, most)
+                found += [(None, None)] * cut
+                yield pa.record_batch(
+                    [pa.array([p[e] for p in found], pa.binary()) for e in (0, 1)], names=["a", "b"]
+                )
+
+    return blocks.select("i", "j", "members").mapInArrow(run, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -333,16 +424,41 @@ def _classes(docs: DataFrame, params: OrderMinHashParams) -> DataFrame:
     """``digest``, and of its class: id, size in rows, and the (id, digest) of the document that stays."""
     spark = docs.sparkSession
     texts = docs.select(_digest(F.col("text")).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
-    sketched = _sketches(texts, params).groupBy("digest").agg(F.any_value("sketch").alias("sketch"))
+    sketched = _sketches(texts, params).groupBy("digest")
+    sketched = sketched.agg(*(F.any_value(c).alias(c) for c in ("sketch", "words", "counts")))
     sketched, sketch_path = keep_table(sketched, "omh-sketches")
-    links, spent = candidate_links(sketched)
     # One text per digest; both joins read the same shuffle.
     one = texts.groupBy("digest").agg(F.any_value("text").alias("text"))
-    first = links.join(one.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
-    both = first.join(one.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
-    edges, edge_path = keep_table(_verified(both.select("a", "b", "text_a", "text_b"), params.similarity), "omh-edges")
+
+    def verified(links: DataFrame) -> tuple[DataFrame, str]:
+        first = links.join(one.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
+        both = first.join(one.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
+        return keep_table(_verified(both.select("a", "b", "text_a", "text_b"), params.similarity), "omh-edges")
+
+    tested, members, spent = candidate_links(sketched)
+    edges, path = verified(tested)
     label = components(edges)
-    discard(spark, [sketch_path, edge_path, *spent])
+    spent += [sketch_path, path]
+    most = 8
+    while True:
+        blocks, paths = unsettled(members, label, sketched)
+        pairs, path = keep_table(pairs_apart(blocks, params.similarity, most), "omh-apart")
+        spent += [*paths, path]
+        todo, path = keep_table(
+            pairs.where("a is not null").distinct().join(tested, ["a", "b"], "left_anti"), "omh-todo"
+        )
+        spent.append(path)
+        if not todo.isEmpty():
+            more, path = verified(todo)
+            spent.append(path)
+            tested = tested.union(todo)
+            if not more.isEmpty():
+                edges = edges.union(more)
+                label = components(edges)
+        if pairs.where("a is null").isEmpty():
+            break
+        most *= 4
+    discard(spark, spent)
 
     ids = docs.select("doc_id", _digest(F.col("text")).alias("digest"))
     first_id = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("stays")

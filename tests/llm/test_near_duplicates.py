@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -129,6 +130,61 @@ def test_a_large_group_of_near_copies(spark):
     assert sum(r["kept"] for r in found) == 51
 
 
+@pytest.mark.parametrize("block", [50, omh._BLOCK])
+def test_similar_members_of_a_bucket_are_in_one_class(spark, monkeypatch, block):
+    """Many texts share a passage and lead its buckets; near copies among them, also in a large group."""
+    monkeypatch.setattr(omh, "_BLOCK", block)
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(60)]
+
+    def own(n=60):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    def edited(words, times):
+        words = list(words)
+        for at in rng.sample(range(len(words)), times):
+            words[at] = f"new{rng.randrange(10**6)}"
+        return words
+
+    full = [passage + own() for _ in range(300)]
+    full += [edited(w, 18) for w in full[:100]]
+    full += [edited(full[200], 8) for _ in range(40)]
+    params = omh.OrderMinHashParams(k=5, picked=2, sketches=24)
+    texts = {i: " ".join(w) for i, w in enumerate(full)}
+    words = {i: omh.word_hashes(t) for i, t in texts.items()}
+    slots = {i: set(omh.sketch(w, params)) for i, w in words.items()}
+    edges = [
+        (a, b)
+        for a in texts
+        for b in range(a + 1, len(texts))
+        if slots[a] & slots[b] and omh.similar(words[a], words[b], params.similarity)
+    ]
+    rows = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    found = {r["doc_id"]: r["class_id"] for r in omh.near_duplicates(rows, params).collect()}
+    assert found == union_find(list(texts), edges)
+
+
+def test_nothing_similar_is_left_out_before_verification():
+    rng = np.random.default_rng(7)
+    texts = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (5, 60, 60, 400)]
+    texts.append(np.full(3000, 7, np.uint64))  # a bin that is full
+    for t in list(texts):
+        for _ in range(10):
+            kept = np.flatnonzero(rng.random(len(t)) > 0.12)
+            texts.append(np.insert(t[kept], len(kept) // 2, rng.integers(0, 2**63, len(t) // 20).astype(np.uint64)))
+    names = [bytes([i]) * 16 for i in range(len(texts))]
+    rows = [
+        {"block": 0, "digest": d, "label": d, "words": len(t), "counts": omh.word_counts(t)} for d, t in zip(names, texts)
+    ]
+    whole, cut = omh._near(pa.array(rows), False, 0.8, 1000)
+    want = {
+        (names[a], names[b]) for a in range(len(texts)) for b in range(a) if omh.similar(texts[a], texts[b], 0.8)
+    }
+    assert want <= set(whole) and not cut
+    some, cut = omh._near(pa.array(rows), False, 0.8, 2)
+    assert cut and set(some) < set(whole)
+
+
 def test_odd_rows(odd_docs, no_docs):
     found = omh.near_duplicates(odd_docs).collect()
     assert len(found) == odd_docs.count()

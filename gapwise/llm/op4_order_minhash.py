@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +25,22 @@ from gapwise.llm.common import SALTS, attach, discard, keep_table
 _GAPS = " \t\n\x0b\x0c\r"
 _TO_SPACE = str.maketrans(_GAPS, " " * len(_GAPS))
 
+#: Words of a text short enough to try every choice of the words that differ.
+_SHORT = 14
+
 
 @dataclass(frozen=True)
 class OrderMinHashParams:
     """k: words in a k-mer.  picked: k-mers in a sketch.  sketches: hash functions per text.
+    singles: further hash functions with one pick, for texts of fewer than ``few`` words.
     similarity: least 1 - edits / words of the longer text, over whole words, lower-cased.
     """
 
-    k: int = 5
+    k: int = 3
     picked: int = 2
-    sketches: int = 24
+    sketches: int = 40
+    singles: int = 24
+    few: int = 64
     similarity: float = 0.8
 
 
@@ -89,16 +96,11 @@ def labelled_kmers(words: np.ndarray, k: int) -> np.ndarray:
     return found
 
 
-def sketch(words: np.ndarray, params: OrderMinHashParams) -> list[int]:
-    """One signed 64-bit bucket per hash function; none for a text without words."""
-    kmers = labelled_kmers(words, params.k)
-    if len(kmers) == 0:
-        return []
-    rows = np.arange(params.sketches)
-    seeds = _mix(rows.astype(np.uint64) + np.uint64(1))
-    ranks = _mix(kmers[None, :] ^ seeds[:, None])
+def _picked(kmers: np.ndarray, seeds: np.ndarray, picked: int) -> np.ndarray:
+    rows = np.arange(len(seeds))
+    ranks = kmers[None, :] * (seeds | np.uint64(1))[:, None]
     picks = []
-    for _ in range(min(params.picked, len(kmers))):
+    for _ in range(min(picked, len(kmers))):
         at = ranks.argmin(axis=1)
         ranks[rows, at] = np.uint64(0xFFFFFFFFFFFFFFFF)
         picks.append(at)
@@ -106,7 +108,38 @@ def sketch(words: np.ndarray, params: OrderMinHashParams) -> list[int]:
     key = seeds
     for row in chosen:
         key = _mix(key + row)
-    return key.view(np.int64).tolist()
+    return key
+
+
+def _left_out(words: np.ndarray, limit: int) -> np.ndarray:
+    """A bucket for the words in order with up to ``limit`` left out, each choice of them."""
+    found = []
+    for kept in range(max(1, len(words) - limit), len(words) + 1):
+        chosen = words[np.array(list(combinations(range(len(words)), kept)))]
+        key = np.full(len(chosen), kept, np.uint64)
+        for at in range(kept):
+            key = _mix(key + chosen[:, at])
+        found.append(key)
+    return np.unique(np.concatenate(found))
+
+
+def sketch(words: np.ndarray, params: OrderMinHashParams) -> list[int]:
+    """Signed 64-bit buckets, one per hash function; none for a text without words.
+
+    Short texts have more.  Those of up to 14 words also have one for each choice of the words that may be left
+    out: similar texts have a common subsequence as long as that, so two such texts always meet.
+    """
+    kmers = labelled_kmers(words, params.k)
+    if len(kmers) == 0:
+        return []
+    seeds = _mix(np.arange(params.sketches + params.singles).astype(np.uint64) + np.uint64(1))
+    found = [_picked(kmers, seeds[: params.sketches], params.picked)]
+    if len(words) < params.few and params.singles:
+        found.append(_picked(kmers, seeds[params.sketches :], 1))
+    limit = int(len(words) * (1 - params.similarity) + 1e-9)
+    if len(words) <= _SHORT and limit <= 2:
+        found.append(_left_out(words, limit))
+    return np.concatenate(found).view(np.int64).tolist()
 
 
 #: Bins of a text's word counts; most members of a bucket that one task compares with as many others.

@@ -185,6 +185,36 @@ def test_nothing_similar_is_left_out_before_verification():
     assert cut and set(some) < set(whole)
 
 
+def edited_pair(rng, length, times):
+    a = [rng.randrange(10**9) for _ in range(length)]
+    b = list(a)
+    for at in rng.sample(range(length), times):
+        b[at] = rng.randrange(10**9)
+    return np.array(a, np.uint64), np.array(b, np.uint64)
+
+
+def meet(a, b):
+    a, b = (omh._mix(x) for x in (a, b))
+    return bool(set(omh.sketch(a, PARAMS)) & set(omh.sketch(b, PARAMS)))
+
+
+@pytest.mark.parametrize("length, times, least", [(200, 40, 0.95), (200, 30, 0.98), (200, 20, 0.99), (40, 8, 0.95), (20, 4, 0.9)])
+def test_pairs_at_the_threshold_meet(length, times, least):
+    rng = random.Random(8)
+    assert sum(meet(*edited_pair(rng, length, times)) for _ in range(300)) >= 300 * least
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=14), st.lists(st.integers(0, 3), min_size=1, max_size=14))
+def test_short_similar_texts_always_meet(a, b):
+    x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+    assert meet(x, y) or not omh.similar(x, y, PARAMS.similarity)
+    for times in range(int(len(a) * 0.2 + 1e-9) + 1):
+        near = list(a)
+        near[:times] = [9] * times
+        assert meet(x, np.array(near, np.uint64))
+
+
 def test_odd_rows(odd_docs, no_docs):
     found = omh.near_duplicates(odd_docs).collect()
     assert len(found) == odd_docs.count()

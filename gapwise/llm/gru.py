@@ -165,22 +165,36 @@ class Trainer:
     def feed(self, text: np.ndarray, end: int) -> None:
         """Learn from documents one after another, each closed by ``end``; the first symbol is only input.
 
-        The text is cut into as many lanes as it fills; state goes from window to window, and starts anew after ``end``.
+        The text is cut into as many lanes as it fills, the first ones longer by a symbol if it does not divide evenly; state
+        goes from window to window, and starts anew after ``end``.
         """
         n = len(text) - 1
         if n < 1:
             return
         lanes = max(1, min(self.lanes, n // self.window))
-        length = n // lanes
-        inputs = text[: lanes * length].reshape(lanes, length)
-        targets = text[1 : lanes * length + 1].reshape(lanes, length)
+        length, longer = divmod(n, lanes)
+        inputs, targets = (self._lanes(x, lanes, end) for x in (text[:-1], text[1:]))
         h = np.zeros((lanes, self.model.shape.hidden), np.float32)
         for at in range(0, length, self.window):
-            part = slice(at, min(length, at + self.window))
-            h = self._window(inputs[:, part], targets[:, part], h, end)
+            last = at + self.window >= length
+            part = slice(at, inputs.shape[1] if last else at + self.window)
+            rows = longer if last and longer else lanes
+            h = self._window(inputs[:, part], targets[:, part], h, end, rows)
         self.tokens += n
 
-    def _window(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, end: int) -> np.ndarray:
+    @staticmethod
+    def _lanes(symbols: np.ndarray, lanes: int, end: int) -> np.ndarray:
+        length, longer = divmod(len(symbols), lanes)
+        if not longer:
+            return symbols.reshape(lanes, length)
+        found = np.full((lanes, length + 1), end, symbols.dtype)
+        head = longer * (length + 1)
+        found[:longer] = symbols[:head].reshape(longer, length + 1)
+        found[longer:, :length] = symbols[head:].reshape(lanes - longer, length)
+        return found
+
+    def _window(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, end: int, rows: int | None = None) -> np.ndarray:
+        """Of the last column only the first ``rows`` count, if given."""
         model, (lanes, width), n = self.model, inputs.shape, self.model.shape.hidden
         tape, states = [], []
         for t in range(width):
@@ -192,7 +206,10 @@ class Trainer:
             h = new
         gradient = np.zeros_like(model.flat)
         g = model.shape.views(gradient)
-        d_states = self._output(np.concatenate(states), np.concatenate(targets.T), g).reshape(width, lanes, n)
+        counted = lanes * (width - 1) + (lanes if rows is None else rows)
+        d_states = np.zeros((width * lanes, n), np.float32)
+        d_states[:counted] = self._output(np.concatenate(states)[:counted], np.concatenate(targets.T)[:counted], g)
+        d_states = d_states.reshape(width, lanes, n)
         d_inputs = np.empty((width, lanes, 3 * n), np.float32)
         d_recurrent = np.empty((width, lanes, 3 * n), np.float32)
         back = np.zeros((lanes, n), np.float32)
@@ -213,7 +230,7 @@ class Trainer:
         order = np.argsort(seen, kind="stable")
         names, starts = np.unique(seen[order], return_index=True)
         g["inputs"][names] = np.add.reduceat(d_inputs.reshape(-1, 3 * n)[order], starts, axis=0)
-        self._update(gradient, lanes * width)
+        self._update(gradient, counted)
         return h
 
     def _output(self, states: np.ndarray, targets: np.ndarray, g: dict[str, np.ndarray]) -> np.ndarray:

@@ -69,6 +69,35 @@ def test_gradients_are_right():
         at += size
 
 
+@pytest.mark.parametrize("n", [7, 40, 43, 80, 87, 161, 1003])
+def test_every_symbol_is_learned_from(n):
+    rng = np.random.default_rng(5)
+    text = rng.integers(0, SHAPE.symbols, n + 1).astype(np.int32)
+    trainer, seen, steps = Trainer(SHAPE, SHAPE.start(np.ones(SHAPE.symbols), 1), 0.0, 8, 10), [], []
+    output = trainer._output
+    trainer._output = lambda states, targets, g: (seen.extend(targets.tolist()), output(states, targets, g))[1]
+    trainer._update = lambda gradient, tokens: steps.append(tokens)
+    trainer.feed(text, 0)
+    assert Counter(seen) == Counter(text[1:].tolist())
+    assert sum(steps) == trainer.tokens == n
+
+
+def test_lanes_of_unequal_length_have_the_gradients_of_each_alone():
+    rng = np.random.default_rng(6)
+    flat = rng.normal(0, 0.5, SHAPE.size()).astype(np.float32)
+    text = rng.integers(0, SHAPE.symbols, 14).astype(np.int32)  # a lane of seven and one of six
+
+    def gradient(inputs, targets, rows=None):
+        trainer, caught = Trainer(SHAPE, flat, 0.0, 2, 6), []
+        trainer._update = lambda g, tokens: caught.append(g.copy())
+        trainer._window(inputs, targets, np.zeros((len(inputs), 5), np.float32), 0, rows)
+        return caught[0]
+
+    both = gradient(*(Trainer._lanes(x, 2, 0) for x in (text[:-1], text[1:])), 1)
+    alone = gradient(text[None, :7], text[None, 1:8]) + gradient(text[None, 7:13], text[None, 8:14])
+    assert both == pytest.approx(alone, rel=1e-3, abs=1e-4)
+
+
 def test_training_learns_an_order():
     text = np.tile(np.array([1, 4, 7, 2, 0], np.int32), 400)
     flat = SHAPE.start(np.ones(SHAPE.symbols), 1)

@@ -18,6 +18,7 @@ from gapwise.llm import (
     op8_decontaminate,
     op9_html,
     op10_language,
+    op13_clusters,
 )
 from gapwise.llm.common import remainder, table
 from gapwise.storage import new_path
@@ -81,6 +82,12 @@ def q_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, centroids = op13_clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    sums = centroids.select("cluster", "cluster_inertia", "inertia", "centroid_sha256")
+    return assigned.join(F.broadcast(sums), "cluster")  # a row per centroid
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": q_sharding,
     "op2_warc": q_warc,
@@ -92,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": q_decontamination,
     "op9_html_text": q_html,
     "op10_language_id": q_language,
+    "op13_clusters": q_clusters,
 }
 
 
@@ -100,4 +108,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": op1_sharding.oracle(), "op8_decontamination": op8_decontaminate.oracle()}
+    return {
+        "op1_sharding": op1_sharding.oracle(),
+        "op8_decontamination": op8_decontaminate.oracle(),
+        "op13_clusters": op13_clusters.oracle(),
+    }

@@ -18,6 +18,8 @@ from gapwise.llm import (
     op8_decontaminate,
     op9_html,
     op10_language,
+    op11_repair,
+    op12_sketch,
     op13_clusters,
 )
 from gapwise.llm.common import remainder, table
@@ -82,6 +84,14 @@ def q_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_repair.repair(op11_repair.damage(table(spark, sf_dir, "conversations"))).report
+
+
+def q_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_sketch.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def q_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned, centroids = op13_clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
     sums = centroids.select("cluster", "cluster_inertia", "inertia", "centroid_sha256")
@@ -99,6 +109,8 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": q_decontamination,
     "op9_html_text": q_html,
     "op10_language_id": q_language,
+    "op11_conversation_repair": q_repair,
+    "op12_fingerprints": q_fingerprints,
     "op13_clusters": q_clusters,
 }
 
@@ -111,5 +123,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_sharding": op1_sharding.oracle(),
         "op8_decontamination": op8_decontaminate.oracle(),
+        "op11_conversation_repair": op11_repair.oracle(),
         "op13_clusters": op13_clusters.oracle(),
     }

@@ -81,6 +81,10 @@ class Inputs:
     def user_clusters(self) -> DataFrame:
         return self.mart("user_clusters")
 
+    @property
+    def cells(self) -> DataFrame:
+        return marts.read_cells(self.spark, self.mart_path)
+
     @property
     def activity(self) -> DataFrame:
         return self.mart("user_activity")
@@ -126,7 +130,7 @@ class Inputs:
 
     @cached_property
     def als_model(self):
-        return model.fit_als(model.index_affinity(self.affinity, self.user_index, self.cat))
+        return model.fit_als(model.index_affinity(self.affinity, self.user_index, self.cat), self.cat)
 
 
 _INPUTS: dict[tuple[str, str], Inputs] = {}
@@ -391,13 +395,13 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "pass_through_first": lambda i: events.pass_through_first(i.events, "process_name"),
     "latest_activity_hint": lambda i: events.latest_activity_hint(i.events),
     "used_services": lambda i: affinity.used_services(i.affinity),
-    "cluster_dist": lambda i: insights.cluster_dist(i.user_clusters),
-    "service_by_cluster": lambda i: insights.service_by_cluster(i.user_clusters),
-    "rec_frequency": lambda i: insights.rec_frequency(i.user_clusters),
-    "rec_coverage_pct": lambda i: insights.rec_coverage_pct(i.user_clusters),
-    "platform_kpis": lambda i: insights.platform_kpis(i.user_clusters, i.activity),
-    "cluster_summary": lambda i: insights.cluster_summary(i.user_clusters, i.cat),
-    "rec_sources": lambda i: insights.rec_sources(i.user_clusters),
+    "cluster_dist": lambda i: insights.cluster_dist(i.cells),
+    "service_by_cluster": lambda i: insights.service_by_cluster(i.cells),
+    "rec_frequency": lambda i: insights.rec_frequency(i.cells),
+    "rec_coverage_pct": lambda i: insights.rec_coverage_pct(i.cells),
+    "platform_kpis": lambda i: insights.platform_kpis(i.cells, i.activity),
+    "cluster_summary": lambda i: insights.cluster_summary(i.cells, i.cat),
+    "rec_sources": lambda i: insights.rec_sources(i.cells),
     # rankings
     "active_service": lambda i: i.active,
     "global_rank": lambda i: ranking.global_rank(i.affinity, i.cat),
@@ -458,7 +462,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "display_name": q_display_name,
     # quality
     "table_profile": lambda i: quality.table_profile(marts.read_marts(i.spark, i.mart_path)),
-    "null_audit": lambda i: quality.null_audit(i.user_clusters),
+    "null_audit": lambda i: quality.null_audit(i.cells),
     "preview": _preview,
 }
 

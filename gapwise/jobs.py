@@ -18,7 +18,7 @@ from gapwise.operators.events import normalize_events
 from gapwise.operators.model import k_sweep
 from gapwise.plans.build import als_scores, build_marts
 from gapwise.plans.enrich import enrich_marts
-from gapwise.sources.marts import export_csv, export_json, read_mart, read_marts, write_marts
+from gapwise.sources.marts import export_csv, export_json, read_cells, read_mart, read_marts, write_marts
 from gapwise.sources.tracking import conform_tracking, land_events, read_events, read_tracking
 from gapwise.storage import work_folder
 
@@ -59,14 +59,13 @@ def enrich(spark: SparkSession, cat: Catalog, args: argparse.Namespace) -> None:
 
 def verify(spark: SparkSession, cat: Catalog, args: argparse.Namespace) -> None:
     """Row counts, NULLs, clusters, sources and first rows of the stored tables."""
-    tables = read_marts(spark, args.marts)
-    users = tables["user_clusters"]
+    tables, cells = read_marts(spark, args.marts), read_cells(spark, args.marts)
     show_all(quality.table_profile(tables))
-    show_all(quality.null_audit(users))
-    show_all(insights.cluster_dist(users))
-    show_all(insights.rec_sources(users))
-    show_all(insights.platform_kpis(users, tables["user_activity"]))
-    show_all(quality.preview(users, ["user_id"]))
+    show_all(quality.null_audit(cells))
+    show_all(insights.cluster_dist(cells))
+    show_all(insights.rec_sources(cells))
+    show_all(insights.platform_kpis(cells, tables["user_activity"]))
+    show_all(quality.preview(tables["user_clusters"], ["user_id"]))
 
 
 def diagnose(spark: SparkSession, cat: Catalog, args: argparse.Namespace) -> None:

@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from gapwise.catalog import Catalog
-from gapwise.operators.events import first_value, is_completed_core
+from gapwise.catalog import Catalog, lookup
+from gapwise.operators.events import first_values, is_completed_core
+from gapwise.storage import materialize
 
 
 def affinity(completed: DataFrame) -> DataFrame:
@@ -57,9 +59,20 @@ def usage_matrix(affinity_df: DataFrame, cat: Catalog) -> DataFrame:
 
 
 def gap_thresholds(affinity_df: DataFrame, p: float) -> DataFrame:
-    """Approximate p-th percentile (0..1) of the use counts of each service."""
-    return affinity_df.groupBy("process_type").agg(
-        F.percentile_approx("interaction_count", p).alias("gap_threshold")
+    """The exact discrete p-th percentile (0..1) of the use counts of each service.
+
+    The least count that at least a share ``p`` of the service's users do not exceed.  Users are counted per
+    service and count first, combined before the shuffle; what is ordered are the different counts alone.
+    """
+    histogram = affinity_df.groupBy("process_type", "interaction_count").agg(F.count("*").alias("users"))
+    service = Window.partitionBy("process_type")
+    upto = F.sum("users").over(service.orderBy("interaction_count").rowsBetween(Window.unboundedPreceding, 0))
+    enough = F.greatest(F.ceil(F.sum("users").over(service) * p), F.lit(1))
+    reached = histogram.select("process_type", "interaction_count", upto.alias("upto"), enough.alias("enough"))
+    return (
+        reached.filter(F.col("upto") >= F.col("enough"))
+        .groupBy("process_type")
+        .agg(F.min("interaction_count").alias("gap_threshold"))
     )
 
 
@@ -111,32 +124,33 @@ def user_rollup(events: DataFrame, cat: Catalog, pass_through: tuple[str, ...] =
     the pass-through columns.  Takes normalised events; users without a
     completed use of a core service are left out.
 
-    Counts and last use come from the completed uses alone, a filter that reaches the scan of landed
-    events; they are fixed-width, so a hash aggregate combines them before the
-    shuffle and a user leaves each task as one row.  The first values are text, which only a
-    sorting aggregate can hold, so they are taken apart, from rows that have one.
-    Both are shuffled by user and joined in place.  Events without a user are one user, without first
-    values.
+    Counts, last use and the times of the first values are of fixed width, so one hash aggregate over one scan combines
+    them before the shuffle and a user leaves each task as one row.  These rows are stored; text is then taken from the
+    events at the stored times alone.  Events without a user are one user, without first values.  Runs the job
+    that stores the rows.
     """
-    counts = [F.count_if(F.col("process_type") == code).alias(code) for code in cat.core]
-    rows = (
-        events.filter(is_completed_core(cat))
-        .groupBy("user_id")
-        .agg(*counts, F.max("created_at").alias("last_active_at"))
-    )
+    completed = is_completed_core(cat)
+    place = lookup({code: i for i, code in enumerate(cat.core)}, F.col("process_type"), "int")
+    narrow = (events if pass_through else events.filter(completed)).select(
+        "user_id", "created_at", F.when(completed, place).alias("place"),
+        *[F.col(col).isNotNull().alias(col) for col in pass_through],
+    )
+    counts = [F.count_if(F.col("place") == i).alias(code) for i, code in enumerate(cat.core)]
+    times = [F.min(F.when(F.col(col), F.col("created_at"))).alias(f"first_{col}_at") for col in pass_through]
+    last = F.max(F.when(F.col("place").isNotNull(), F.col("created_at"))).alias("last_active_at")
+    total = sum((F.col(c) for c in cat.core[1:]), F.col(cat.core[0]))
+    rows = narrow.groupBy("user_id").agg(*counts, last, *times).filter(total > 0)
+    if pass_through:
+        rows = materialize(rows, "user-counts")
     for col in pass_through:
-        first = (
-            events.filter(F.col(col).isNotNull())
-            .groupBy("user_id")
-            .agg(first_value(col).alias(f"first_{col}"))
-        )
-        rows = rows.join(first, "user_id", "left")
+        known = rows.filter(F.col("user_id").isNotNull())
+        first = first_values(events.filter(F.col("user_id").isNotNull()), known, col, f"first_{col}_at")
+        rows = rows.join(first.withColumnRenamed(col, f"first_{col}"), "user_id", "left")
 
     def used(entry) -> Column:
         cells = [F.when(F.col(c) > 0, entry(F.col(c), F.lit(c), cat)) for c in cat.core]
         return F.array_compact(F.array(*cells))
 
-    total = sum((F.col(c) for c in cat.core[1:]), F.col(cat.core[0]))
     return rows.select(
         "user_id",
         F.array_min(used(_descending)).getField("process_type").alias("active_service"),

@@ -21,36 +21,67 @@ def _is_covered() -> Column:
     return F.coalesce(F.trim("cross_recommend_1") != "", F.lit(False))
 
 
-def cluster_dist(user_clusters: DataFrame) -> DataFrame:
-    return user_clusters.groupBy("cluster_id").agg(F.count("*").alias("users")).orderBy("cluster_id")
+# -- counts over all users -------------------------------------------------------
+#
+# Cells are the users counted by all that the reports ask for: as many rows as there are combinations of cluster,
+# services and source, whatever the number of users.  Every report takes the stored cells, or users, which
+# it counts first.
 
+CELL_KEYS = ("cluster_id", "active_service", "cross_recommend_1", "rec1_source")
 
-def service_by_cluster(user_clusters: DataFrame) -> DataFrame:
+
+def user_cells(user_clusters: DataFrame) -> DataFrame:
+    """Users per cell, and how many of them have an id; one aggregate, combined before the shuffle."""
+    return user_clusters.groupBy(
+        *CELL_KEYS,
+        F.col("rec1_score").isNull().alias("null_rec1_score"),
+        F.col("cross_recommend_2").isNull().alias("null_rec2"),
+    ).agg(F.count("*").alias("users"), F.count("user_id").alias("with_id"))
+
+
+def _cells(df: DataFrame, *needed: str) -> DataFrame:
+    """``df`` if it is cells, else its users counted by ``needed``."""
+    if "users" in df.columns:
+        return df
+    return df.groupBy(*needed).agg(F.count("*").alias("users"), F.count("user_id").alias("with_id"))
+
+
+def cluster_dist(users: DataFrame) -> DataFrame:
+    return _cells(users, "cluster_id").groupBy("cluster_id").agg(F.sum("users").alias("users")).orderBy("cluster_id")
+
+
+def service_by_cluster(users: DataFrame) -> DataFrame:
     """Users per cluster and active service; users without an active service are not counted."""
-    known = user_clusters.filter(F.col("active_service").isNotNull())
-    return known.groupBy("cluster_id", "active_service").agg(F.count("*").alias("users"))
+    keys = ("cluster_id", "active_service")
+    known = _cells(users, *keys).filter(F.col("active_service").isNotNull())
+    return known.groupBy(*keys).agg(F.sum("users").alias("users"))
 
 
-def rec_frequency(user_clusters: DataFrame) -> DataFrame:
+def rec_frequency(users: DataFrame) -> DataFrame:
     """Users per first recommendation, most frequent first."""
     return (
-        user_clusters.filter(F.col("cross_recommend_1").isNotNull())
+        _cells(users, "cross_recommend_1")
+        .filter(F.col("cross_recommend_1").isNotNull())
         .groupBy(F.col("cross_recommend_1").alias("service"))
-        .agg(F.count("*").alias("users"))
+        .agg(F.sum("users").alias("users"))
         .orderBy(F.col("users").desc(), "service")
     )
 
 
-def rec_coverage_pct(user_clusters: DataFrame) -> DataFrame:
+def _covered() -> Column:
+    return F.coalesce(F.sum(F.when(_is_covered(), F.col("users"))), F.lit(0).cast("long"))
+
+
+def rec_coverage_pct(users: DataFrame) -> DataFrame:
     """Users with a first recommendation in percent, half to even; 0 for an empty table."""
-    covered = percent(F.count_if(_is_covered()), F.count("*"))
-    return user_clusters.agg(F.coalesce(covered, F.lit(0).cast("long")).alias("coverage_pct"))
+    covered = percent(_covered(), F.sum("users"))
+    return _cells(users, "cross_recommend_1").agg(F.coalesce(covered, F.lit(0).cast("long")).alias("coverage_pct"))
 
 
-def platform_kpis(user_clusters: DataFrame, activity: DataFrame) -> DataFrame:
+def platform_kpis(users: DataFrame, activity: DataFrame) -> DataFrame:
     """Users, clusters, stored events and coverage in one row."""
-    clusters = user_clusters.groupBy("cluster_id").agg(
-        F.count("*").alias("users"), F.count_if(_is_covered()).alias("covered")
+    clusters = _cells(users, "cluster_id", "cross_recommend_1").groupBy("cluster_id").agg(
+        F.sum("users").alias("users"), _covered().alias("covered")
     )
     zero = F.lit(0).cast("long")
     by_users = clusters.agg(
@@ -74,16 +105,13 @@ def platform_kpis(user_clusters: DataFrame, activity: DataFrame) -> DataFrame:
     )
 
 
-def cluster_summary(user_clusters: DataFrame, cat: Catalog) -> DataFrame:
-    """Per cluster: users, segment, most frequent active service and first recommendation.
-
-    One aggregate over the users leaves a row per cluster, service and
-    recommendation; the rest works on those few rows.
-    """
+def cluster_summary(users: DataFrame, cat: Catalog) -> DataFrame:
+    """Per cluster: users, segment, most frequent active service and first recommendation."""
     cells = (
-        user_clusters.filter(F.col("cluster_id").isNotNull())
+        _cells(users, "cluster_id", "active_service", "cross_recommend_1")
+        .filter(F.col("cluster_id").isNotNull())
         .groupBy("cluster_id", "active_service", "cross_recommend_1")
-        .agg(F.count("*").alias("rows"), F.count("user_id").alias("users"))
+        .agg(F.sum("users").alias("rows"), F.sum("with_id").alias("users"))
     )
 
     def value(kind: str, col: str) -> Column:
@@ -111,11 +139,12 @@ def cluster_summary(user_clusters: DataFrame, cat: Catalog) -> DataFrame:
     )
 
 
-def rec_sources(user_clusters: DataFrame) -> DataFrame:
+def rec_sources(users: DataFrame) -> DataFrame:
     """Users per source of the first recommendation, most frequent first."""
     return (
-        user_clusters.groupBy("rec1_source")
-        .agg(F.count("*").alias("users"))
+        _cells(users, "rec1_source")
+        .groupBy("rec1_source")
+        .agg(F.sum("users").alias("users"))
         .orderBy(F.col("users").desc(), "rec1_source")
     )
 

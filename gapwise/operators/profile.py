@@ -62,17 +62,18 @@ def recent_activity(
 ) -> DataFrame:
     """Each user's newest ``n`` events, of one user or of every user.
 
-    The rank limit is applied before the shuffle too (up to Spark's window group
-    limit threshold), so each task sends at most ``n`` events of a user however
-    many that user has.
+    Up to the number of rows for which Spark limits ranks before a shuffle, each task sends at most ``n`` events of
+    a user however many that user has.  For more, the events are ranked twice: first by user and group of tasks,
+    so a user is spread over groups and at most ``n`` rows of each are left, then by user.
     """
-    newest = Window.partitionBy("user_id").orderBy(
-        F.col("created_at").desc_nulls_last(),
-        F.col("event_id").desc_nulls_last(),
-        F.col("process_type").desc_nulls_last(),
-        F.col("process_name").desc_nulls_last(),
-    )
-    ranked = only_user(activity, user_id).withColumn("position", F.row_number().over(newest))
+    newest = [F.col(c).desc_nulls_last() for c in ("created_at", "event_id", "process_type", "process_name")]
+    rows = only_user(activity, user_id)
+    if n > int(rows.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        group = F.pmod(F.spark_partition_id(), F.lit(ACTIVITY_GROUPS))  # any division gives the same rows
+        within = Window.partitionBy("user_id", "__group").orderBy(*newest)
+        ranked = rows.withColumn("__group", group).withColumn("__rank", F.row_number().over(within))
+        rows = ranked.filter(F.col("__rank") <= n).drop("__group", "__rank")
+    ranked = rows.withColumn("position", F.row_number().over(Window.partitionBy("user_id").orderBy(*newest)))
     return ranked.filter(F.col("position") <= n)
 
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gapwise.operators.insights import user_cells
+
 
 def table_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Row count, columns and types of each table: a row per column."""
@@ -29,19 +31,19 @@ def table_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [profile(name, df) for name, df in tables.items()])
 
 
-def null_audit(user_clusters: DataFrame) -> DataFrame:
-    """NULL counts of the columns that should be filled, in one pass."""
-    audited = {
-        "null_cluster": "cluster_id",
-        "null_active_service": "active_service",
-        "null_rec1": "cross_recommend_1",
-        "null_rec1_score": "rec1_score",
-        "null_rec2": "cross_recommend_2",
+def null_audit(users: DataFrame) -> DataFrame:
+    """NULL counts of the columns that should be filled, from the stored cells or from users."""
+    cells = users if "users" in users.columns else user_cells(users)
+    nulls = {
+        "null_cluster": F.col("cluster_id").isNull(),
+        "null_active_service": F.col("active_service").isNull(),
+        "null_rec1": F.col("cross_recommend_1").isNull(),
+        "null_rec1_score": F.col("null_rec1_score"),
+        "null_rec2": F.col("null_rec2"),
     }
-    return user_clusters.agg(
-        F.count("*").alias("users"),
-        *[F.count_if(F.col(col).isNull()).alias(name) for name, col in audited.items()],
-    )
+    zero = F.lit(0).cast("long")
+    counted = [F.coalesce(F.sum(F.when(is_null, F.col("users"))), zero).alias(name) for name, is_null in nulls.items()]
+    return cells.agg(F.coalesce(F.sum("users"), zero).alias("users"), *counted)
 
 
 def preview(df: DataFrame, keys: list[str], n: int = 5) -> DataFrame:

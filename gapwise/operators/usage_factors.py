@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 
 from gapwise.catalog import Catalog
 from gapwise.operators.affinity import usage_counts
-from gapwise.operators.model import AlsParams
 from gapwise.storage import materialize
 
+# Fixed value: model seed.
+SEED = 42
+
 # Decimals of a score.  What ranks services is what a user of the table can see, and
 # the order in which Spark adds up doubles cannot decide between equals.
 SCORE_DECIMALS = 6
@@ -38,6 +40,16 @@ SUM_DIGITS = 10
 ROUNDING = 1e-13
 
 
+@dataclass(frozen=True)
+class AlsParams:
+    # Model parameters.
+    rank: int = 10
+    max_iter: int = 15
+    reg_param: float = 0.1
+    alpha: float = 40.0
+    seed: int = SEED
+
+
 @dataclass(frozen=True)
 class UsageFactors:
     """A fitted model: one factor vector per service (rows follow ``services``)."""
@@ -155,12 +167,16 @@ def _solve_services(sums: np.ndarray, n: int, params: AlsParams) -> np.ndarray:
 def fit_usage_factors(
     matrix: DataFrame, cat: Catalog, params: AlsParams = AlsParams()
 ) -> UsageFactors:
-    """Alternate between users (in the tasks) and services (a few small systems).
+    """The model of a usage matrix with a column for each core service."""
+    return fit_columns(matrix, list(cat.core), params)
+
+
+def fit_columns(matrix: DataFrame, services: list[str], params: AlsParams = AlsParams()) -> UsageFactors:
+    """Alternate between users (in the tasks) and services (a few small systems), one column of counts each.
 
     Runs jobs: one that stores the distinct count rows, dealt evenly since their work and not
     their size matters, and one per iteration.
     """
-    services = list(cat.core)
     context = matrix.sparkSession.sparkContext
     distinct = matrix.groupBy(*services).agg(F.count("*").alias("users"))
     rows = materialize(distinct.repartition(2 * context.defaultParallelism), "usage-vectors")
@@ -185,11 +201,25 @@ def fit_usage_factors(
         added = parts.groupBy("place").agg(F.sum("value").alias("value")).toPandas()
         ordered = added.sort_values("place")["value"].to_numpy()
         if not len(ordered):
+            vectors = np.zeros_like(vectors)
             break
         vectors = _solve_services(_digits(ordered, SUM_DIGITS), len(services), params)
     return UsageFactors(tuple(services), vectors, params)
 
 
+def user_factor_rows(counts: DataFrame, number: str, model: UsageFactors) -> DataFrame:
+    """``id`` and ``features`` of every user, from rows of a number and the services' counts; no row moves."""
+    services = list(model.services)
+
+    def factors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            distinct, place = np.unique(batch[services].to_numpy(dtype=float), axis=0, return_inverse=True)
+            found = user_factors(distinct, model.vectors, model.params)[place.ravel()]
+            yield pd.DataFrame({"id": batch[number], "features": list(found)})
+
+    return counts.select(number, *services).mapInPandas(factors, "id bigint, features array<float>")
+
+
 def usage_scores(model: UsageFactors) -> Column:
     """For per-user rows with ``usage``: an array of scores that follows the services.
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gapwise.operators.insights import user_cells
+from gapwise.sources import builds
+from gapwise.storage import remove
+
 USER_CLUSTERS_SCHEMA = T.StructType(
     [
         T.StructField("user_id", T.StringType()),
@@ -54,45 +60,116 @@ MART_SCHEMAS = {
     "user_service_stats": USER_SERVICE_STATS_SCHEMA,
 }
 
-# Layout of each table: rows are dealt by a hash of the first, and sorted by the second.  The hashed
-# keys are nearly unique, so a user, or a cluster, that holds a large share of the rows
-# is split over many tasks and files.
-_DEAL_KEYS = {
-    "user_clusters": ("user_id",),
-    "user_activity": ("user_id", "created_at", "event_id", "process_name"),
-    "user_service_stats": ("user_id",),
-}
+# Users counted by cluster, services, source and NULLs, stored with every build.
+CELLS = "user_cells"
+CELLS_SCHEMA = (
+    "cluster_id int, active_service string, cross_recommend_1 string, rec1_source string, "
+    "null_rec1_score boolean, null_rec2 boolean, users bigint, with_id bigint"
+)
+
+# Layout: all tables have the same buckets by user.  Within a bucket rows are sorted by these columns; browsing
+# a cluster reads its partition alone.
 _SORT_KEYS = {
-    "user_clusters": ("cluster_id", "user_id"),
+    "user_clusters": ("user_id",),
     "user_activity": ("user_id", "created_at", "event_id"),
     "user_service_stats": ("user_id", "process_type"),
 }
 _PARTITION_BY = {"user_clusters": ("cluster_id",)}
 
+# The events of a bucket are written by so many tasks, told apart by these columns, as one user may have a large
+# share of them.  The other tables have at most a row per user and service.
+_SPREAD = {"user_activity": 32}
+_SPREAD_BY = ("created_at", "event_id", "process_type", "process_name")
 
-def write_marts(marts: Mapping[str, DataFrame], path: str) -> None:
-    """Overwrite the stored tables below ``path``.
 
-    Files are sorted by user, so a lookup by user id skips row groups, and
-    ``user_clusters`` is partitioned by cluster, so browsing a cluster reads
-    nothing else.  Every table is computed once: dealing by hash needs no sample of it.
+def write_marts(marts: Mapping[str, DataFrame], path: str, buckets: int | None = None) -> None:
+    """Write the tables below ``path`` as a new build, which replaces the one before when it is complete.
+
+    Readers see the old build or the new one, never part of it; a write that fails leaves the old one.
+    Beside the users lie their cells, for the reports.  Every table is computed once, and dealt so that a task writes its buckets alone.  ``buckets`` is the
+    session's number of shuffle partitions by default.
     """
-    for name, df in marts.items():
-        dealt = [key for key in _DEAL_KEYS[name] if key in df.columns]
-        ordered = [key for key in _SORT_KEYS[name] if key in df.columns]
-        (
-            df.repartition(*dealt)
-            .sortWithinPartitions(*ordered)
-            .write.mode("overwrite")
-            .partitionBy(*_PARTITION_BY.get(name, ()))
-            .parquet(f"{path}/{name}")
+    spark = next(iter(marts.values())).sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    build = builds.Build(builds.new_build(), n, tuple(marts))
+    folder = f"{path}/{build.name}"
+    try:
+        for name, df in marts.items():
+            _write_mart(df, name, f"{folder}/{name}", n)
+        if "user_clusters" in marts:
+            stored = spark.read.schema(USER_CLUSTERS_SCHEMA).parquet(f"{folder}/user_clusters")
+            user_cells(stored).coalesce(1).write.parquet(f"{folder}/{CELLS}")  # few rows, whatever the users
+    except BaseException:
+        remove(spark, folder)
+        raise
+    builds.publish(spark, path, build)
+
+
+def _write_mart(df: DataFrame, name: str, path: str, buckets: int) -> None:
+    spark, table = df.sparkSession, f"gapwise_{uuid.uuid4().hex}"
+    bucket = F.pmod(F.hash("user_id"), F.lit(buckets))  # as Spark numbers buckets
+    spread = min(_SPREAD.get(name, 1), buckets)
+    if spread > 1:
+        row = F.xxhash64(*[F.col(c) for c in _SPREAD_BY if c in df.columns])
+        bucket = F.pmod(bucket + F.pmod(row, F.lit(spread)).cast("int") * (buckets // spread), F.lit(buckets))
+    writer = (
+        df.repartitionById(buckets, bucket)
+        .write.format("parquet")
+        .partitionBy(*_PARTITION_BY.get(name, ()))
+        .bucketBy(buckets, "user_id")
+        .sortBy(*[key for key in _SORT_KEYS[name] if key in df.columns])
+    )
+    try:
+        writer.option("path", path).saveAsTable(table)  # the catalogue's entry is only for writing
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def _bucketed(spark: SparkSession, path: str, name: str, build: builds.Build) -> DataFrame:
+    """The stored table with its buckets, by an entry in the session's catalogue that points at the files."""
+    table = f"gapwise_{build.name.removeprefix('build-')}_{name}"
+    if not spark.catalog.tableExists(table):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in MART_SCHEMAS[name])
+        parts = _PARTITION_BY.get(name)
+        place = f"{path}/{build.name}/{name}".replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(
+            f"CREATE TABLE {table} ({columns}) USING parquet"
+            + (f" PARTITIONED BY ({', '.join(parts)})" if parts else "")
+            + f" CLUSTERED BY (user_id) INTO {build.buckets} BUCKETS LOCATION '{place}'"
         )
+        if parts:
+            spark.catalog.recoverPartitions(table)
+    return spark.table(table)
+
+
+def _stored(spark: SparkSession, path: str, name: str) -> builds.Build:
+    build = builds.current(spark, path)
+    if name not in build.tables:
+        raise builds.Unpublished(f"the build in {path} has no table {name}")
+    return build
 
 
 def read_mart(spark: SparkSession, path: str, name: str) -> DataFrame:
-    schema = MART_SCHEMAS[name]
-    table = spark.read.schema(schema).parquet(f"{path}/{name}")
-    return table.select(*schema.names)
+    """A stored table of the current build.
+
+    Tables with few rows a user are read by bucket, so they are joined and grouped by user where they are.  The
+    activity is read in even splits: a user with most of the events would otherwise be one task.
+    """
+    build, schema = _stored(spark, path, name), MART_SCHEMAS[name]
+    if name in _SPREAD:
+        return spark.read.schema(schema).parquet(f"{path}/{build.name}/{name}")
+    return _bucketed(spark, path, name, build).select(*schema.names)
+
+
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """The current build's users counted by all that the reports ask for."""
+    return spark.read.schema(CELLS_SCHEMA).parquet(f"{path}/{_stored(spark, path, 'user_clusters').name}/{CELLS}")
+
+
+def read_user(spark: SparkSession, path: str, name: str, user_id: str) -> DataFrame:
+    """One user's rows of a stored table, from the files of one bucket."""
+    table = _bucketed(spark, path, name, _stored(spark, path, name))
+    return table.filter(F.col("user_id") == user_id.strip()).select(*MART_SCHEMAS[name].names)
 
 
 def read_marts(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -77,6 +77,10 @@ def conform_tracking(
     return timed.select(*map(conformed, TRACKING_SCHEMA))
 
 
+# Size of a row group of landed events, before compression.
+ROW_GROUP_BYTES = 32 << 20
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Landed events; the schema is known, so no file has to be opened to plan."""
     return spark.read.schema(TRACKING_SCHEMA).parquet(path)
@@ -87,10 +91,12 @@ def land_events(events: DataFrame, path: str) -> None:
 
     After this the completed-use filter reaches the scan: ``status`` and
     ``process_type`` hold their normalised values, and each task's rows are sorted
-    by them, which gives tight row-group statistics without a shuffle.
+    by them, which gives tight row-group statistics without a shuffle.  Row groups are small enough
+    for a large file to be read by several tasks.
     """
     (
         events.sortWithinPartitions("status", "process_type")
         .write.mode("overwrite")
+        .option("parquet.block.size", ROW_GROUP_BYTES)
         .parquet(path)
     )

@@ -179,7 +179,7 @@ def test_runs_from_another_folder(tmp_path, folders):
     env["PYSPARK_SUBMIT_ARGS"] = f"--py-files {archive} pyspark-shell"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
     assert done.returncode == 0, done.stderr[-2000:]
-    assert (tmp_path / "m" / "user_clusters").exists()
+    assert list((tmp_path / "m").glob("build-*/user_clusters")) and list((tmp_path / "m").glob("manifest-*.json"))
     assert not list((tmp_path / "w").glob("*"))
 
 

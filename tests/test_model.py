@@ -7,6 +7,9 @@ from functools import partial
 
 import numpy as np
 import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.recommendation import ALS
 from pyspark.sql import functions as F
 
 from gapwise.operators import affinity, model, usage_factors
@@ -108,13 +111,30 @@ def test_numbers_outside_the_mapping_are_unknown(spark, inputs, cat):
     }
 
 
-# -- library model -------------------------------------------------------------------
+# -- factor tables -------------------------------------------------------------------
 
 
-def test_scoring_equals_the_library(inputs, cat):
+@pytest.fixture(scope="module")
+def indexed(inputs, cat):
+    return model.index_affinity(inputs.affinity, inputs.user_index, cat)
+
+
+@pytest.fixture(scope="module")
+def library(indexed):
+    """The library's fit with the same parameters, to compare with: each of its item blocks holds all ratings of a service."""
+    params = AlsParams()
+    als = ALS(
+        userCol="user_idx", itemCol="process_idx", ratingCol="interaction_count", rank=params.rank,
+        maxIter=params.max_iter, regParam=params.reg_param, implicitPrefs=True, alpha=params.alpha,
+        coldStartStrategy="drop", seed=params.seed, nonnegative=True,
+    )
+    return als.fit(indexed.withColumn("user_idx", F.col("user_idx").cast("int")))
+
+
+def test_scoring_equals_the_library(inputs, library):
     n = 3
-    ours = {(r["user_idx"], r["process_idx"]): r["score"] for r in model.score_all(inputs.als_model, n).collect()}
-    rows = inputs.als_model.recommendForAllUsers(n).collect()
+    ours = {(r["user_idx"], r["process_idx"]): r["score"] for r in model.score_all(library, n).collect()}
+    rows = library.recommendForAllUsers(n).collect()
     theirs = {(r["user_idx"], x["process_idx"]): x["rating"] for r in rows for x in r["recommendations"]}
     assert len(ours) == len(theirs) == n * inputs.user_index.count()
     for user in {u for u, _ in ours}:
@@ -122,6 +142,36 @@ def test_scoring_equals_the_library(inputs, cat):
         assert one == pytest.approx(two, abs=1e-5)
 
 
+def test_factor_tables_are_the_model_of_the_matrix(inputs, matrix, cat):
+    """The same vectors as from the usage matrix, and each user's exact factors for them."""
+    fitted = usage_factors.fit_usage_factors(matrix, cat)
+    items = {r["id"]: r["features"] for r in inputs.als_model.itemFactors.collect()}
+    assert sorted(items) == list(range(len(cat.core)))
+    assert np.allclose([items[i] for i in sorted(items)], fitted.vectors, rtol=1e-6)
+    numbers = {r["user_id"]: r["user_idx"] for r in inputs.user_index.collect()}
+    factors = {r["id"]: r["features"] for r in inputs.als_model.userFactors.collect()}
+    rows = matrix.collect()
+    counts = np.array([[r[c] for c in cat.core] for r in rows], dtype=float)
+    expected = usage_factors.user_factors(counts, fitted.vectors, AlsParams())
+    assert np.allclose([factors[numbers[r["user_id"]]] for r in rows], expected, rtol=1e-5, atol=1e-6)
+
+
+def test_services_are_at_the_optimum_of_their_half_step(inputs, matrix, cat):
+    """Moving any service's vector from the least-squares solution for these users raises the loss."""
+    rows = matrix.collect()
+    counts = np.array([[r[c] for c in cat.core] for r in rows], dtype=float)
+    params = AlsParams()
+    fitted = usage_factors.fit_usage_factors(matrix, cat, params)
+    before = usage_factors.fit_usage_factors(matrix, cat, AlsParams(max_iter=params.max_iter - 1))
+    users = usage_factors.user_factors(counts, before.vectors, params)
+    least = loss(counts, users, fitted.vectors, params)
+    assert least <= loss(counts, users, before.vectors, params)
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        moved = np.maximum(fitted.vectors + rng.normal(scale=1e-3, size=fitted.vectors.shape), 0.0)
+        assert loss(counts, users, moved, params) > least
+
+
 def test_many_items_are_scored_the_same_way(spark):
     users = spark.createDataFrame([(1, [1.0, 2.0])], "id int, features array<float>")
     items = spark.createDataFrame([(i, [float(i), 0.5]) for i in range(200)], "id int, features array<float>")
@@ -130,10 +180,14 @@ def test_many_items_are_scored_the_same_way(spark):
     assert model.score_factors(users, items.limit(0), 5).count() == 0
 
 
-def test_numbers_that_the_library_cannot_take_are_an_error(spark):
-    rows = spark.createDataFrame([(1 << 31, 0, 3)], "user_idx long, process_idx int, interaction_count long")
-    with pytest.raises(Exception, match="2147483647"):
-        model.fit_als(rows)
+def test_numbers_of_64_bits(spark, cat):
+    rows = [(1 << 40, 0, 3), (1 << 40, 1, 1), ((1 << 40) + 1, 1, 2)]
+    indexed = spark.createDataFrame(rows, "user_idx long, process_idx int, interaction_count long")
+    fitted = model.fit_als(indexed, cat, AlsParams(max_iter=2))
+    scored = model.score_all(fitted, 5).collect()
+    assert {(r["user_idx"], r["process_idx"]) for r in scored} == {(u, i) for u in (1 << 40, (1 << 40) + 1) for i in (0, 1)}
+    none = model.fit_als(indexed.limit(0), cat, AlsParams(max_iter=2))
+    assert none.userFactors.count() == none.itemFactors.count() == model.score_all(none, 5).count() == 0
 
 
 def test_scores_are_finite(inputs, cat):
@@ -142,11 +196,10 @@ def test_scores_are_finite(inputs, cat):
     assert len(rows) == inputs.user_index.count() * len(cat.core)
 
 
-def test_fits_repeat(inputs, cat):
-    indexed = model.index_affinity(inputs.affinity, inputs.user_index, cat)
+def test_fits_repeat(indexed, cat):
     short = AlsParams(max_iter=2)
     once, again = (
-        sorted((r["id"], tuple(r["features"])) for r in model.fit_als(indexed, short).userFactors.collect())
+        sorted((r["id"], tuple(r["features"])) for r in model.fit_als(indexed, cat, short).userFactors.collect())
         for _ in range(2)
     )
     assert once == again
@@ -238,7 +291,7 @@ def loss(counts, factors, vectors, params):
     return error.sum() + params.reg_param * penalty
 
 
-def test_fit_lowers_the_loss_to_the_library_level(inputs, matrix, cat):
+def test_fit_lowers_the_loss_to_the_library_level(inputs, library, matrix, cat):
     rows = sorted(matrix.collect(), key=lambda r: r["user_id"])
     counts = np.array([[r[c] for c in cat.core] for r in rows], dtype=float)
     losses = []
@@ -250,15 +303,15 @@ def test_fit_lowers_the_loss_to_the_library_level(inputs, matrix, cat):
     assert losses[1] < losses[0]
 
     users = {r["user_id"]: r["user_idx"] for r in inputs.user_index.collect()}
-    by_item = {r["id"]: r["features"] for r in inputs.als_model.itemFactors.collect()}
-    by_user = {r["id"]: r["features"] for r in inputs.als_model.userFactors.collect()}
-    library = loss(
+    by_item = {r["id"]: r["features"] for r in library.itemFactors.collect()}
+    by_user = {r["id"]: r["features"] for r in library.userFactors.collect()}
+    theirs = loss(
         counts,
         np.array([by_user[users[r["user_id"]]] for r in rows]),
         np.array([by_item[i] for i in range(len(cat.core))]),
         AlsParams(),
     )
-    assert losses[1] < 1.15 * library
+    assert losses[1] < 1.15 * theirs
 
 
 @pytest.fixture(scope="module")
@@ -318,3 +371,31 @@ def test_k_sweep_stops_below_the_number_of_users(matrix, cat):
 def test_kmeans_segments(matrix, cat):
     rows = model.kmeans_segments(matrix, cat).collect()
     assert {r["kmeans_cluster"] for r in rows} == {0, 1, 2} and len(rows) == matrix.count()
+
+
+@pytest.fixture(scope="module")
+def grouped(spark, cat):
+    """Users of three kinds of profile, far apart: the best clustering is plain, whatever a model starts from."""
+    kinds = [(1, 0, 0, 0, 0), (0, 300, 0, 300, 0), (0, 0, 90_000, 0, 90_000)]
+    rows = [(f"u{i}", *[c + (i // 3 % 2 if c else 0) for c in kinds[i % 3]]) for i in range(600)]
+    return spark.createDataFrame(rows, ["user_id", *cat.core])
+
+
+def test_weighted_profiles_are_measured_as_all_users(grouped, cat):
+    vectors = model.usage_vectors(grouped, cat).cache()
+    assert model.weighted_vectors(grouped, cat).count() == 6
+    swept = {r["k"]: r for r in model.k_sweep(grouped, cat, k_max=3).collect()}
+    for k in (2, 3):
+        plain = KMeans(k=k, seed=7).fit(vectors)
+        assert swept[k]["inertia"] == pytest.approx(plain.summary.trainingCost, rel=1e-6, abs=1e-6)
+        assert swept[k]["silhouette"] == pytest.approx(ClusteringEvaluator().evaluate(plain.transform(vectors)), abs=1e-6)
+    assert [k for k, r in swept.items() if r["is_best"]] == [3]
+    found = {r["user_id"]: r["kmeans_cluster"] for r in model.kmeans_segments(grouped, cat).collect()}
+    assert len(found) == 600
+    assert all(found[f"u{i}"] == found[f"u{i % 3}"] for i in range(600)) and len(set(found.values())) == 3
+
+
+def test_no_more_clusters_than_profiles(grouped, cat):
+    assert [r["k"] for r in model.k_sweep(grouped, cat, k_max=8).collect()] == [2, 3, 4, 5, 6]
+    alone = grouped.filter("user_id IN ('u0', 'u6', 'u12')")
+    assert model.k_sweep(alone, cat).count() == 0

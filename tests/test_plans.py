@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.queries import QUERIES
+from gapwise.operators import events
 from gapwise.operators.affinity import profile_uses, user_rollup
 from gapwise.operators.ranking import rank_lists
 from gapwise.plans import build
@@ -85,12 +86,76 @@ def test_scores_stay_in_the_users_row(inputs, cat, no_broadcast):
     assert plan.count("FileScan parquet") == plan.count("ArrowEvalPython") == 1
 
 
-def test_counts_of_the_rollup_are_hashed(inputs, cat, no_broadcast):
+def before_the_first_exchange(plan):
+    """Nodes under every lowest exchange of a plan, from the scan up."""
+    lines = [line for line in plan.split("== Initial Plan ==")[-1].splitlines() if line.strip()]
+    found, below = [], []
+    for line in reversed(lines):
+        below = [] if "FileScan" in line else below
+        below.append(line)
+        if "Exchange" in line:
+            found.append("\n".join(below))
+    return [part for part in found if part.count("Exchange") == 1 and "FileScan" in part]
+
+
+@pytest.fixture()
+def stored(monkeypatch):
+    """The plans of what operators store, in order."""
+    from gapwise.operators import affinity, events
+
+    plans, of = [], events.materialize
+
+    def recorded(df, name):
+        plans.append(plan_of(df))
+        return of(df, name)
+
+    monkeypatch.setattr(events, "materialize", recorded)
+    monkeypatch.setattr(affinity, "materialize", recorded)
+    return plans
+
+
+def test_counts_and_times_of_the_rollup_are_hashed(inputs, cat, stored, no_broadcast):
     plan = plan_of(user_rollup(inputs.events, cat, ("process_name",)))
-    counts = [line for line in plan.splitlines() if "count_if" in line or "max(created_at" in line]
-    assert counts and all("HashAggregate" in line for line in counts)
-    assert "EqualTo(status,COMPLETED)" in plan and "IsNotNull(process_name)" in plan
-    assert plan.count("Exchange ") == 2
+    assert len(stored) == 1 and stored[0].count("Exchange ") == 1 and stored[0].count("FileScan") == 1
+    assert "SortAggregate" not in stored[0] and "Sort " not in stored[0]
+    assert "IsNotNull(process_name)" in plan
+    first = before_the_first_exchange(plan)
+    assert first and all("Sort" not in part for part in first)
+    # Without first values the filter of the counts reaches the scan.
+    assert "EqualTo(status,COMPLETED)" in plan_of(user_rollup(inputs.events, cat))
+
+
+@pytest.mark.parametrize(
+    "operator", [lambda e: events.pass_through_first(e, "process_name"), events.latest_activity_hint], ids=["first", "latest"]
+)
+def test_text_is_taken_from_events_of_one_time(inputs, stored, no_broadcast, operator):
+    plan = plan_of(operator(inputs.events))
+    assert len(stored) == 1 and "Sort" not in stored[0] and "max_by" not in stored[0] and "min_by" not in stored[0]
+    read = re.search(r"ReadSchema: (\S+)", stored[0])[1]
+    assert "event_id" not in read
+    first = before_the_first_exchange(plan)
+    assert first and all("Sort" not in part for part in first)
+    assert re.search(r"SortMergeJoin \[xxhash64\(user_id#\d+, created_at#\d+, 42\)\], \[wanted#\d+L\], LeftSemi", plan)
+
+
+def test_ratings_are_not_keyed_by_service(inputs, cat, no_broadcast, monkeypatch):
+    """Before the fit and after it users move by their own number; the sums of a fit are keyed by place in the equations."""
+    from gapwise.operators import model, usage_factors
+
+    plans, of = [], model.materialize
+
+    def recorded(df, name):
+        plans.append(plan_of(df))
+        return of(df, name)
+
+    monkeypatch.setattr(model, "materialize", recorded)
+    monkeypatch.setattr(usage_factors, "materialize", recorded)
+    indexed = model.index_affinity(inputs.affinity, inputs.user_index, cat)
+    fitted = model.fit_als(indexed, cat, model.AlsParams(max_iter=1))
+    plans.append(plan_of(fitted.userFactors))
+    keys = {key for plan in plans for key in re.findall(r"hashpartitioning\((.*?), \d+\)", plan)}
+    assert keys and all(k.startswith(("user_id#", "user_idx#", "service_0#", "part#")) for k in keys)
+    assert "Exchange" not in plans[-1]
 
 
 def test_titles_and_names_are_joined_where_users_are(spark, inputs, no_broadcast):
@@ -115,6 +180,16 @@ def test_rank_lists_are_bounded_by_the_catalogue(inputs, cat):
     assert all(len(r["peers"]) <= len(cat.core) for r in rows)
 
 
+def test_reports_read_the_cells(spark, inputs):
+    """One scan of the users made them; no report reads users again."""
+    for name in ("cluster_dist", "service_by_cluster", "rec_frequency", "rec_sources", "null_audit", "platform_kpis", "cluster_summary"):
+        read = {path.split("/")[-2] for path in entry.queries()[name](spark, inputs.sf_dir).inputFiles()}
+        assert read == ({"user_cells", "user_activity"} if name == "platform_kpis" else {"user_cells"})
+    assert inputs.cells.count() < 200
+
+
 def test_column_pruning(spark, inputs):
     plan = plan_of(entry.queries()["cluster_dist"](spark, inputs.sf_dir))
-    assert "ReadSchema: struct<>" in plan
+    assert "ReadSchema: struct<cluster_id:int,users:bigint>" in plan
+    plan = plan_of(entry.queries()["user_directory"](spark, inputs.sf_dir))
+    assert "rec1_score" not in plan

@@ -344,7 +344,38 @@ FROM {name}_picked f JOIN cat c ON c.service = f.active_service
     )
 
 
+cte(
+    "pct_gaps",
+    """
+SELECT s.* FROM scored s
+WHERE NOT EXISTS (SELECT 1 FROM aff a JOIN thresholds t USING (process_type)
+  WHERE a.user_id = s.user_id AND a.process_type = s.process_type AND a.interaction_count > t.gap_threshold)
+""",
+)
+cte(
+    "pct_two",
+    """
+SELECT * FROM (
+  SELECT user_id, process_type, score,
+    row_number() OVER (PARTITION BY user_id ORDER BY score DESC NULLS LAST, priority, process_type) AS rank
+  FROM pct_gaps)
+WHERE rank <= 2
+""",
+)
+cte(
+    "pct_slots",
+    """
+SELECT a.user_id, a.active_service,
+  t1.process_type AS cross_recommend_1, t1.score AS rec1_score,
+  t2.process_type AS cross_recommend_2, t2.score AS rec2_score
+FROM act a
+LEFT JOIN pct_two t1 ON t1.user_id = a.user_id AND t1.rank = 1
+LEFT JOIN pct_two t2 ON t2.user_id = a.user_id AND t2.rank = 2
+""",
+)
+
 fill_ctes("filled", "model_slots")
+fill_ctes("filled_pct", "pct_slots")
 fill_ctes("filled_plain", "no_slots")
 
 cte("lastact", "SELECT user_id, max(created_at) AS last_active_at FROM done GROUP BY 1")
@@ -396,6 +427,7 @@ LEFT JOIN firstname p ON p.user_id = f.user_id
 
 user_clusters_cte("uc", "filled")
 user_clusters_cte("uc_plain", "filled_plain")
+user_clusters_cte("uc_pct", "filled_pct")
 
 # -- repair pass -----------------------------------------------------------------
 
@@ -634,6 +666,11 @@ SELECT user_id, external_id FROM (
 WHERE regexp_full_match(lower(external_id), '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}')""",
     "explorer_filter": f"""
 SELECT {UC_COLUMNS} FROM uc
+WHERE cluster_id IN (0, 1, 2)
+  AND (active_service IN ('APPLICATION_DRAFTING', 'RESEARCH', 'QUERY_ANSWER') OR active_service IS NULL)
+  AND (contains(lower(user_id), 'customer#') OR coalesce(contains(lower("Name"), 'customer#'), false))""",
+    "indexed_search": f"""
+SELECT {UC_COLUMNS} FROM uc
 WHERE cluster_id IN (0, 1, 2)
   AND (active_service IN ('APPLICATION_DRAFTING', 'RESEARCH', 'QUERY_ANSWER') OR active_service IS NULL)
   AND (contains(lower(user_id), 'customer#') OR coalesce(contains(lower("Name"), 'customer#'), false))""",
@@ -659,6 +696,8 @@ ORDER BY total DESC, process_type""",
     + " FROM aff GROUP BY user_id",
     "gap_thresholds": "SELECT * FROM thresholds",
     "last_active": "SELECT * FROM lastact",
+    "merged_affinity": "SELECT * FROM aff",
+    "merged_last_active": "SELECT * FROM lastact",
     "pass_through_first": "SELECT user_id, process_name FROM firstname",
     "latest_activity_hint": "SELECT user_id, hint FROM hints",
     "used_services": "SELECT DISTINCT user_id, process_type FROM aff",
@@ -705,6 +744,10 @@ SELECT event_id, user_id, process_type, status, process_name, created_at, CAST(p
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id
         ORDER BY created_at DESC NULLS LAST, event_id DESC) AS position FROM done)
 WHERE position <= 20""",
+    "all_activity": """
+SELECT event_id, user_id, process_type, status, process_name, created_at,
+  CAST(row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC NULLS LAST, event_id DESC) AS INTEGER) AS position
+FROM done""",
     "users_by_cluster": 'SELECT user_id, "Name" FROM uc WHERE cluster_id = 0 ORDER BY user_id',
     "lookup_user": f"SELECT {UC_COLUMNS} FROM uc WHERE user_id = trim(' 7 ')",
     "adopted_services": """
@@ -741,6 +784,9 @@ SELECT coalesce(s.cluster_id, u.cluster_id) AS cluster_id,
 FROM segs s FULL OUTER JOIN (SELECT cluster_id, count(*) AS users FROM uc GROUP BY 1) u
   ON u.cluster_id = s.cluster_id""",
     "dense_index": "SELECT * FROM numbered",
+    "extended_index": """
+SELECT user_id, row_number() OVER (ORDER BY CAST(user_id AS BIGINT) % 2, user_id) - 1 AS user_idx
+FROM (SELECT DISTINCT user_id FROM aff)""",
     "score_all": """
 SELECT user_idx, process_idx, CAST(score AS FLOAT) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, process_idx DESC) AS best
@@ -808,6 +854,7 @@ FROM stored_empty s LEFT JOIN (
   FROM gapped p LEFT JOIN allrank g ON g.process_type = p.process_type WHERE p.is_gap) g
 ON g.user_id = s.user_id AND g.rn = 1""",
     "build_user_clusters": f"SELECT {UC_COLUMNS} FROM uc",
+    "build_user_clusters_percentile": f"SELECT {UC_COLUMNS} FROM uc_pct",
     "build_user_clusters_no_model": f"SELECT {UC_COLUMNS} FROM uc_plain",
     "user_summary": """
 SELECT a.user_id, CAST(sum(a.interaction_count) AS BIGINT) AS total_actions,

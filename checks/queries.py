@@ -8,6 +8,7 @@ folder; what takes the stored tables reads what the batch build made of those.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cached_property, partial
 
 from pyspark.ml.functions import vector_to_array
@@ -27,6 +28,8 @@ from gapwise.operators import (
     profile,
     quality,
     ranking,
+    search,
+    state,
 )
 from gapwise.plans import build, enrich
 from gapwise.sources import fixture, marts, tracking
@@ -221,6 +224,49 @@ def q_explorer_filter(i: Inputs) -> DataFrame:
     )
 
 
+def q_indexed_search(i: Inputs) -> DataFrame:
+    """The same rows as of the scan, by the index of three-letter runs."""
+    path = new_path(i.spark, "search-index")
+    search.write_index(i.user_clusters, path)
+    services = ("APPLICATION_DRAFTING", "RESEARCH", "QUERY_ANSWER")
+    return search.indexed_filter(i.user_clusters, path, (0, 1, 2), services, SEARCH_TEXT)
+
+
+def _merged_state(i: Inputs) -> DataFrame:
+    """The log in three parts, by event, added in an order of their own; two of them compacted before the third."""
+    path = new_path(i.spark, "usage-state")
+    for part in (2, 0, 1):
+        state.add_part(path, f"third-{part}", i.events.filter(F.col("event_id") % 3 == part), i.cat)
+        if part == 0:
+            state.compact(i.spark, path)
+    return state.read_state(i.spark, path)
+
+
+def q_merged_affinity(i: Inputs) -> DataFrame:
+    return state.state_affinity(_merged_state(i))
+
+
+def q_merged_last_active(i: Inputs) -> DataFrame:
+    return state.state_last_active(_merged_state(i))
+
+
+def q_extended_index(i: Inputs) -> DataFrame:
+    """Users of even numbers first; the others are numbered after them."""
+    even = i.affinity.filter(F.col("user_id").cast("long") % 2 == 0)
+    return model.extend_index(model.dense_index(even, "user_id", "user_idx"), i.affinity, "user_id", "user_idx")
+
+
+def q_all_activity(i: Inputs) -> DataFrame:
+    """More events a user than Spark limits ranks for."""
+    return profile.recent_activity(i.activity, n=5000)
+
+
+def q_build_percentile(i: Inputs) -> DataFrame:
+    """The build in which services used no more than a quarter of their users use them count as gaps."""
+    cat = Catalog(settings=replace(i.cat.settings, use_percentile_gaps=True))
+    return build.build_user_clusters(i.events, i.names, cat, i.scorer)
+
+
 def q_gap_thresholds(i: Inputs) -> DataFrame:
     return affinity.gap_thresholds(i.affinity, i.cat.settings.gap_usage_percentile / 100.0)
 
@@ -383,6 +429,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "user_activity": lambda i: events.user_activity(i.completed),
     "valid_user_ids": q_valid_user_ids,
     "explorer_filter": q_explorer_filter,
+    "indexed_search": q_indexed_search,
     "explorer_view": _explorer,
     # aggregations
     "affinity": lambda i: affinity.affinity(i.completed),
@@ -392,6 +439,8 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "usage_matrix": lambda i: affinity.usage_matrix(i.affinity, i.cat),
     "gap_thresholds": q_gap_thresholds,
     "last_active": lambda i: events.last_active(i.completed),
+    "merged_affinity": q_merged_affinity,
+    "merged_last_active": q_merged_last_active,
     "pass_through_first": lambda i: events.pass_through_first(i.events, "process_name"),
     "latest_activity_hint": lambda i: events.latest_activity_hint(i.events),
     "used_services": lambda i: affinity.used_services(i.affinity),
@@ -410,6 +459,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "spread_ranks": lambda i: i.model_slots,
     "top_users": lambda i: insights.top_users(i.user_clusters, i.affinity, i.cat),
     "user_stats": lambda i: profile.user_stats(i.affinity),
+    "all_activity": q_all_activity,
     "recent_activity": lambda i: profile.recent_activity(i.activity),
     "users_by_cluster": lambda i: insights.users_by_cluster(i.user_clusters, BROWSED_CLUSTER),
     "lookup_user": lambda i: profile.lookup_user(i.user_clusters, LOOKUP_ID),
@@ -426,6 +476,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "segment_directory": lambda i: naming.segment_directory(i.user_clusters, i.cat),
     # model
     "dense_index": lambda i: i.user_index,
+    "extended_index": q_extended_index,
     "fit_als": q_fit_als,
     "score_all": q_score_all,
     "decode_index": q_decode_index,
@@ -445,6 +496,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "build_user_clusters": lambda i: build.build_user_clusters(
         i.events, i.names, i.cat, i.scorer
     ),
+    "build_user_clusters_percentile": q_build_percentile,
     "build_user_clusters_no_model": lambda i: build.build_user_clusters(
         i.events, i.names, i.cat
     ),

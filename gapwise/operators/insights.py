@@ -177,6 +177,11 @@ def sample_users(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(place, "user_id").limit(n)
 
 
+def searched_name(users: DataFrame) -> list[str]:
+    """The column of names that a search looks into, beside the ids, if there is one."""
+    return [c for c in ("Name", "user_display_name") if c in users.columns][:1]
+
+
 def explorer_filter(
     user_clusters: DataFrame,
     clusters: Sequence[int] | None = None,
@@ -198,7 +203,6 @@ def explorer_filter(
         rows = rows.filter(service.isin(list(services)) | service.isNull())
     text = search.strip()
     if text:
-        name = next((c for c in ("Name", "user_display_name") if c in rows.columns), None)
 
         def matches(col: str) -> Column:
             if regex:
@@ -206,7 +210,7 @@ def explorer_filter(
             return F.contains(F.lower(col), F.lit(text.lower()))
 
         found = matches("user_id")
-        if name is not None:
+        for name in searched_name(rows):
             found = found | F.coalesce(matches(name), F.lit(False))
         rows = rows.filter(found)
     return rows

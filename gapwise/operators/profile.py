@@ -18,6 +18,9 @@ from gapwise.operators.affinity import service_profiles
 # Events shown per user.
 RECENT_EVENTS = 20
 
+# Groups of tasks over which the events of a user are spread when many of them are asked for.
+ACTIVITY_GROUPS = 64
+
 # The outreach message.
 OUTREACH_DOMAIN = "example.com"
 OUTREACH_SUBJECT = "⚡ Discover {service} on {product}"

@@ -15,7 +15,7 @@ from tests.compare import differences, duck
 # What trains with the library or joins one-row results of its checks.
 TRAINED = {"fit_als", "k_sweep", "kmeans_segments"}
 # Broadcast by a hint: offsets, one per partition, of the numbering.
-NUMBERED = {"dense_index", "score_all", "decode_index"}
+NUMBERED = {"dense_index", "extended_index", "score_all", "decode_index"}
 RELATIONAL = sorted(name for name in QUERIES if name not in TRAINED and name != "build_user_clusters_als")
 PYTHON = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroups")
 FORBIDDEN = (*PYTHON, "CartesianProduct", "BroadcastNestedLoopJoin", "Scan ExistingRDD")

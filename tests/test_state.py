@@ -1,0 +1,205 @@
+"""Mergeable state, append-only numbering, the search index, long activity and exact thresholds."""
+
+import itertools
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from gapwise.operators import affinity, events, insights, model, profile, search, state
+from gapwise.sources import builds
+from gapwise.storage import new_path
+from tests.compare import duck
+
+
+def rows(df):
+    return sorted(map(repr, df.collect()))
+
+
+# -- state ----------------------------------------------------------------------------
+
+
+def thirds(inputs):
+    return {f"p{n}": inputs.events.filter(F.col("event_id") % 3 == n) for n in range(3)}
+
+
+def test_parts_in_any_order_are_one_build(spark, inputs, cat):
+    whole = state.usage_state(inputs.events, cat).cache()
+    for order in itertools.permutations(thirds(inputs).items()):
+        path = new_path(spark, "state")
+        for name, part in order:
+            state.add_part(path, name, part, cat)
+        found = state.read_state(spark, path)
+        assert rows(found.select(*whole.columns)) == rows(whole)
+    assert rows(state.state_affinity(whole)) == rows(affinity.affinity(inputs.completed))
+    assert rows(state.state_last_active(whole)) == rows(events.last_active(inputs.completed))
+
+
+def test_a_repeated_part_is_refused(spark, inputs, cat):
+    path = new_path(spark, "state")
+    parts = thirds(inputs)
+    state.add_part(path, "p0", parts["p0"], cat)
+    before = rows(state.read_state(spark, path))
+    for again in ("p0", "p1"):
+        with pytest.raises(FileExistsError):
+            state.add_part(path, "p0", parts[again], cat)
+    assert rows(state.read_state(spark, path)) == before and state.parts(spark, path) == ["p0"]
+    for name in ("", "a/b", "_x", "../p"):
+        with pytest.raises(ValueError):
+            state.add_part(path, name, parts["p1"], cat)
+
+
+def test_two_who_add_one_part_at_a_time(spark, inputs, cat, monkeypatch):
+    """Both see no such part; the second to end is refused, and its data is deleted."""
+    path = new_path(spark, "state")
+    part = thirds(inputs)["p0"]
+    state.add_part(path, "p0", part, cat)
+    before = rows(state.read_state(spark, path))
+    listed = builds.names(spark, path)
+    monkeypatch.setattr(state.builds, "names", lambda spark, path: [])
+    with pytest.raises(FileExistsError):
+        state.add_part(path, "p0", part, cat)
+    monkeypatch.undo()
+    assert rows(state.read_state(spark, path)) == before and builds.names(spark, path) == listed
+
+
+def test_a_part_that_fails_is_not_there(spark, inputs, cat):
+    path = new_path(spark, "state")
+    broken = inputs.events.withColumn("status", F.raise_error(F.lit("killed")).cast("string"))
+    with pytest.raises(Exception, match="killed"):
+        state.add_part(path, "p0", broken, cat)
+    assert state.parts(spark, path) == [] and state.read_state(spark, path).count() == 0
+    state.add_part(path, "p0", inputs.events, cat)
+    assert state.parts(spark, path) == ["p0"]
+
+
+def test_compacting_keeps_the_state(spark, inputs, cat):
+    path, parts = new_path(spark, "state"), thirds(inputs)
+    whole = rows(state.usage_state(inputs.events, cat))
+    state.compact(spark, path)
+    for name, part in parts.items():
+        state.add_part(path, name, part, cat)
+        reader = state.read_state(spark, path)
+        expected = rows(reader)
+        state.compact(spark, path)
+        assert rows(state.read_state(spark, path)) == expected
+        assert rows(reader) == expected  # who began before still reads
+    assert rows(state.read_state(spark, path).select("user_id", "process_type", "interaction_count", "last_active_at")) == whole
+    with pytest.raises(FileExistsError):
+        state.add_part(path, "p1", parts["p1"], cat)
+    assert len([n for n in builds.names(spark, path) if n.startswith("data-")]) <= 3
+
+
+def test_empty_and_odd_events(spark, inputs, cat):
+    path = new_path(spark, "state")
+    state.add_part(path, "none", inputs.events.limit(0), cat)
+    assert state.read_state(spark, path).count() == 0
+    odd = [(1, None, "RESEARCH", "COMPLETED", None, None), (2, None, "RESEARCH", "COMPLETED", "t", None), (3, "u", None, None, None, None)]
+    table = spark.createDataFrame(odd, inputs.events.select("event_id", "user_id", "process_type", "status", "process_name", "created_at").schema)
+    state.add_part(path, "odd", table, cat)
+    state.add_part(path, "odd2", table, cat)
+    assert [tuple(r) for r in state.read_state(spark, path).collect()] == [(None, "RESEARCH", 4, None)]
+
+
+# -- numbering --------------------------------------------------------------------------
+
+
+def test_old_numbers_stay_over_builds(spark):
+    def ids(*values):
+        return spark.createDataFrame([(v,) for v in values], "user_id string")
+
+    first = model.dense_index(ids("m", "c", "m", "x"), "user_id")
+    second = model.extend_index(first, ids("a", "c", "z", None, None, "a"), "user_id")
+    third = model.extend_index(second, ids("b", None, "x"), "user_id")
+    one, two, three = ({r["user_id"]: r["idx"] for r in t.collect()} for t in (first, second, third))
+    assert one == {"c": 0, "m": 1, "x": 2}
+    assert two == one | {None: 3, "a": 4, "z": 5} and three == two | {"b": 6}
+    assert third.count() == 7
+    again = model.extend_index(third, ids("m", "b"), "user_id")
+    assert {r["user_id"]: r["idx"] for r in again.collect()} == three
+    from_nothing = model.extend_index(first.limit(0), ids("q", "p"), "user_id")
+    assert {r["user_id"]: r["idx"] for r in from_nothing.collect()} == {"p": 0, "q": 1}
+
+
+# -- search -------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def people(spark):
+    made = random.Random(5)
+    letters = "abAB1-é "
+    texts = ["".join(made.choice(letters) for _ in range(made.randrange(0, 9))) for _ in range(400)]
+    data = [(f"U{i:03d}{t}", None if i % 9 == 0 else texts[-i], i % 3, "RESEARCH") for i, t in enumerate(texts)]
+    users = spark.createDataFrame(data, "user_id string, Name string, cluster_id int, active_service string")
+    path = new_path(spark, "search")
+    search.write_index(users, path)
+    return users.cache(), path
+
+
+def test_the_index_finds_what_the_scan_finds(people):
+    users, path = people
+    made = random.Random(6)
+    needles = ["", " ", "a", "B", "é", "ab", "1-", "U00", "u399", "zzz", "aba", "zz", "-1-a"]
+    names = [r["Name"] for r in users.collect() if r["Name"]]
+    for _ in range(30):
+        name = made.choice(names)
+        start = made.randrange(len(name))
+        needles.append(name[start : start + made.randrange(1, 6)])
+    for needle in needles:
+        expected = insights.explorer_filter(users, (0, 1), search=needle)
+        found = search.indexed_filter(users, path, (0, 1), search=needle)
+        assert rows(found) == rows(expected), needle
+
+
+def test_many_users_are_found_by_a_join(people, monkeypatch):
+    users, path = people
+    monkeypatch.setattr(search, "NAMED", 3)
+    for needle in ("u", "u0", "u00", "ab"):
+        assert rows(search.indexed_filter(users, path, search=needle)) == rows(insights.explorer_filter(users, search=needle))
+
+
+def test_the_rarest_runs_are_looked_up(spark, people):
+    users, path = people
+    name = next(r["user_id"] for r in users.where("length(user_id) > 9").collect())
+    found = {r["user_id"] for r in search.candidates(spark, path, name.lower()).collect()}
+    assert name in found and len(found) < 5
+    plan = search.candidates(spark, path, "u1")._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(run,u1)" in plan
+
+
+# -- activity, thresholds ------------------------------------------------------------------
+
+
+def test_more_events_than_the_limit_of_ranks(spark):
+    """A hot user's events are ranked by groups of tasks first, of which at most ``n`` rows each go on."""
+    log = spark.range(0, 30_000, 1, 12).selectExpr(
+        "id AS event_id", "IF(id % 3 = 0, concat('u', id % 50), 'hot') AS user_id", "'RESEARCH' AS process_type",
+        "'COMPLETED' AS status", "concat('t', id) AS process_name",
+        "IF(id % 7 = 0, NULL, timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, CAST(id * 7919 % 30000 AS INT))) AS created_at",
+    )
+    n = 5000
+    found = profile.recent_activity(log, n=n)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window ") == 2 and plan.count("Exchange") == 2
+    got = {(r["user_id"], r["position"]): r["event_id"] for r in found.collect()}
+    by_user = {}
+    for r in log.collect():
+        by_user.setdefault(r["user_id"], []).append(r)
+    expected = {}
+    for user, events_ in by_user.items():
+        order = sorted(events_, key=lambda r: (r["created_at"] is None, -(r["created_at"].timestamp() if r["created_at"] else 0), -r["event_id"]))
+        expected |= {(user, at): r["event_id"] for at, r in enumerate(order[:n], 1)}
+    assert got == expected and sum(u == "hot" for u, _ in got) == n
+
+
+@pytest.mark.parametrize("p", [0.0, 0.1, 0.25, 0.5, 0.999, 1.0])
+def test_thresholds_are_exact(spark, sf_dir, p):
+    uses = spark.range(0, 1_000_000, 1, 8).selectExpr(
+        "CAST(id AS STRING) AS user_id", "IF(id % 10 < 7, 'RESEARCH', 'QUERY_ANSWER') AS process_type",
+        "CAST(pow(1 + pmod(xxhash64(id), 997), 2) AS BIGINT) AS interaction_count",
+    )
+    found = {r["process_type"]: r["gap_threshold"] for r in affinity.gap_thresholds(uses, p).collect()}
+    con = duck(sf_dir)
+    con.register("uses", uses.select("process_type", "interaction_count").toArrow())
+    expected = con.sql(f"SELECT process_type, quantile_disc(interaction_count, {p}) FROM uses GROUP BY 1").fetchall()
+    assert found == dict(expected)

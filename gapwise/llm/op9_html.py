@@ -2,14 +2,21 @@
 
 A tree builder with implied tags and a walk that knows what is visible: block spacing, line breaks, nested lists with
 their marks, preformatted text, and tables with aligned cells.  Every visible character of text comes out.
+
+Time and output grow with the page, whatever it nests or leaves open.  Open elements are known by name, so that none
+is looked for in a deep stack; the next quote and the next ``>`` are searched once.  Layout has bounds, text has not:
+lines of up to ``COLUMN`` characters make a column wide, longer ones reach over its end; a table that alignment would make more than
+``SPREAD`` times as large as its text has two spaces between cells instead; indents stop growing after ``INDENTS`` levels; tables
+in more than ``NESTED`` others are laid out as blocks.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,8 +52,13 @@ IMPLIED = (
     (ROW_GROUPS | {"caption", "colgroup"}, CELLS | {"tr", "caption", "colgroup"} | ROW_GROUPS, frozenset(("table",))),
 )
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
-_LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+# Bounds of layout: widest column, growth by alignment, levels of indents and of tables.
+COLUMN, SPREAD, INDENTS, NESTED = 80, 8, 40, 20
+#: Characters within which a tag must end for ``>`` in its quoted values not to end it.
+QUOTED = 1 << 16
+
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_END_OR_QUOTE = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
@@ -62,9 +74,37 @@ class Node:
 # -- building ------------------------------------------------------------------------------
 
 
+class _Next:
+    """Where a character occurs next, for places that only grow: each stretch of the page is searched once."""
+
+    def __init__(self, page: str, character: str):
+        self.page, self.character, self.at = page, character, -1
+
+    def after(self, start: int) -> int:
+        """The first place from ``start`` on, or the page's length."""
+        if self.at < start:
+            found = self.page.find(self.character, start)
+            self.at = len(self.page) if found < 0 else found
+        return self.at
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """("text", text, ""), ("start" or "end", name, attributes) in order; comments and declarations are left out."""
     at, size = 0, len(page)
+    closers, quotes = _Next(page, ">"), {'"': _Next(page, '"'), "'": _Next(page, "'")}
+
+    def tag_end(start: int) -> int:
+        """Place of the ``>`` that ends a tag; one in quotes does not, unless the tag would be too long."""
+        place = start
+        while place < min(size, start + QUOTED):
+            found = _END_OR_QUOTE.search(page, place)
+            if found is None:
+                break
+            if found[0] == ">":
+                return found.start()
+            place = quotes[found[0]].after(found.end()) + 1
+        return closers.after(start)
+
     while at < size:
         next_at = page.find("<", at)
         if next_at < 0:
@@ -85,21 +125,18 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             end = page.find(">", next_at)
             at = size if end < 0 else end + 1
             continue
-        # Quotes that never close would make the strict form search to the end for every tag.
-        loose = _LOOSE_TAG.match(page, next_at)
-        if loose is None:
+        tag = _NAME.match(page, next_at) if closers.after(next_at) < size else None
+        if tag is None:
             yield "text", "<", ""
             at = next_at + 1
             continue
-        tag = loose
-        if loose[3].count('"') % 2 or loose[3].count("'") % 2:
-            tag = _TAG.match(page, next_at, min(size, next_at + 65536)) or loose
         name = tag[2].lower()
-        at = tag.end()
+        end = tag_end(tag.end())
+        at = end + 1
         if tag[1]:
             yield "end", name, ""
             continue
-        yield "start", name, tag[3]
+        yield "start", name, page[tag.end() : end]
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
             end = close.start() if close else size
@@ -111,37 +148,59 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             return
 
 
+class _Open:
+    """The open elements, outermost first, and where each name is open."""
+
+    def __init__(self) -> None:
+        self.nodes = [Node("#root")]
+        self.places: dict[str, list[int]] = {}
+
+    @property
+    def top(self) -> Node:
+        return self.nodes[-1]
+
+    def last(self, names: Iterable[str]) -> int:
+        """Place of the innermost open element of ``names``; 0 if none is open."""
+        found, places = 0, self.places
+        for name in names:
+            open_at = places.get(name)
+            if open_at and open_at[-1] > found:
+                found = open_at[-1]
+        return found
+
+    def within(self, names: Iterable[str], until: Iterable[str]) -> int:
+        """Place of the innermost open element of ``names`` if no element of ``until`` is open inside it, else 0."""
+        place = self.last(names)
+        return place if place and place >= self.last(until) else 0
+
+    def push(self, node: Node) -> None:
+        self.top.children.append(node)
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, place: int) -> None:
+        """Close the element at ``place`` and all in it."""
+        while len(self.nodes) > place:
+            self.places[self.nodes.pop().tag].pop()
+
+    def close(self, names: Iterable[str], until: Iterable[str]) -> None:
+        """Close all elements of ``names`` that are open within ``until``."""
+        while place := self.within(names, until):
+            self.cut(place)
+
+
 def build(page: str) -> Node:
     """The tree of a page.  Unknown end tags are ignored, open elements are closed as HTML implies."""
-    root = Node("#root")
-    stack = [root]
-
-    def close(names: frozenset[str], until: frozenset[str]) -> None:
-        """Close the innermost open element of ``names`` and all in it, if it is open within ``until``."""
-        for at in range(len(stack) - 1, 0, -1):
-            if stack[at].tag in names:
-                del stack[at:]
-                return close(names, until)
-            if stack[at].tag in until:
-                return None
-
-    def open_within(name: str, until: frozenset[str]) -> bool:
-        for node in reversed(stack[1:]):
-            if node.tag == name:
-                return True
-            if node.tag in until:
-                return False
-        return False
-
+    stack = _Open()
     cells = CELLS | {"caption", "table"}
+    in_table = ROW_GROUPS | {"table", "tr"}
     for kind, name, rest in tokens(page):
-        top = stack[-1]
+        top = stack.top
         if kind == "text":
-            if top.tag in ("table", "tr", *ROW_GROUPS) and not name.strip():
+            if top.tag in in_table and not name.strip():
                 continue
-            if top.tag in ("table", "tr", *ROW_GROUPS):  # misplaced text stands before the table
-                at = max(i for i, n in enumerate(stack) if n.tag == "table")
-                siblings = stack[at - 1].children
+            if top.tag in in_table:  # misplaced text stands before the table
+                siblings = stack.nodes[max(stack.last(("table",)), 1) - 1].children
                 siblings.insert(len(siblings) - 1, name)
                 continue
             top.children.append(name)
@@ -149,42 +208,36 @@ def build(page: str) -> Node:
         if kind == "end":
             if name == "br":
                 top.children.append(Node("br"))
-            elif name not in VOID and open_within(name, cells if name not in cells | {"tr"} | ROW_GROUPS else frozenset()):
-                while stack.pop().tag != name:
-                    pass
+            elif name not in VOID:
+                stack.cut(stack.within((name,), cells if name not in cells | {"tr"} | ROW_GROUPS else ()) or len(stack.nodes))
             continue
-        if name in ("html", "body", "head") and any(n.tag == name for n in stack):
+        if name in ("html", "body", "head") and stack.last((name,)):
             continue
         if name in CLOSES_P:
-            close(frozenset(("p",)), cells | {"button"})
-        if name in HEADINGS and top.tag in HEADINGS:
-            stack.pop()
+            stack.close(("p",), cells | {"button"})
+        if name in HEADINGS and top.tag in HEADINGS and stack.top is top:
+            stack.cut(len(stack.nodes) - 1)
         if name == "body":
-            close(frozenset(("head",)), frozenset())
-        elif name not in HIDDEN and name not in ("html", "frameset") and stack[-1].tag == "head":
-            stack.pop()  # the head ends where content begins
+            stack.close(("head",), ())
+        elif name not in HIDDEN and name not in ("html", "frameset") and stack.top.tag == "head":
+            stack.cut(len(stack.nodes) - 1)  # the head ends where content begins
         for starts, ended, until in IMPLIED:
             if name in starts:
-                close(ended, until)
-        if name == "tr" and stack[-1].tag == "table":
-            _open(stack, Node("tbody"))
-        if name in CELLS and stack[-1].tag in ("table", *ROW_GROUPS):
-            if stack[-1].tag == "table":
-                _open(stack, Node("tbody"))
-            _open(stack, Node("tr"))
-        if name == "a" and open_within("a", cells):
-            close(frozenset(("a",)), cells)
+                stack.close(ended, until)
+        if name == "tr" and stack.top.tag == "table":
+            stack.push(Node("tbody"))
+        if name in CELLS and stack.top.tag in ("table", *ROW_GROUPS):
+            if stack.top.tag == "table":
+                stack.push(Node("tbody"))
+            stack.push(Node("tr"))
+        if name == "a":
+            stack.close(("a",), cells)
         node = Node(name, {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(rest)} if rest.strip(" /") else {})
         if name in VOID or (rest.endswith("/") and name in ("svg", "path")):
-            stack[-1].children.append(node)
+            stack.top.children.append(node)
         else:
-            _open(stack, node)
-    return root
-
-
-def _open(stack: list[Node], node: Node) -> None:
-    stack[-1].children.append(node)
-    stack.append(node)
+            stack.push(node)
+    return stack.nodes[0]
 
 
 # -- rendering ------------------------------------------------------------------------------
@@ -207,7 +260,8 @@ class Flow:
 
     def __init__(self) -> None:
         self.lines: list[str] = []
-        self.line, self.space, self.gap, self.blocks = "", False, 0, 0
+        self.line: list[str] = []
+        self.space, self.gap, self.blocks = False, 0, 0
         self.indents: list[str] = []
         self.mark = ""
 
@@ -221,9 +275,9 @@ class Flow:
         if not inner:
             return
         if self.line and self.space:
-            self.line += " "
+            self.line.append(" ")
         self._begin()
-        self.line += inner
+        self.line.append(inner)
         self.space = folded[-1] == " "
 
     def _begin(self) -> None:
@@ -232,29 +286,37 @@ class Flow:
             if self.gap and self.lines:
                 self.lines += [""] * self.gap
             self.gap = 0
-            self.line = "".join(self.indents)
+            indent = "".join(self.indents[:INDENTS])
             if self.mark:
-                self.line = self.line[: -len(self.mark)] + self.mark
+                indent = (indent[: -len(self.mark)] if len(self.indents) <= INDENTS else indent) + self.mark
                 self.mark = ""
+            self.line = [indent] if indent else []
 
     def exact(self, text: str) -> None:
         """Preformatted text: its own line ends and spaces."""
         first, *rest = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
         if first:
             self._begin()
-            self.line += first
+            self.line.append(first)
         for part in rest:
             self.end_line(keep=True)
             if part:
                 self._begin()
-                self.line += part
+                self.line.append(part)
+
+    def whole(self, line: str) -> None:
+        """A line of its own, as it is."""
+        self._begin()
+        if line:
+            self.line.append(line)
+        self.end_line()
 
     def end_line(self, keep: bool = False) -> None:
         if self.line:
-            self.lines.append(self.line.rstrip())
+            self.lines.append("".join(self.line).rstrip())
         elif keep and self.lines:
             self.lines.append("")
-        self.line, self.space = "", False
+        self.line, self.space = [], False
 
     def end_block(self, gap: int) -> None:
         self.end_line()
@@ -273,24 +335,38 @@ def _span(node: Node) -> int:
 
 
 def align(rows: list[list[tuple[int, list[str]]]]) -> list[str]:
-    """Rows of (columns spanned, lines) cells as lines, columns as wide as their widest cell, two spaces apart."""
+    """Rows of (columns spanned, lines) cells as lines, columns as wide as their widest line, two spaces apart.
+
+    Lines of more than ``COLUMN`` characters do not widen a column.  If padding would make most of the result, cells
+    are only put two spaces apart.
+    """
     widths: list[int] = []
     for row in rows:
         at = 0
         for span, lines in row:
             widths += [0] * (at + span - len(widths))
             if span == 1:
-                widths[at] = max(widths[at], max(map(len, lines), default=0))
+                widths[at] = max([widths[at], *(len(line) for line in lines if len(line) <= COLUMN)])
             at += span
+    upto = [0, *accumulate(width + 2 for width in widths)]
+    text = sum(len(line) + 2 for row in rows for _, lines in row for line in lines)
+    padded = sum(upto[sum(span for span, _ in row)] * max((len(lines) for _, lines in row), default=0) for row in rows)
     found = []
     for row in rows:
-        height = max((len(lines) for _, lines in row), default=0)
-        for i in range(height):
-            line, at = "", 0
+        if padded > SPREAD * (text + COLUMN):
+            beside: list[list[str]] = []
+            for _, lines in row:
+                beside += [[] for _ in range(len(lines) - len(beside))]
+                for i, line in enumerate(lines):
+                    beside[i].append(line)
+            found += ["  ".join(parts).rstrip() for parts in beside]
+            continue
+        for i in range(max((len(lines) for _, lines in row), default=0)):
+            parts, at = [], 0
             for span, lines in row:
-                line += (lines[i] if i < len(lines) else "").ljust(sum(widths[at : at + span]) + 2 * (span - 1)) + "  "
+                parts.append((lines[i] if i < len(lines) else "").ljust(upto[at + span] - upto[at] - 2) + "  ")
                 at += span
-            found.append(line.rstrip())
+            found.append("".join(parts).rstrip())
     return found
 
 
@@ -299,7 +375,7 @@ def render(page: str | None) -> tuple[str, int, int]:
     if not page:
         return "", 0, 0
     flow, flows, tables, lists = Flow(), [], [], []
-    done, blocks, pre = 0, 0, 0
+    done, blocks, pre, deep = 0, 0, 0, 0  # deep: open tables that are laid out as blocks
     # Steps instead of recursion: pages may be nested deeply.
     steps: list[tuple[str, Node | str]] = [("enter", build(page))]
     while steps:
@@ -327,7 +403,12 @@ def render(page: str | None) -> tuple[str, int, int]:
             if tag == "pre" and children and isinstance(children[0], str):
                 children = [children[0].removeprefix("\n"), *children[1:]]
             steps += [("enter", child) for child in reversed(children)]
-            if tag == "table":
+            if tag == "table" and len(tables) >= NESTED:
+                deep += 1
+                flow.end_block(1)
+            elif deep and tag in CELLS | {"tr"}:
+                flow.end_block(0)
+            elif tag == "table":
                 flow.end_block(1)
                 tables.append([])
             elif tag == "tr" and tables:
@@ -356,13 +437,15 @@ def render(page: str | None) -> tuple[str, int, int]:
             continue
         if tag in ("pre", "textarea", "xmp"):
             pre -= 1
-        if tag == "table":
+        if deep and tag in CELLS | {"tr", "table"}:
+            flow.end_block(tag == "table")
+            done += tag == "table"
+            deep -= tag == "table"
+        elif tag == "table":
             table = tables.pop()
             done += 1
             for line in align([row for row in table if any(lines for _, lines in row)]):
-                flow._begin()
-                flow.line += line
-                flow.end_line()
+                flow.whole(line)
             flow.end_block(1)
         elif tag in CELLS and tables and tables[-1] and flows:
             lines = flow.result()

@@ -1,5 +1,12 @@
+import html as entities
+import re
+import time
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
+from gapwise.llm import op9_html as html
 from gapwise.llm.op9_html import build, extract, render
 
 CASES = [
@@ -84,3 +91,115 @@ def test_odd_rows(spark):
     found = sorted((r["page_id"] or 0, len(r["text"]), r["n_blocks"]) for r in extract(pages).collect())
     assert found == [(0, 1, 1), (1, 0, 0), (1, 0, 0), (2, 0, 0), (3, 59_998, 20_000)]
     assert extract(pages.limit(0)).count() == 0
+
+
+# -- size ------------------------------------------------------------------------------------
+
+HARD = {
+    "a table with one long cell": lambda n: "<table><tr><td>" + "w" * (10 * n) + "<td>b" + "<tr><td>a<td>b" * n,
+    "a table with very many columns": lambda n: "<table><tr>" + "<td>abcdefgh" * n + "<tr><td>" + "word<br>" * n,
+    "many long rows, one of them tall": lambda n: "<table>" + "<tr><td>" + "x<br>" * n + "<td>y" * n,
+    "open blocks": lambda n: "<div>" * (4 * n) + "x",
+    "a paragraph open outside a button": lambda n: "<p><button>" + "<div>a" * (4 * n),
+    "unmatched ends": lambda n: "<div>" * (2 * n) + "</span>" * (2 * n),
+    "quotes that close in the next tag": lambda n: '<a href="x> t ' * (4 * n),
+    "a quote that never closes": lambda n: '<b "' + "<b >t " * (4 * n),
+    "quotes of two kinds": lambda n: "<b '>t " + '<b ">' * (4 * n),
+    "tags that never end": lambda n: "<a " * (8 * n),
+    "nested quotations": lambda n: "<blockquote>x" * n,
+    "nested lists": lambda n: "<ul><li>x" * n,
+    "nested tables": lambda n: "<table><tr><td>x" * n,
+    "one long line": lambda n: "<b>x</b> " * (8 * n),
+}
+
+
+@pytest.mark.parametrize("kind", HARD)
+def test_time_and_output_grow_with_the_page(kind):
+    """Four times the page: at most five times the output, and nothing like the square of the time."""
+    small, large = HARD[kind](2000), HARD[kind](8000)
+    html.render(small)
+    seconds = []
+    for page in (small, large):
+        began = time.process_time()
+        text = html.render(page)[0]
+        seconds.append((time.process_time() - began, len(text)))
+    assert seconds[1][1] <= 5 * seconds[0][1] + 100
+    assert len(text) < 60 * len(large)
+    assert seconds[1][0] <= 7 * seconds[0][0] + 0.3
+
+
+def test_no_visible_text_is_lost_at_the_bounds_of_layout():
+    words = [f"w{i}" for i in range(3000)]
+    for page in (
+        "<table>" + "".join(f"<tr><td>{w}" for w in words[:-1]) + f"<td>{'long ' * 500}{words[-1]}",
+        "<table><tr>" + "".join(f"<td>{w}" for w in words),
+        "<table><tr><td>" + "<br>".join(words[:1500]) + "".join(f"<td>{w}" for w in words[1500:]),
+        "".join(f"<table><tr><td>{w}" for w in words),
+        "".join(f"<ul><li>{w}" for w in words),
+        "".join(f"<blockquote><ol><li>{w}" for w in words),
+    ):
+        found = re.findall(r"w\d+", html.render(page)[0])
+        assert sorted(found) == sorted(words)
+
+
+# -- an independent layout -------------------------------------------------------------------
+
+
+def grid(rows):
+    """A table of plain cells by hand: columns as wide as their longest cell, two spaces apart."""
+    widths = [max(len(row[c]) for row in rows if c < len(row)) for c in range(max(map(len, rows)))]
+    return [("  ".join(cell.ljust(widths[c]) for c, cell in enumerate(row))).rstrip() for row in rows]
+
+
+def outline(items, depth, ordered):
+    """A nested list by hand: items are (text, items below)."""
+    found = []
+    for number, (text, below) in enumerate(items, 1):
+        mark = f"{number}. " if ordered[depth % len(ordered)] else "- "
+        found.append(mark + text)
+        found += [" " * len(mark) + line for line in outline(below, depth + 1, ordered)]
+    return found
+
+
+def markup(items, depth, ordered, closed):
+    name = "ol" if ordered[depth % len(ordered)] else "ul"
+    inner = "".join(f"<li>{t}{markup(b, depth + 1, ordered, closed) if b else ''}{'</li>' if closed else ''}" for t, b in items)
+    return f"<{name}>{inner}</{name}>"
+
+
+CELL = st.text("abc<>&", min_size=1, max_size=12)
+ITEMS = st.recursive(
+    st.lists(st.tuples(st.text("xyz", min_size=1, max_size=6), st.just([])), min_size=1, max_size=3),
+    lambda below: st.lists(st.tuples(st.text("xyz", min_size=1, max_size=6), below | st.just([])), min_size=1, max_size=3),
+    max_leaves=12,
+)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(CELL, min_size=1, max_size=5), min_size=1, max_size=6), st.booleans(), st.booleans())
+def test_tables_against_a_layout_by_hand(rows, closed, grouped):
+    def cell(text):
+        return f"<td>{entities.escape(text)}{'</td>' if closed else ''}"
+
+    body = "".join(f"<tr>{''.join(map(cell, row))}{'</tr>' if closed else ''}" for row in rows)
+    page = f"<table>{'<tbody>' if grouped else ''}{body}</table>"
+    assert html.render(page)[0].split("\n") == grid(rows)
+
+
+@settings(max_examples=150, deadline=None)
+@given(ITEMS, st.lists(st.booleans(), min_size=1, max_size=3), st.booleans())
+def test_lists_against_a_layout_by_hand(items, ordered, closed):
+    assert html.render(markup(items, 0, ordered, closed))[0].split("\n") == outline(items, 0, ordered)
+
+
+BITS = (
+    "<div> </div> <p> </p> <table> </table> <tr> <td> </td> <ul> <li> </ul> text <a> </a> <b> <h1> </h1> <br> <hr> <pre> </pre> <option> "
+    "<select> <dl> <dt> <dd> <button> <head> <body> <caption> <th> <thead> <tfoot> < > \" ' & <q> </q> <details> <summary> <!-- --> <!x <"
+).split()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(BITS), max_size=40))
+def test_any_tags_in_any_order(bits):
+    text, blocks, tables = html.render("".join(bits))
+    assert text.count("text") <= bits.count("text") and blocks >= 0 and tables >= 0

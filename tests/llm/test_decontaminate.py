@@ -1,4 +1,9 @@
+import itertools
 import random
+import time
+
+import duckdb
+import pytest
 
 from gapwise.llm import op8_decontaminate as decontaminate
 
@@ -28,16 +33,16 @@ def test_verbatim_substituted_and_partial_passages(spark):
     docs = [
         (1, with_item(ITEM)), (2, with_item(one)), (3, with_item(two)), (4, with_item(ITEM[8:22])), (5, with_item(ITEM[:9])),
         (6, with_item([w.upper() + "," for w in ITEM])), (7, with_item(SHORT)), (8, with_item(SHORT[:6])), (9, with_item([])),
-        (10, " ".join(ITEM)), (11, with_item(ITEM) + " " + with_item(SHORT)), (12, "\n".join(ITEM[-13:])),
+        (10, " ".join(ITEM)), (11, with_item(ITEM) + " " + with_item(SHORT)), (12, "\n".join(ITEM[-13:])), (13, with_item(SHORT[:5])),
     ]
     items = [(100, " ".join(ITEM)), (101, " ".join(SHORT)), (102, "of the and"), (103, None), (104, "")]
     found = decontaminate.contaminated(frame(spark, docs, "doc_id"), frame(spark, items, "item_id")).collect()
     pairs = {(r["doc_id"], r["item_id"]): r["matched_words"] for r in found}
     assert pairs == {
-        (1, 100): 30, (2, 100): 26, (4, 100): 14, (6, 100): 30, (7, 101): 7, (10, 100): 30, (11, 100): 30, (11, 101): 7, (12, 100): 13,
+        (1, 100): 30, (2, 100): 26, (4, 100): 14, (6, 100): 30, (7, 101): 7, (8, 101): 6, (10, 100): 30, (11, 100): 30, (11, 101): 7, (12, 100): 13,
     }
     kept = decontaminate.keep_clean(frame(spark, docs, "doc_id"), frame(spark, items, "item_id"))
-    assert {r["doc_id"] for r in kept.collect()} == {3, 5, 8, 9} and kept.columns == ["doc_id", "text", "w", "shift"]
+    assert {r["doc_id"] for r in kept.collect()} == {3, 5, 9, 13} and kept.columns == ["doc_id", "text", "w", "shift"]
 
 
 def test_recall_of_random_substitutions(spark):
@@ -83,3 +88,77 @@ def test_plan_is_native(tiny_docs, spark, tiny_dir):
     found = decontaminate.contaminated(tiny_docs, spark.read.parquet(f"{tiny_dir}/benchmark.parquet"))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan
+
+
+# -- no overlap is missed -----------------------------------------------------------------
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.7, 0.8, 0.9, 1.0])
+@pytest.mark.parametrize("n", range(5, 16))
+def test_every_choice_of_replaced_words_leaves_a_hit(n, similarity):
+    params = decontaminate.SeedParams(similarity=similarity)
+    wide = min(n, params.window)
+    mask = params.mask(n)
+    assert 1 <= len(mask) <= params.weight and mask[-1] < wide
+    for gone in itertools.combinations(range(wide), wide - params.least(n)):
+        assert any(all(q + o not in gone for o in mask) for q in range(wide - mask[-1]))
+
+
+def test_recall_of_short_items_with_replaced_words(spark):
+    """Items of 5 to 13 words and one of 20, in every allowed form and with one word more replaced."""
+    params = decontaminate.SeedParams()
+    items, docs, expected = [], [], set()
+    for n in [*range(5, 14), 20]:
+        item = phrase(n)
+        items.append((n, " ".join(item)))
+        wide = min(n, params.window)
+        for start in {0, n - wide}:
+            for s in range(wide - params.least(n) + 2):
+                for gone in itertools.combinations(range(wide), s):
+                    words = [phrase(1)[0] if j in gone else w for j, w in enumerate(item[start : start + wide])]
+                    docs.append((len(docs), with_item(words, 3, 2)))
+                    if s <= wide - params.least(n):
+                        expected.add((docs[-1][0], n))
+    found = decontaminate.contaminated(frame(spark, docs, "doc_id"), frame(spark, items, "item_id"))
+    assert len(expected) > 500
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == expected
+
+
+def test_very_short_items_are_whole_lines_or_texts(spark):
+    items = [(1, "Of the And."), (2, "yes"), (3, "a b c d"), (4, "!!"), (5, "yes")]
+    docs = [
+        (1, "of THE and"), (2, "so\nof the and!\nthen"), (3, "more of the and more"), (4, "of the"), (5, "Yes.\nno"), (6, "yes no"),
+        (7, "a b\nc d"), (8, "x\na b c d"), (9, "a b c d\na b c d"), (10, "!!"), (11, "..."),
+    ]
+    expected = {(1, 1): 3, (2, 1): 3, (5, 2): 1, (5, 5): 1, (7, 3): 4, (8, 3): 4, (9, 3): 4}
+    for more in ([], [(9, " ".join(ITEM))]):  # without and with items that have seeds
+        found = decontaminate.contaminated(frame(spark, docs, "doc_id"), frame(spark, items + more, "item_id")).collect()
+        assert {(r["doc_id"], r["item_id"]): r["matched_words"] for r in found} == expected
+    kept = decontaminate.keep_clean(frame(spark, docs, "doc_id"), frame(spark, items, "item_id"))
+    assert {r["doc_id"] for r in kept.collect()} == {3, 4, 6, 10, 11}
+
+
+def test_a_text_of_one_word_again_and_again(spark):
+    began = time.monotonic()
+    docs, item = [(1, "same " * 16_000), (2, "same " * 150 + "other " * 300)], [(1, "same " * 200)]
+    found = decontaminate.contaminated(frame(spark, docs, "doc_id"), frame(spark, item, "item_id")).collect()
+    assert {(r["doc_id"], r["matched_words"]) for r in found} == {(1, 200), (2, 150)}
+    assert time.monotonic() - began < 60
+
+
+def test_the_rule_without_seeds(spark, tmp_path):
+    """Random texts of few words against the SQL, which looks at all windows."""
+    made = random.Random(11)
+    few = [f"w{i}" for i in range(6)]
+    docs = [(i, "\n".join(" ".join(made.choices(few, k=made.randrange(0, 12))) for _ in range(4))) for i in range(150)]
+    items = [(i, " ".join(made.choices(few, k=1 + i % 18))) for i in range(60)]
+    for rows, name, key in ((docs, "documents", "doc_id"), (items, "benchmark", "item_id")):
+        spark.createDataFrame(rows, f"{key} bigint, text string").coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    expected = con.sql(decontaminate.oracle()).fetchall()
+    found = decontaminate.contaminated(
+        spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(str(tmp_path / "benchmark.parquet"))
+    )
+    assert sorted(tuple(r) for r in found.select("doc_id", "item_id", "matched_words").collect()) == sorted(expected) != []

@@ -43,8 +43,12 @@ def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    return op1_sharding.assign_shards(docs, ["doc_id"])
+    """Whole rows placed by id, hot ids divided by text, written as shards and read back."""
+    placed = op1_sharding.place_evenly(table(spark, sf_dir, "documents"), ["doc_id"], ["text"])
+    folder = new_path(spark, "shards")
+    op1_sharding.write_shards(placed, folder)
+    rows = op1_sharding.read_shards(spark, folder, placed.schema)
+    return rows.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"), "slot", "shard")
 
 
 def q_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

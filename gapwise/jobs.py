@@ -1,4 +1,4 @@
-"""Command line for the batch work: land, build, enrich, verify, diagnose, export.
+"""Command line for the batch work: land, build, enrich, accumulate, verify, diagnose, index, export.
 
 Usage: ``python -m gapwise.jobs <command> --help``.  The session comes from the
 environment, as spark-submit and the cluster's defaults set it up.
@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gapwise.catalog import Catalog
 from gapwise.operators import insights, quality
-from gapwise.operators.affinity import usage_matrix
+from gapwise.operators.affinity import service_totals, usage_matrix
 from gapwise.operators.events import normalize_events
 from gapwise.operators.model import k_sweep
+from gapwise.operators.search import indexed_filter, write_index
+from gapwise.operators.state import add_part, compact, read_state, state_affinity
 from gapwise.plans.build import als_scores, build_marts
 from gapwise.plans.enrich import enrich_marts
 from gapwise.sources.marts import export_csv, export_json, read_cells, read_mart, read_marts, write_marts
@@ -57,6 +59,14 @@ def enrich(spark: SparkSession, cat: Catalog, args: argparse.Namespace) -> None:
     write_marts(enrich_marts(tables, events, _names(spark, args.names), cat), args.out)
 
 
+def accumulate(spark: SparkSession, cat: Catalog, args: argparse.Namespace) -> None:
+    """Landed events as a new part of a usage state, once; and the use counts of all parts."""
+    add_part(args.state, args.part, read_events(spark, args.events), cat)
+    if args.compact:
+        compact(spark, args.state)
+    show_all(service_totals(state_affinity(read_state(spark, args.state))))
+
+
 def verify(spark: SparkSession, cat: Catalog, args: argparse.Namespace) -> None:
     """Row counts, NULLs, clusters, sources and first rows of the stored tables."""
     tables, cells = read_marts(spark, args.marts), read_cells(spark, args.marts)
@@ -74,12 +84,20 @@ def diagnose(spark: SparkSession, cat: Catalog, args: argparse.Namespace) -> Non
     show_all(k_sweep(usage_matrix(stats, cat), cat, sample=args.sample))
 
 
+def index(spark: SparkSession, cat: Catalog, args: argparse.Namespace) -> None:
+    """A search index of the stored users, for exports with a text."""
+    write_index(read_mart(spark, args.marts, "user_clusters"), args.out)
+
+
 def export(spark: SparkSession, cat: Catalog, args: argparse.Namespace) -> None:
     """The explorer's filtered view as CSV or JSON Lines."""
-    users = read_mart(spark, args.marts, "user_clusters")
-    found = insights.explorer_filter(
-        users, args.cluster, args.service or (), args.search, args.regex
-    )
+    users, services = read_mart(spark, args.marts, "user_clusters"), args.service or ()
+    if args.index and args.regex:
+        raise SystemExit("an index finds literal texts, not patterns")
+    if args.index:
+        found = indexed_filter(users, args.index, args.cluster, services, args.search)
+    else:
+        found = insights.explorer_filter(users, args.cluster, services, args.search, args.regex)
     view = insights.explorer_view(found, cat, args.raw)
     (export_csv if args.format == "csv" else export_json)(view, args.out)
 
@@ -109,10 +127,15 @@ def parser() -> argparse.ArgumentParser:
     )
     command(build, events, out, names, ("--no-model", flag))
     command(enrich, marts, events, out, names)
+    command(
+        accumulate, events, ("--state", needed), ("--part", {**needed, "help": "name of these events, for example their day"}),
+        ("--compact", {**flag, "help": "then sum the parts there are"}),
+    )
     command(verify, marts)
     command(diagnose, marts, ("--sample", {"type": int, "help": "so many users, by a seed; all without it"}))
+    command(index, marts, out)
     command(
-        export, marts, out, text_format,
+        export, marts, out, text_format, ("--index", {"help": "search index of the same build"}),
         ("--cluster", {"type": int, "action": "append"}), ("--service", {"action": "append"}),
         ("--search", {"default": ""}), ("--regex", flag), ("--raw", flag),
     )

@@ -1,6 +1,7 @@
 """The batch work from the command line, end to end."""
 
 import os
+import re
 import subprocess
 import sys
 import zipfile
@@ -78,6 +79,29 @@ def test_reports_are_whole(spark, capfd):
     assert shown.count("x" * 40) == 30 and "29" in shown and "only showing" not in shown
 
 
+def test_accumulate(spark, folders, capfd):
+    path = new_path(spark, "job-state")
+    jobs.main(["accumulate", "--events", folders["events"], "--state", path, "--part", "2024-01-01"])
+    once = capfd.readouterr().out
+    jobs.main(["accumulate", "--events", folders["events"], "--state", path, "--part", "2024-01-02", "--compact"])
+    twice = capfd.readouterr().out
+    counts = [sorted(map(int, re.findall(r"\|\s*(\d+)\s*\|$", shown, re.M))) for shown in (once, twice)]
+    assert sum(counts[0]) == 1_027 and counts[1] == [2 * n for n in counts[0]]
+    with pytest.raises(FileExistsError):
+        jobs.main(["accumulate", "--events", folders["events"], "--state", path, "--part", "2024-01-01"])
+
+
+def test_export_by_an_index(spark, folders, tmp_path):
+    jobs.main(["index", "--marts", folders["marts"], "--out", str(tmp_path / "index")])
+    common = ["--marts", folders["marts"], "--cluster", "0", "--search", "customer#"]
+    jobs.main(["export", *common, "--out", str(tmp_path / "scan")])
+    jobs.main(["export", *common, "--out", str(tmp_path / "found"), "--index", str(tmp_path / "index")])
+    one, two = (sorted(spark.read.text(str(tmp_path / p)).collect()) for p in ("scan", "found"))
+    assert one == two and len(one) > 10
+    with pytest.raises(SystemExit):
+        jobs.main(["export", *common, "--out", str(tmp_path / "no"), "--index", "i", "--regex"])
+
+
 def test_more_clusters_than_a_screen_and_all_users(spark, folders, tmp_path, capfd):
     many = read_marts(spark, folders["marts"])
     users = spark.range(2500).selectExpr("CAST(id AS STRING) AS user_id", "CAST(id % 40 AS INT) AS cluster_id")

@@ -22,9 +22,6 @@ from pyspark.sql import functions as F
 
 from gapwise.llm.common import SALTS, attach, discard, keep_table
 
-_GAPS = " \t\n\x0b\x0c\r"
-_TO_SPACE = str.maketrans(_GAPS, " " * len(_GAPS))
-
 #: Words of a text short enough to try every choice of the words that differ.
 _SHORT = 14
 
@@ -50,8 +47,8 @@ class OrderMinHashParams:
 class _Hashes(dict):
     """64-bit hash of a word, remembered up to a bound; a plain memo."""
 
-    def __missing__(self, word: str) -> int:
-        found = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh64_intdigest(word)
         if len(self) < 300_000:
             self[word] = found
         return found
@@ -64,7 +61,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     """One 64-bit hash per word; none for a missing text."""
     if not text:
         return np.empty(0, np.uint64)
-    found = [w for w in text.lower().translate(_TO_SPACE).split(" ") if w]
+    found = text.lower().encode("utf-8", "surrogatepass").split()  # of bytes, at space and TAB to CR alone
     return np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
 
 
@@ -142,22 +139,35 @@ def sketch(words: np.ndarray, params: OrderMinHashParams) -> list[int]:
     return np.concatenate(found).view(np.int64).tolist()
 
 
-#: Bins of a text's word counts; most members of a bucket that one task compares with as many others.
-_BINS, _BLOCK = 128, 2048
+#: Least and most bins of a text's word counts; most members of a bucket that one task compares with as many others.
+_BINS, _MOST_BINS, _BLOCK = 128, 1024, 2048
 
 
 def word_counts(words: np.ndarray) -> bytes:
-    """How many words fall in each bin, at most 255."""
-    found = np.bincount((words % np.uint64(_BINS)).astype(np.int64), minlength=_BINS)
+    """How many words fall in each bin, at most 255; as many bins as words, in doublings."""
+    bins = _BINS
+    while bins < min(len(words), _MOST_BINS):
+        bins *= 2
+    found = np.bincount((words % np.uint64(bins)).astype(np.int64), minlength=bins)
     return np.minimum(found, 255).astype(np.uint8).tobytes()
 
 
+def _folded(counts: np.ndarray, bins: int) -> np.ndarray:
+    """Rows of word counts in fewer bins, as if they had been counted in those."""
+    if counts.shape[1] == bins:
+        return counts
+    return np.minimum(counts.reshape(len(counts), -1, bins).sum(axis=1, dtype=np.uint16), 255).astype(np.uint8)
+
+
 # -- alignment ------------------------------------------------------------------------------
 
 
 #: Cells of the table of next differences, about 64 MB; wider bands are aligned row by row.
 _CELLS = 16_000_000
 
+#: Edits after which the whole table by bits costs less than more steps along diagonals; fewer for short texts.
+_STEPS = 24
+
 
 def _runs(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
     """For each i the first place from i on where a[i] and b[i + k] differ, or the end of the diagonal."""
@@ -193,6 +203,8 @@ def _edits(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     for edits in range(limit + 1):
         if reach[middle + end] >= n:
             return edits
+        if edits == min(_STEPS, 2 + min(n, m) // 64) and (n + 1) * (m + 1) <= _BITS:
+            return _by_bits(a, b)
         wide = edits + 1
         low, high = max(-wide, -below, end - (limit - wide)), min(wide, above, end + (limit - wide))
         if low > high:
@@ -216,6 +228,35 @@ def _edits(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     return limit + 1
 
 
+#: Cells of the whole table up to which it is done by bits; about two seconds.
+_BITS = 2_000_000_000
+
+
+def _by_bits(a: np.ndarray, b: np.ndarray) -> int:
+    """Edit distance of a and b, a column of the table at a time, its differences as the bits of whole numbers (Myers, Hyyro)."""
+    if len(a) == 0:
+        return len(b)
+    places: dict[int, int] = {}
+    bit = 1
+    for word in a.tolist():
+        places[word] = places.get(word, 0) | bit
+        bit <<= 1
+    full, last, found = bit - 1, bit >> 1, len(a)
+    up, down = full, 0  # where the column rises and falls
+    for word in b.tolist():
+        equal = places.get(word, 0)
+        vertical = equal | down
+        across = (((equal & up) + up) ^ up) | equal
+        rise, fall = down | (full & ~(across | up)), up & across
+        if rise & last:
+            found += 1
+        elif fall & last:
+            found -= 1
+        rise, fall = (rise << 1 | 1) & full, (fall << 1) & full
+        up, down = fall | (full & ~(vertical | rise)), rise & vertical
+    return found
+
+
 def _by_rows(a: np.ndarray, b: np.ndarray, limit: int, band: int) -> int:
     """The same, in bands that widen until the distance lies within."""
     while True:
@@ -293,29 +334,54 @@ def _digest(text: Column) -> Column:
 
 
 def _sketches(rows: DataFrame, params: OrderMinHashParams) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch(word_hashes(t.as_py()), params) for t in batch.column("text")]
+            yield pa.record_batch([batch.column("digest"), pa.array(found, pa.list_(pa.int64()))], names=["digest", "sketch"])
+
+    return rows.mapInArrow(run, "digest binary, sketch array<bigint>")
+
+
+def _profiles(rows: DataFrame) -> DataFrame:
+    """Number of words and word counts by digest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [word_hashes(t.as_py()) for t in batch.column("text")]
+            words, counts = [len(t) for t in texts], [word_counts(t) for t in texts]
             yield pa.record_batch(
-                [
-                    batch.column("digest"),
-                    pa.array([sketch(t, params) for t in texts], pa.list_(pa.int64())),
-                    pa.array([len(t) for t in texts], pa.int64()),
-                    pa.array([word_counts(t) for t in texts], pa.binary()),
-                ],
-                names=["digest", "sketch", "words", "counts"],
+                [batch.column("digest"), pa.array(words, pa.int64()), pa.array(counts, pa.binary())],
+                names=["digest", "words", "counts"],
             )
 
-    return rows.mapInArrow(run, "digest binary, sketch array<bigint>, words bigint, counts binary")
+    found = rows.mapInArrow(run, "digest binary, words bigint, counts binary").groupBy("digest")
+    return found.agg(F.any_value("words").alias("words"), F.any_value("counts").alias("counts"))
+
+
+#: Hashes of words that a task remembers, 16 MB.
+_HELD = 2_000_000
 
 
 def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, np.ndarray] = {}  # most texts are in several pairs
+        room = 0
+
+        def words(digest: pa.Scalar, text: pa.Scalar) -> np.ndarray:
+            nonlocal room
+            found = held.get(key := digest.as_py())
+            if found is None:
+                found = word_hashes(text.as_py())
+                room += len(found)
+                if room > _HELD:
+                    held.clear()
+                    room = len(found)
+                held[key] = found
+            return found
+
         for batch in batches:
-            kept = [
-                similar(word_hashes(x.as_py()), word_hashes(y.as_py()), similarity)
-                for x, y in zip(batch.column("text_a"), batch.column("text_b"))
-            ]
+            a, b, text_a, text_b = (batch.column(c) for c in ("a", "b", "text_a", "text_b"))
+            kept = [similar(words(a[i], text_a[i]), words(b[i], text_b[i]), similarity) for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     return pairs.mapInArrow(run, "a binary, b binary")
@@ -328,7 +394,7 @@ def candidate_links(sketched: DataFrame) -> tuple[DataFrame, DataFrame, list[str
     digest; leaders go to the least digest of the bucket.  Nothing grows with a bucket but the number of its links.
     Also the members of shared buckets, for ``unsettled``, and the paths of both.
     """
-    slots = sketched.select("digest", F.explode("sketch").alias("bucket"))
+    slots = sketched.select("digest", F.explode(F.array_distinct("sketch")).alias("bucket"))
     shared = slots.groupBy("bucket").agg(F.min("digest").alias("top"), F.max("digest").alias("end"))
     tops, p1 = keep_table(shared.where("top < end").select("bucket", "top"), "omh-buckets")
     salt = F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int").alias("salt")
@@ -342,29 +408,38 @@ def candidate_links(sketched: DataFrame) -> tuple[DataFrame, DataFrame, list[str
     return links, members.select("bucket", "digest"), [p2, p4]
 
 
-def unsettled(members: DataFrame, label: DataFrame, sketched: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Blocks of members of buckets that have members of several classes: ``i``, ``j`` and the ``members``.
+def unsettled(members: DataFrame, label: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Members, with ``label`` and number of ``blocks``, of the buckets that have members of several classes.
 
-    A bucket is cut into blocks of about ``_BLOCK``, and each two blocks (also i = j) are one row.  Buckets of two
-    are left out: their members were compared.
+    Buckets of two are left out: their members were compared.  Of buckets with the same members one stays; they are
+    known by two 64-bit hashes.
     """
     of = label.select(F.col("node").alias("digest"), "label")
     own, p1 = keep_table(
         members.join(of, "digest", "left").select("bucket", "digest", F.coalesce("label", "digest").alias("label")),
         "omh-own",
     )
-    sizes = own.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y"))
-    mixed, p2 = keep_table(
-        sizes.where("size > 2 and x < y").select("bucket", F.ceil(F.col("size") / _BLOCK).cast("int").alias("blocks")),
-        "omh-mixed",
+    sizes = own.groupBy("bucket").agg(
+        F.count("*").alias("size"),
+        F.min("label").alias("x"),
+        F.max("label").alias("y"),
+        F.bit_xor(F.xxhash64("digest")).alias("one"),
+        F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("two"),
     )
+    alike = sizes.where("size > 2 and x < y").groupBy("size", "one", "two").agg(F.min("bucket").alias("bucket"))
+    mixed, p2 = keep_table(alike.select("bucket", F.ceil(F.col("size") / _BLOCK).cast("int").alias("blocks")), "omh-mixed")
     left, p3 = keep_table(attach(own, mixed, "bucket", F.col("digest")).where("blocks is not null"), "omh-left")
-    full = left.join(sketched.select("digest", "words", "counts"), "digest")
+    return left, [p1, p2, p3]
+
+
+def _blocks(left: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Each bucket cut into blocks of about ``_BLOCK``, and each two of them (also i = j) one row with its ``members``."""
+    full = left.join(profiles, "digest")
     block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     dealt = full.withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     member = F.struct("block", "digest", "label", "words", "counts")
     by = ["bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
-    return dealt.groupBy(*by).agg(F.collect_list(member).alias("members")), [p1, p2, p3]
+    return dealt.groupBy(*by).agg(F.collect_list(member).alias("members"))
 
 
 def _near(members: pa.StructArray, across: bool, similarity: float, most: int) -> tuple[list[tuple[bytes, bytes]], bool]:
@@ -372,7 +447,7 @@ def _near(members: pa.StructArray, across: bool, similarity: float, most: int) -
 
     Of so many each member takes those that come first in an order that changes with ``most``, so large groups
     meet at a few members.  Texts are left out only if the words that one has more often than the other exceed
-    the edits allowed, which bins and full bins can only understate.
+    the edits allowed, which bins and full bins can only understate: by few bins first, then by as many as both have.
     """
     digests, codes = members.field("digest").to_pylist(), {}
     lead = np.frombuffer(b"".join(d[:8] for d in digests), np.uint64)
@@ -380,8 +455,19 @@ def _near(members: pa.StructArray, across: bool, similarity: float, most: int) -
     label = np.array([codes.setdefault(x, len(codes)) for x in members.field("label").to_pylist()])[order]
     block = members.field("block").to_numpy()[order]
     words = members.field("words").to_numpy()[order]
-    counts = np.frombuffer(b"".join(members.field("counts").to_pylist()), np.uint8).reshape(-1, _BINS)[order]
-    total = counts.sum(axis=1, dtype=np.int64)
+    counts = [np.frombuffer(c, np.uint8) for c in members.field("counts").to_pylist()]
+    bins = np.array([len(c) for c in counts])[order]
+    few, place, many = np.empty((len(order), _BINS), np.uint8), np.empty(len(order), np.int64), {}
+    for size in np.unique(bins).tolist():
+        rows = np.flatnonzero(bins == size)
+        many[size] = np.stack([counts[i] for i in order[rows]])
+        few[rows], place[rows] = _folded(many[size], _BINS), np.arange(len(rows))
+
+    total = few.sum(axis=1, dtype=np.int64)
+
+    def surplus(own: np.ndarray, others: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        return np.maximum(others, own).sum(axis=1, dtype=np.int64) - np.minimum(sums, own.sum(dtype=np.int64))
+
     found, cut = [], False
     for x in range(1, len(order)):
         fit = label[:x] != label[x]
@@ -391,8 +477,15 @@ def _near(members: pa.StructArray, across: bool, similarity: float, most: int) -
         limit = (np.maximum(words[at], words[x]) * (1 - similarity) + 1e-9).astype(np.int64)
         close = np.abs(words[at] - words[x]) <= limit
         at, limit = at[close], limit[close]
-        either = np.maximum(counts[at], counts[x]).sum(axis=1, dtype=np.int64)
-        at = at[either - np.minimum(total[at], total[x]) <= limit]
+        close = surplus(few[x], few[at], total[at]) <= limit
+        at, limit = at[close], limit[close]
+        close, common = np.ones(len(at), bool), np.minimum(bins[at], bins[x])
+        for size in np.unique(bins[at][common > _BINS]).tolist():
+            rows, least = np.flatnonzero(bins[at] == size), min(size, bins[x])
+            own = _folded(many[bins[x]][place[x]][None], least)[0]
+            theirs = _folded(many[size][place[at[rows]]], least)
+            close[rows] = surplus(own, theirs, theirs.sum(axis=1, dtype=np.int64)) <= limit[rows]
+        at = at[close]
         cut |= len(at) > most
         for y in at[:most]:
             a, b = digests[order[x]], digests[order[y]]
@@ -401,18 +494,19 @@ def _near(members: pa.StructArray, across: bool, similarity: float, most: int) -
 
 
 def pairs_apart(blocks: DataFrame, similarity: float, most: int) -> DataFrame:
-    """(a, b) to verify from ``unsettled``, b the lesser; a null pair for each block that has more."""
+    """(a, b) to verify from ``_blocks``, b the lesser; a null pair with its ``bucket`` for each block that has more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, members in zip(*(batch.column(c) for c in ("i", "j", "members"))):
+            for bucket, i, j, members in zip(*(batch.column(c) for c in ("bucket", "i", "j", "members"))):
                 found, cut = _near(members.values, i.as_py() != j.as_py(), similarity, most)
-                found += [(None, None)] * cut
+                found = [(None, a, b) for a, b in found] + [(bucket.as_py(), None, None)] * cut
                 yield pa.record_batch(
-                    [pa.array([p[e] for p in found], pa.binary()) for e in (0, 1)], names=["a", "b"]
+                    [pa.array([p[e] for p in found], k) for e, k in enumerate((pa.int64(), pa.binary(), pa.binary()))],
+                    names=["bucket", "a", "b"],
                 )
 
-    return blocks.select("i", "j", "members").mapInArrow(run, "a binary, b binary")
+    return blocks.select("bucket", "i", "j", "members").mapInArrow(run, "bucket bigint, a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -453,44 +547,76 @@ def components(edges: DataFrame) -> DataFrame:
     return label
 
 
+def _joined(label: DataFrame, edges: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``label`` of ``components`` after further ``edges`` (a, b), from the classes that these connect alone."""
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    fresh = ends.join(label, "node", "left_anti").select("node", F.col("node").alias("label"))
+    base, p1 = keep_table(label.unionByName(fresh), "omh-labels")
+    of = base.join(ends, "node", "left_semi")
+    between = edges.join(of.select(F.col("node").alias("a"), F.col("label").alias("x")), "a")
+    between = between.join(of.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+    between, p2 = keep_table(between.where("x != y").select("x", "y").distinct(), "omh-between")
+    onward = components(between).select(F.col("node").alias("label"), F.col("label").alias("onward"))
+    moved = attach(base, onward, "label", F.col("node")).select("node", F.coalesce("onward", "label").alias("label"))
+    found, _ = keep_table(moved, "omh-labels")
+    return found, [p1, p2]
+
+
 def _classes(docs: DataFrame, params: OrderMinHashParams) -> DataFrame:
     """``digest``, and of its class: id, size in rows, and the (id, digest) of the document that stays."""
     spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(_digest(F.col("text")).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
-    sketched = _sketches(texts, params).groupBy("digest")
-    sketched = sketched.agg(*(F.any_value(c).alias(c) for c in ("sketch", "words", "counts")))
+    sketched = _sketches(texts, params).groupBy("digest").agg(F.any_value("sketch").alias("sketch"))
     sketched, sketch_path = keep_table(sketched, "omh-sketches")
-    # One text per digest; both joins read the same shuffle.
-    one = texts.groupBy("digest").agg(F.any_value("text").alias("text"))
 
-    def verified(links: DataFrame) -> tuple[DataFrame, str]:
+    def texts_of(digests: DataFrame) -> tuple[DataFrame, str]:
+        """Rows of the digests alone; those are stored, so that Spark knows whether they are few enough to go to the texts."""
+        wanted, path = keep_table(digests.distinct(), "omh-wanted")
+        return texts.join(wanted, "digest", "left_semi"), path
+
+    def verified(links: DataFrame) -> tuple[DataFrame, list[str]]:
+        ends = links.select(F.col("a").alias("digest")).union(links.select(F.col("b").alias("digest")))
+        rows, p1 = texts_of(ends)
+        # One text per digest; both joins read the same shuffle.
+        one = rows.groupBy("digest").agg(F.any_value("text").alias("text"))
         first = links.join(one.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
+        first = first.repartition(partitions, "a")  # short pairs take long to compare: not into a few tasks
         both = first.join(one.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
-        return keep_table(_verified(both.select("a", "b", "text_a", "text_b"), params.similarity), "omh-edges")
+        found, p2 = keep_table(_verified(both.select("a", "b", "text_a", "text_b"), params.similarity), "omh-edges")
+        return found, [p1, p2]
 
     tested, members, spent = candidate_links(sketched)
-    edges, path = verified(tested)
+    discard(spark, [sketch_path])
+    edges, paths = verified(tested)
     label = components(edges)
-    spent += [sketch_path, path]
-    most = 8
+    spent += paths
+    most, among, profiles = 8, members, None
     while True:
-        blocks, paths = unsettled(members, label, sketched)
-        pairs, path = keep_table(pairs_apart(blocks, params.similarity, most), "omh-apart")
-        spent += [*paths, path]
+        left, paths = unsettled(among, label)
+        spent += paths
+        if profiles is None:  # later rounds have no other members
+            rows, path = texts_of(left.select("digest"))
+            profiles, profile_path = keep_table(_profiles(rows), "omh-profiles")
+            spent += [path, profile_path]
+        pairs, path = keep_table(pairs_apart(_blocks(left, profiles), params.similarity, most), "omh-apart")
+        spent.append(path)
         todo, path = keep_table(
-            pairs.where("a is not null").distinct().join(tested, ["a", "b"], "left_anti"), "omh-todo"
+            pairs.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "omh-todo"
         )
         spent.append(path)
         if not todo.isEmpty():
-            more, path = verified(todo)
-            spent.append(path)
+            more, paths = verified(todo)
+            spent += paths
             tested = tested.union(todo)
             if not more.isEmpty():
-                edges = edges.union(more)
-                label = components(edges)
-        if pairs.where("a is null").isEmpty():
+                label, paths = _joined(label, more)
+                spent += paths
+        again = pairs.where("a is null").select("bucket").distinct()
+        if again.isEmpty():
             break
-        most *= 4
+        among = left.select("bucket", "digest").join(again, "bucket", "left_semi")
+        most *= 8
     discard(spark, spent)
 
     ids = docs.select("doc_id", _digest(F.col("text")).alias("digest"))

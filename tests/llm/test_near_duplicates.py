@@ -227,3 +227,45 @@ def test_odd_rows(odd_docs, no_docs):
     kept = omh.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns and kept.count() == 8
     assert omh.near_duplicates(no_docs).count() == 0 and omh.keep_one(no_docs).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=40), st.lists(st.integers(0, 3), max_size=40))
+def test_alignment_by_bits_is_exact(a, b):
+    assert omh._by_bits(np.array(a, np.uint64), np.array(b, np.uint64)) == edits(a, b)
+
+
+def test_long_texts_of_other_words_are_ruled_out_before_verification():
+    """Three words of ten differ, but in 128 bins their counts look alike; as many bins as words tell them apart."""
+    rng = np.random.default_rng(9)
+    passage = omh._mix(rng.integers(0, 2**62, 560).astype(np.uint64))
+    texts = [np.concatenate([passage, omh._mix(rng.integers(0, 2**62, 240).astype(np.uint64))]) for _ in range(40)]
+    near = texts[0].copy()
+    near[:100] = omh._mix(np.arange(1, 101).astype(np.uint64))
+    texts += [near, near[:600]]
+    names = [bytes([i]) * 16 for i in range(len(texts))]
+    rows = [{"block": 0, "digest": d, "label": d, "words": len(t), "counts": omh.word_counts(t)} for d, t in zip(names, texts)]
+    found, cut = omh._near(pa.array(rows), False, 0.8, 1000)
+    want = {(names[a], names[b]) for a in range(len(texts)) for b in range(a) if omh.similar(texts[a], texts[b], 0.8)}
+    assert want <= set(found) and not cut
+    assert len(found) <= 60  # 820 with 128 bins
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=3000), st.integers(0, 3))
+def test_counts_of_a_long_text_fold_into_those_of_few_bins(words, doublings):
+    words = np.array(words, np.uint64) * np.uint64(257)
+    counts = np.frombuffer(omh.word_counts(words), np.uint8)[None]
+    bins = max(omh._BINS, counts.shape[1] >> doublings)
+    plain = np.minimum(np.bincount((words % np.uint64(bins)).astype(np.int64), minlength=bins), 255)
+    assert (omh._folded(counts, bins)[0] == plain).all()
+
+
+def test_further_edges_join_the_classes_they_connect(spark):
+    def named(pairs):
+        return spark.createDataFrame([(x.encode(), y.encode()) for x, y in pairs], "a binary, b binary")
+
+    first, more = [("b", "a"), ("d", "c"), ("f", "e")], [("d", "b"), ("g", "f"), ("i", "h"), ("b", "a")]
+    found, _ = omh._joined(omh.components(named(first)), named(more))
+    want = omh.components(named(first + more))
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in want.collect()}
